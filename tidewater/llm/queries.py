@@ -2,20 +2,67 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import near_duplicates
+from tidewater.llm import bpe, decontaminate, license_scan, near_duplicates, sharding, token_files, url_filters, vector_search
 from tidewater.session import Scratch, table
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source, then runs of 256 and of 16 doc_ids; the first of each run is its licence file."""
+    run = F.col("doc_id") % 256
+    name = F.when(F.col("doc_id") % 16 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")))
+    top = F.concat(F.col("source"), F.lit("/"), ((F.col("doc_id") - run) / 256).cast("long"))
+    inner = F.concat(top, F.lit("/"), (F.floor(run / 16)).cast("long"))
+    path = F.concat(F.when(run == 0, top).otherwise(inner), F.lit("/"), name)
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_files(spark, sf_dir), Scratch(spark, "op1"))
+
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_classes(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op4"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, rule string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op8")
+    out = f"{scratch.base}/files"
+    token_files.write(table(spark, sf_dir, "documents"), VOCABULARY, out, scratch)
+    return token_files.read(spark, out).drop("ids")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark, "op10"))
+
+
 OP2_SQL = r"""
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(lower(text), '[\t\n\x0B\f\r ]+'), x -> x <> '') ws from documents where doc_id is not null),
-s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))
+  select doc_id, list_filter(string_split_regex(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') ws from documents where doc_id is not null),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
   when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w),
 n as (select doc_id, count(*) c from s group by doc_id),
 i as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
@@ -27,5 +74,31 @@ select w.doc_id, (select min(y) from r where r.x = w.doc_id) class_id,
 from w
 """
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL}
+OP7_SQL = """
+with u as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
+r(verdict, rule, h, s) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+m as (select page_id, host, path, arg_max(rule, length(rule)) rule, arg_max(verdict, length(rule)) verdict
+  from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by all)
+select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') verdict from p left join m using (page_id)
+"""
+
+OP10_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_ngram_jaccard_join, op4_benchmark_decontamination, op6_sharding,
+        op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k,
+    )
+}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL}
