@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with label jumping, all in DataFrames."""
+"""Connected components of an edge table by hooking and contraction, all in DataFrames."""
 
 from __future__ import annotations
 
@@ -11,25 +11,33 @@ from tidewater.session import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """edges(u, v) -> (node, comp): comp is the least node of the component. No edges: no rows.
 
-    Each round takes the least label of the neighbours, then the label of that label, so a
-    chain of length n ends after about log n rounds. Labels are aggregated before they are
-    shuffled, so a node with very many edges is no hot group.
+    Every node hooks onto its least smaller neighbour (an aggregation, so a node with very
+    many edges is no hot group); the forest is flattened by jumping to the parent's parent;
+    edges are contracted to the trees' roots, and the rest is done again. Each round at
+    least halves the nodes that still have edges, so about log n rounds are needed, on
+    edge tables that shrink fast.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    both = scratch.keep(both, f"{name}-edges")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("comp"))
-    labels = scratch.keep(labels, f"{name}-0")
+    tidy = lambda e: e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    left = scratch.keep(tidy(edges), f"{name}-edges-0")
+    total = None
     step = 0
-    while True:
+    while total is None or not left.isEmpty():
+        hooks = scratch.keep(left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("comp"), F.lit(True).alias("moved")), f"{name}-hooks-{step}")
+        jump = 0
+        while not hooks.where("moved").isEmpty():
+            jump += 1
+            above = hooks.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            hooks = hooks.join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), F.col("top").isNotNull().alias("moved"))
+            hooks = scratch.keep(hooks, f"{name}-hooks-{step}-{jump}")
+        hooks = hooks.select("node", "comp")
+        if total is None:
+            roots = hooks.select(F.col("comp").alias("node"), "comp").distinct()
+            total = scratch.keep(hooks.union(roots), f"{name}-{step}")
+        else:
+            moved = hooks.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            total = scratch.keep(total.join(moved, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{name}-{step}")
+        to = lambda c: hooks.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_top"))
+        after = left.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_top", "u").alias("u"), F.coalesce("v_top", "v").alias("v"))
         step += 1
-        seen = both.join(labels, both["v"] == labels["node"]).groupBy(both["u"].alias("node")).agg(F.min("comp").alias("m"))
-        near = labels.join(seen, "node", "left").select("node", F.least("comp", F.coalesce("m", "comp")).alias("near"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("node").alias("near"), F.col("comp").alias("far"))
-        moved = near.join(jump, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("comp"), "was")
-        kept = scratch.keep(moved, f"{name}-{step}")
-        changed = not kept.where("comp <> was").isEmpty()
-        labels = kept.select("node", "comp")
-        if step > 1:
-            scratch.drop(f"{name}-{step - 1}")
-        if not changed:
-            return labels
+        left = scratch.keep(tidy(after), f"{name}-edges-{step}")
+    return total

@@ -199,7 +199,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 512) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, class_id, copy_of, n_copies, n_links), one row per document.
 
     class_id: least doc_id of the documents joined by links; copy_of: least doc_id with the
