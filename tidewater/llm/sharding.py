@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def place(rows: DataFrame, key: str, shards: list[str] | None = None, size: int
     Null keys go to the slot of the empty text; repeated keys go to one shard. No rows: no rows.
     """
     spark = rows.sparkSession
-    table = spark.createDataFrame(list(enumerate(build_table(shards or SHARDS, size))), "slot long, shard string")
+    table = spark.createDataFrame(pa.table({"slot": pa.array(range(size), pa.int64()), "shard": build_table(shards or SHARDS, size)}))
     kept = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")), slot_of(F.col(f"`{key}`"), size).alias("slot"))
     return kept.join(F.broadcast(table), "slot").select(*(f"`{c}`" for c in kept.columns if c != "slot"), "slot", "shard")
 
