@@ -20,6 +20,7 @@ All of it is DataFrame functions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +55,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often a lambda within uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def shingles(text: Column) -> Column:
     """Hashes of the five-word shingles in order, repeats kept; empty for fewer than five words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    ids = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(ids)
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n - SIZE, F.lit(0))), lambda i: F.xxhash64(*(F.get(ids, i + k) for k in range(SIZE))))
-    return F.when(n >= SIZE, each).otherwise(F.array().cast("array<long>"))
+
+    def each(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - SIZE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SIZE))))
+
+    return let(words, lambda w: F.when(F.size(w) >= SIZE, each(w)).otherwise(F.array().cast("array<long>")))
 
 
 def simhash(values: Column) -> Column:
@@ -70,12 +77,14 @@ def simhash(values: Column) -> Column:
         lambda j: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, j).bitwiseAND(F.lit(0x0001000100010001))),
     )
 
-    def bit(acc: Column, b: Column) -> Column:
-        count = F.call_function("shiftrightunsigned", F.get(lanes_col, b % 16), (b / 16).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
-        return F.when(count * 2 > F.size(values), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
+    def bits(counts: Column) -> Column:
+        def add(acc: Column, b: Column) -> Column:
+            count = F.call_function("shiftrightunsigned", F.get(counts, b % 16), F.floor(b / 16).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
+            return F.when(count * 2 > F.size(values), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), add)
 
-    lanes_col = lanes
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), bit)
+    return let(lanes, bits)
 
 
 def similarity(a: Column, b: Column) -> Column:
