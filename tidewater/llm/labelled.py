@@ -11,13 +11,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
-    """(doc_id, label, text) of `most` labelled documents of each class at most, in order of a hash of their ids.
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: tuple[int, int]) -> DataFrame:
+    """(doc_id, label, text) of `most` labelled documents of the classes 0 and 1 at most, in order of a hash of their ids.
 
     A document is used if its labels agree; `train` says, from doc_id, which may be used. The
     bound is what allows the sample to be broadcast and its features to be fitted in one place.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").drop("top")
-    some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
+    some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[c]) for c in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").where("text is not null").select("doc_id", "label", "text")

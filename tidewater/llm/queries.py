@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontaminate, license_scan, near_duplicates, sharding, token_files, url_filters, vector_search
+import corpus_pipeline
+from tidewater.llm import bpe, decontaminate, license_scan, near_duplicates, quality, sharding, token_files, toxicity, url_filters, vector_search
+from tidewater.llm.labelled import fold
+from tidewater.llm.vocabulary import VOCABULARY
 from tidewater.session import Scratch, table
 
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -31,6 +32,24 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_classes(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def _held_out(scores: DataFrame, folds: int, held: int) -> DataFrame:
+    out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
+    rest = [c for c in scores.columns if c not in ("doc_id", "score")]
+    return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *rest)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return _held_out(toxicity.score(docs, model), 5, 0)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return _held_out(quality.score(docs, model), 3, 1)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op4"))
 
@@ -59,6 +78,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark, "op10"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP2_SQL = r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') ws from documents where doc_id is not null),
@@ -97,8 +120,8 @@ select query_id, rank, vec_id, score from r where rank <= 10
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_ngram_jaccard_join, op4_benchmark_decontamination, op6_sharding,
-        op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k,
+        op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op5_quality_classifier, op4_benchmark_decontamination, op6_sharding,
+        op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k, pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL}

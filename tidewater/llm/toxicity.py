@@ -25,7 +25,7 @@ from tidewater.llm.labelled import sample
 
 U64 = np.uint64
 SPACE_BITS = 18
-STARTS = (3, 4, 5)
+STARTS = (4, 5, 6)
 KINDS = len(STARTS) + 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -122,7 +122,7 @@ def token_labels(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray, least:
     return tags & toxic[owner]
 
 
-def fit(feats: np.ndarray, begins: np.ndarray, first: np.ndarray, toxic: np.ndarray, rounds: int = 40, rate: float = 0.25, ridge: float = 1e-3) -> Model:
+def fit(feats: np.ndarray, begins: np.ndarray, first: np.ndarray, toxic: np.ndarray, rounds: int = 30, rate: float = 0.25, ridge: float = 1e-3) -> Model:
     """Maximum likelihood with a ridge, by Adam on the whole sample; then the document's logistic function."""
     n = 1 << SPACE_BITS
     y = token_labels(feats, first, toxic).astype(float)
@@ -154,15 +154,23 @@ def fit(feats: np.ndarray, begins: np.ndarray, first: np.ndarray, toxic: np.ndar
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     model = Model(theta[:n].astype(np.float32), float(theta[n]), theta[n + 1 :].reshape(2, 2), np.zeros(3))
     x = _summary(model.marginals(feats, begins), first)
-    scale = np.array([0.0, 0.5, 0.0])
-    for _ in range(50):
-        p = sigmoid(x @ scale)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        scale -= np.linalg.solve(h, x.T @ (p - toxic) + 0.05 * (scale - [0, 0.5, 0]))
-    model.scale = scale
+    model.scale = calibrate(x, toxic)
     return model
 
 
+def calibrate(x: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Logistic weights of the documents' summaries, signs of toxicity never below zero."""
+    scale = np.array([-3.0, 0.1, 2.0])
+    weight = 1 / max(1, len(toxic))
+    m, v = np.zeros(3), np.zeros(3)
+    for step in range(1, rounds + 1):
+        grad = x.T @ ((sigmoid(x @ scale) - toxic) * weight) + 1e-3 * scale
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        scale = scale - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        scale[1:] = np.maximum(scale[1:], 0)
+    return scale
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, words in B.runs(batch.column("text"), B.WORD_BYTES):
@@ -172,8 +180,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["label", "feats", "begins"])
 
 
-def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: int = 800) -> Model:
-    """Fits on `most` labelled documents of each class at most (`labelled.sample`); their features are what is gathered."""
+def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: tuple[int, int] = (2_100, 700)) -> Model:
+    """Fits on so many clean and toxic labelled documents at most (`labelled.sample`); their features are what is gathered."""
     rows = sample(docs, labels, "toxic", may_use, most).select("label", "text").mapInArrow(_extract, "label int, feats binary, begins binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["feats"])))
     feats = np.concatenate([np.zeros((0, KINDS), np.uint32), *(np.frombuffer(r["feats"], np.uint32).reshape(-1, KINDS) for r in rows)])
@@ -209,6 +217,18 @@ def _score(model: Model):
     return run
 
 
+def keeper(model: Model):
+    """Rows (text and any other columns) whose document is held for clean; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in B.runs(batch.column("text"), B.WORD_BYTES):
+                feats, begins = features(words)
+                yield batch.slice(a, b - a).filter(pa.array(model.documents(model.marginals(feats, begins), words.first) < 0.5))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, score, spans), one row per document.
 
