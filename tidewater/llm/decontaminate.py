@@ -29,8 +29,9 @@ from tidewater.session import Scratch
 
 SIZE = 5
 BITS = 64
-#: Tables of the benchmark with more rows than this are joined by shuffle instead of broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
+#: Most rows that are broadcast: of two or three numbers each, and of rows with arrays. Larger tables are joined by shuffle.
+MAX_NARROW_ROWS = 1_000_000
+MAX_WIDE_ROWS = 20_000
 
 
 def plan_radius(threshold: float, miss: float) -> int:
@@ -89,17 +90,19 @@ def simhash(values: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two arrays: shared occurrences over all occurrences."""
-    both = F.aggregate(
-        F.array_intersect(a, b),
+    shared = F.array_intersect(a, b)
+    repeats = F.aggregate(
+        shared,
         F.lit(0),
         lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))),
     )
-    return both / (F.size(a) + F.size(b) - both)
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return let(F.when(plain, F.size(shared)).otherwise(repeats), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast where the counted rows allow it; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
@@ -117,10 +120,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
     known = scratch.keep(known, "known")
     hits = (
         docs.where("doc_id is not null").select("doc_id", F.posexplode(shingles(F.col("text"))).alias("pos", "h"))
-        .join(_small(known), "h").select("doc_id", "pos", "lens")
+        .join(_small(known, MAX_NARROW_ROWS), "h").select("doc_id", "pos", "lens")
     )
     hits = scratch.keep(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "lens"))).alias("hits")), "hits")
-    found = docs.join(_small(hits), "doc_id").select("doc_id", "hits", shingles(F.col("text")).alias("hs"))
+    some = docs.select("doc_id", "text").join(_small(hits.select("doc_id"), MAX_NARROW_ROWS), "doc_id", "left_semi")
+    found = some.join(_small(hits, MAX_WIDE_ROWS), "doc_id").select("doc_id", "hits", shingles(F.col("text")).alias("hs"))
     starts = found.select("doc_id", "hs", F.transform("hits", lambda x: x["pos"]).alias("at"), F.posexplode("hits").alias("i", "hit"))
     starts = starts.select("doc_id", "hs", "at", "i", F.col("hit.pos").alias("start"), F.explode("hit.lens").alias("len"))
     least = F.ceil(F.lit(threshold) * F.col("len") - 1e-9).cast("int")
@@ -128,8 +132,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
         starts.where(F.get("at", F.col("i") + least - 1) <= F.col("start") + F.col("len") - 1)
         .select("doc_id", "start", "len", F.slice("hs", F.col("start") + 1, F.col("len")).alias("window"))
     )
-    windows = scratch.keep(windows, "windows").withColumn("fp", simhash(F.col("window")))
-    windows = scratch.keep(windows, "fingerprints")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work for each
+    windows = scratch.keep(windows.repartition(spread, "doc_id", "start"), "windows").withColumn("fp", simhash(F.col("window")))
     radius = plan_radius(threshold, miss)
     masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
     items = items.withColumn("item_fp", simhash(F.col("item")))
@@ -139,8 +143,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
     far = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.array_position(F.transform(masks, lambda m: far.bitwiseAND(m)), F.lit(0).cast("long")) - 1
     pairs = (
-        windows.select("doc_id", "start", "len", "window", "fp", cut(F.col("fp")))
-        .join(_small(indexed), ["len", "block", "bits"])
+        windows.repartition(spread, "start", "doc_id").select("doc_id", "start", "len", "window", "fp", cut(F.col("fp")))
+        .join(_small(indexed, MAX_WIDE_ROWS), ["len", "block", "bits"])
         .where((F.bit_count(far) <= radius) & (first == F.col("block")))
         .select("doc_id", "item_id", "start", similarity(F.col("window"), F.col("item")).alias("similarity"))
         .where(F.col("similarity") >= threshold - 1e-9)
