@@ -31,8 +31,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             hooks = scratch.keep(hooks, f"{name}-hooks-{step}-{jump}")
         hooks = hooks.select("node", "comp")
         if total is None:
-            roots = hooks.select(F.col("comp").alias("node"), "comp").distinct()
-            total = scratch.keep(hooks.union(roots), f"{name}-{step}")
+            roots = left.select(F.col("u").alias("node")).distinct().join(hooks, "node", "left_anti")
+            total = scratch.keep(hooks.union(roots.select("node", F.col("node").alias("comp"))), f"{name}-{step}")
         else:
             moved = hooks.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
             total = scratch.keep(total.join(moved, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{name}-{step}")
