@@ -52,5 +52,10 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def columns_of(df: DataFrame) -> list[str]:
+    """Its columns' names, quoted so that dots in them do no harm."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
