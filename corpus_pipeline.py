@@ -18,16 +18,22 @@ from tidewater.llm.vocabulary import VOCABULARY
 from tidewater.session import Scratch, table
 
 
+def _filtered(docs: DataFrame, keep: Callable) -> DataFrame:
+    """Rows that `keep` lets through, by their text; columns of any names stay as they are."""
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out documents that the quality classifier, fitted on this stage's labelled documents, holds for bad."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
-    return docs.mapInArrow(quality.keeper(model), docs.schema)
+    return _filtered(docs, quality.keeper(model))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out documents that the toxicity tagger, fitted on this stage's labelled documents, holds for toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return docs.mapInArrow(toxicity.keeper(model), docs.schema)
+    return _filtered(docs, toxicity.keeper(model))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_leaks(spark):
     texts = dict(items)
     item0 = items[0][1]
     broken = texts[4].split()
-    broken[20] = "changed"
+    broken[2] = "changed"
     rows = [
         (1, sentence(50) + " " + item0 + " " + sentence(30)), (2, "Hm: " + texts[3].upper().replace(" ", ", ") + "."), (3, sentence(80)), (4, None), (5, ""), (6, "few words"),
         (7, sentence(9000) + " " + " ".join(broken)), (8, texts[1] + " " + texts[2]), (8, sentence(40)), (12, " ".join(texts[3].split()[:14])), (None, texts[1]), (13, texts[1]),

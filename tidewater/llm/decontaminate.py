@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.session import Scratch
+from tidewater.session import Scratch, columns_of
 
 SIZE = 5
 BITS = 64
@@ -155,4 +155,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: fl
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Documents without a leak; null doc_ids stay."""
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*columns_of(docs))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytestext as B
 from tidewater.llm.components import components
-from tidewater.session import Scratch
+from tidewater.session import Scratch, columns_of
 
 U32, U64 = np.uint32, np.uint64
 
@@ -259,4 +259,4 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, s
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The document of each class with the least doc_id; null doc_ids stay."""
     gone = classes.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
