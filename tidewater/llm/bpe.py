@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.chunked import ChunkCache, portions
-from tidewater.llm.word_trie import PIECE, SPACES, WordTrie
+from tidewater.llm.word_trie import PIECE, SPACES, WordTrie, token_texts
 
 _tries: dict[str, WordTrie] = {}
 _caches: dict[str, ChunkCache] = {}
+_texts: dict[str, dict[int, str]] = {}
+ROWS = 256
+MARKS = frozenset(".,;:!?|")
 
 
 def _trie(path: str) -> WordTrie:
@@ -28,6 +31,19 @@ def _trie(path: str) -> WordTrie:
     return _tries[path]
 
 
+def pieces_of(chunk: str) -> list[str]:
+    """What BPE takes one by one; words of letters, with or without a mark at the end, need no pattern."""
+    if chunk.isascii() and chunk.isprintable():
+        low = chunk.lower()
+    else:
+        low = normal(chunk)
+    if low.isalpha():
+        return [low]
+    if low[-1:] in MARKS and low[:-1].isalpha():
+        return [low[:-1], low[-1]]
+    return PIECE.findall(low)
+
+
 def normal(chunk: str) -> str:
     """NFC, white space to one blank, letters lower-cased each for itself."""
     if not chunk.isascii():
@@ -39,7 +55,7 @@ def normal(chunk: str) -> str:
 class TrieEncoder:
     """Ids of chunks: special tokens, then pieces, then words over the trie."""
 
-    def __init__(self, trie: WordTrie, most: int = 250_000):
+    def __init__(self, trie: WordTrie, most: int = 200_000):
         self.trie, self.most = trie, most
         self.pieces: dict[str, list[int]] = {}
 
@@ -49,10 +65,10 @@ class TrieEncoder:
             if "<|" in chunk and self.trie.special_re:
                 parts: list[str | int] = []
                 for k, part in enumerate(self.trie.special_re.split(chunk)):
-                    parts += [self.trie.special[part]] if k % 2 else PIECE.findall(normal(part))
+                    parts += [self.trie.special[part]] if k % 2 else pieces_of(part)
                 cut.append(parts)
             else:
-                cut.append(PIECE.findall(normal(chunk)))
+                cut.append(pieces_of(chunk))
         wanted = {p for parts in cut for p in parts if isinstance(p, str)}
         new = wanted - self.pieces.keys()
         if len(self.pieces) + len(new) > self.most:
@@ -70,21 +86,27 @@ def _encode(path: str):
         if path not in _caches:
             _caches[path] = ChunkCache(TrieEncoder(_trie(path)))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keep = [x for x in batch.schema.names if x != "text"]
-            for a, b in portions(texts):
-                ids = pa.array(_caches[path].encode(texts[a:b]), type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in keep), ids], names=[*keep, "ids"])
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column("text").to_pylist()
+                keep = [x for x in part.schema.names if x != "text"]
+                for a, b in portions(texts):
+                    ids = pa.array(_caches[path].encode(texts[a:b]), type=pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part.column(x).slice(a, b - a) for x in keep), ids], names=[*keep, "ids"])
 
     return run
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = _trie(path).text
+        if path not in _texts:
+            _texts[path] = token_texts(path)
+        text = _texts[path]
         for batch in batches:
-            said = [" ".join(map(text.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, type=pa.string())], names=[*batch.schema.names, "decoded"])
+            for a in range(0, len(batch), ROWS):
+                part = batch.slice(a, ROWS)
+                said = [" ".join(map(text.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, type=pa.string())], names=[*part.schema.names, "decoded"])
 
     return run
 

@@ -1,6 +1,6 @@
 """Token ids of whole texts from the ids of their space-separated chunks.
 
-The tokenizer drops white space and no rule of its looks across it, so the ids of a text
+The tokenizer composes and lower-cases letters, drops white space, and no rule of its looks across it, so the ids of a text
 are those of its chunks one after another. Chunks are cut at plain white space only; any
 other stays within a chunk and is left to the encoder. A cache keeps the ids of chunks
 seen; it starts anew beyond `most`, so a task's memory is bounded whatever its vocabulary.
@@ -8,19 +8,32 @@ seen; it starts anew beyond `most`, so a task's memory is bounded whatever its v
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
 
+def folded(text: str) -> str:
+    """Lower-cased where a tokenizer that composes (NFC) and lower-cases each letter gives the same ids for it; else as it is."""
+    if "<|" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    low = text.lower()
+    same = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+    return low if same else text
+
+
 def chunks_of(text: str) -> list[str]:
+    text = folded(text)
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 class ChunkCache:
     """encode_new: distinct chunks -> their ids. Ids are kept as little-endian bytes of `dtype`."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], dtype: str = "<u4", most: int = 250_000):
+    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], dtype: str = "<u4", most: int = 200_000):
         self.encode_new, self.dtype, self.most = encode_new, dtype, most
         self.known: dict[str, bytes] = {"": b""}
 

@@ -27,6 +27,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else next(rest) for b in range(256)]
 
 
+def token_texts(path: str) -> dict[int, str]:
+    """The text of each id, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
 class WordTrie:
     """Encoder of one vocabulary file with merges, byte letters and an end-of-word mark."""
 
@@ -37,7 +44,7 @@ class WordTrie:
         self.mark = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.text = token_texts(path)
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = byte_letters()
         self.rank: dict[tuple[str, str], int] = {}
@@ -151,7 +158,7 @@ class WordTrie:
         states = [0]
         shared = ""
         known, follows, step, back, inner, final = self._follows, self.follows, self.step, self.back, self.inner, self.final
-        if len(known) > 3_000_000:
+        if len(known) > 400_000:
             known.clear()
         for word in sorted(words):
             end = len(word)
