@@ -59,7 +59,7 @@ class TrieEncoder:
         self.trie, self.most = trie, most
         self.pieces: dict[str, list[int]] = {}
 
-    def __call__(self, chunks: list[str]) -> Iterator[list[int]]:
+    def __call__(self, chunks: list[str]) -> tuple[list[int], list[int]]:
         cut: list[list[str | int]] = []
         for chunk in chunks:
             if "<|" in chunk and self.trie.special_re:
@@ -77,8 +77,14 @@ class TrieEncoder:
         spelt = {"".join([letters[b] for b in p.encode()]): p for p in new}
         for word, ids in self.trie.encode_words(list(spelt)).items():
             self.pieces[spelt[word]] = ids
+        flat: list[int] = []
+        sizes: list[int] = []
         for parts in cut:
-            yield [i for p in parts for i in ([p] if isinstance(p, int) else self.pieces[p])]
+            before = len(flat)
+            for p in parts:
+                flat.extend((p,) if isinstance(p, int) else self.pieces[p])
+            sizes.append(len(flat) - before)
+        return flat, sizes
 
 
 def _encode(path: str):

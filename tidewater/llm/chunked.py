@@ -9,7 +9,7 @@ seen; it starts anew beyond `most`, so a task's memory is bounded whatever its v
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 
@@ -31,9 +31,9 @@ def chunks_of(text: str) -> list[str]:
 
 
 class ChunkCache:
-    """encode_new: distinct chunks -> their ids. Ids are kept as little-endian bytes of `dtype`."""
+    """encode_new: distinct chunks -> the ids of all of them in a row, and how many each has. Ids are kept as little-endian bytes of `dtype`."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[list[int]]], dtype: str = "<u4", most: int = 200_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[Sequence[int], Sequence[int]]], dtype: str = "<u4", most: int = 200_000):
         self.encode_new, self.dtype, self.most = encode_new, dtype, most
         self.known: dict[str, bytes] = {"": b""}
 
@@ -46,10 +46,9 @@ class ChunkCache:
                 new = set().union(*cut)
                 new.discard("")
             listed = sorted(new)
-            ids = [i for i in self.encode_new(listed)]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            raw = np.fromiter((x for i in ids for x in i), dtype=self.dtype, count=int(sizes.sum())).tobytes()
-            ends = np.cumsum(sizes * np.dtype(self.dtype).itemsize).tolist()
+            flat, sizes = self.encode_new(listed)
+            raw = np.asarray(flat, dtype=self.dtype).tobytes()
+            ends = np.cumsum(np.asarray(sizes, dtype=np.int64) * np.dtype(self.dtype).itemsize).tolist()
             self.known.update(zip(listed, (raw[a:b] for a, b in zip([0, *ends], ends))))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]

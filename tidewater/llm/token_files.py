@@ -30,6 +30,7 @@ from tidewater.session import Scratch
 _caches: dict[tuple[str, str], ChunkCache] = {}
 
 BLOCK_IDS = 1 << 18
+GROUP = 10_000
 STAGED = ["part", "at", "doc_id", "ids", "counts"]
 BLOCK = "part int, base long, doc_ids array<long>, lengths array<int>, body binary"
 
@@ -44,12 +45,28 @@ def _library(path: str, dtype: str) -> ChunkCache:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode_new(chunks: list[str]):
-            for a in range(0, len(chunks), 5_000):
-                for e in tokenizer.encode_batch_fast(chunks[a : a + 5_000], add_special_tokens=False):
-                    yield e.ids
-
-        _caches[path, dtype] = ChunkCache(encode_new, dtype)
+        mark = "\x01"  # a chunk of its own between chunks; where it is not one id, or stands in a chunk, chunks go one by one
+        marked = tokenizer.encode(f"a {mark} a", add_special_tokens=False).ids
+        alone = len(marked) == 3 and marked[0] == marked[2] != marked[1]
+
+        def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Many chunks as one text, with a mark between them that no other chunk has."""
+            flat, sizes = [], []
+            for a in range(0, len(chunks), GROUP):
+                group = chunks[a : a + GROUP]
+                if not alone or any(mark in c for c in group):
+                    found = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                    flat += [np.array(f, dtype=np.int64) for f in found]
+                    sizes += [len(f) for f in found]
+                else:
+                    (found,) = tokenizer.encode_batch_fast([f" {mark} ".join(group)], add_special_tokens=False)
+                    ids = np.array(found.ids, dtype=np.int64)
+                    cuts = np.flatnonzero(ids == marked[1])
+                    flat.append(np.delete(ids, cuts))
+                    sizes += (np.diff(np.r_[-1, cuts, len(ids)]) - 1).tolist()
+            return np.concatenate(flat), np.array(sizes)
+
+        _caches[path, dtype] = ChunkCache(encode_new, dtype, most=900_000)
     return _caches[path, dtype]
 
 
