@@ -97,6 +97,45 @@ select w.doc_id, (select min(y) from r where r.x = w.doc_id) class_id,
 from w
 """
 
+OP1_SQL = r"""
+with f as (select doc_id, text, source || '/' || (doc_id - doc_id % 256) // 256 || case when doc_id % 256 = 0 then '' else '/' || doc_id % 256 // 16 end dir,
+  case when doc_id % 16 = 0 then 'LICENSE' else 'doc-' || doc_id || '.txt' end base from documents),
+tpl(name, body) as (values @@TEMPLATES@@),
+tw as (select name, unnest(list_filter(string_split_regex(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '')) w from tpl),
+dw as (select doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) w from documents),
+n as (select count(*) n from documents),
+idf as (select w, ln((1 + any_value(n.n)) / (1 + count(dw.w))) + 1 idf from (select distinct w from tw) v left join dw using (w), n group by w),
+tv as (select name, w, count(*) * any_value(idf) y from tw join idf using (w) group by all),
+tn as (select name, w, y / sqrt(sum(y * y) over (partition by name)) y from tv),
+ln as (select doc_id, u.i line, u.t from (select doc_id, string_split_regex(text, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]') ls from documents) d, unnest(list_zip(range(len(ls)), ls)) x(u0), (select x.u0[1] i, x.u0[2] t) u),
+lt as (select doc_id, line, w, count(*) tf from (select doc_id, line, unnest(list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '')) w from ln) group by all),
+lx as (select doc_id, line, w, tf * coalesce(idf, ln(1 + n.n) + 1) x from lt left join idf using (w), n),
+nm as (select doc_id, line, sqrt(sum(x * x)) norm from lx group by all),
+sc as (select doc_id, name, round(sum(x * y) / any_value(norm), 4) score from lx join tn using (w) join nm using (doc_id, line) group by doc_id, line, name having round(sum(x * y) / any_value(norm), 4) >= 0.7),
+own as (select doc_id, arg_min(name, (-score, name)) own, max(score) score from sc group by 1),
+pl as (select f.doc_id, dir, base, own.own, own.score from f left join own using (doc_id)),
+gv as (select dir, arg_min(own, (-score, own)) given from pl where own is not null and base = 'LICENSE' group by 1),
+nr as (select d.dir, arg_max(g.dir, length(g.dir)) from_dir, arg_max(g.given, length(g.dir)) given from (select distinct dir from pl) d join gv g on d.dir = g.dir or starts_with(d.dir, g.dir || '/') group by 1)
+select doc_id, dir || '/' || base as path, own, score, coalesce(own, given) license, case when own is not null then 'header' when given is not null then 'inherited' else 'none' end how,
+  case when own is null then from_dir end from_dir from pl left join nr using (dir)
+""".replace("@@TEMPLATES@@", ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES))
+
+OP4_SQL = r"""
+with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents where doc_id is not null),
+iw as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from benchmark where item_id is not null),
+ds as (select doc_id, i - 1 pos, array_to_string(w[i:i + 4], ' ') s from dw, unnest(range(1, len(w) - 3)) u(i)),
+si as (select item_id, array_to_string(w[i:i + 4], ' ') s from iw, unnest(range(1, len(w) - 3)) u(i)),
+il as (select item_id, count(*) len from si group by 1),
+ic as (select item_id, s, count(*) c from si group by all),
+pairs as (select distinct doc_id, item_id from ds join si using (s)),
+hits as (select distinct doc_id, pos from ds where s in (select s from si)),
+win as (select doc_id, item_id, pos, len from pairs join hits using (doc_id) join il using (item_id)),
+wc as (select win.doc_id, win.item_id, win.pos, win.len, ds.s, count(*) c from win join ds on ds.doc_id = win.doc_id and ds.pos between win.pos and win.pos + win.len - 1 group by all),
+sim as (select doc_id, item_id, pos, len, sum(least(wc.c, coalesce(ic.c, 0))) b, sum(wc.c) n from wc left join ic using (item_id, s) group by doc_id, item_id, pos, len),
+ok as (select doc_id, item_id, pos, b / (n + len - b) v from sim where b / (n + len - b) >= 0.8 - 1e-9)
+select doc_id, item_id, arg_min(pos, (-v, pos)) as start, round(max(v), 6) similarity from ok group by 1, 2
+"""
+
 OP7_SQL = """
 with u as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
@@ -124,4 +163,4 @@ QUERIES = {
         op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL}
