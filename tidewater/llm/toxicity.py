@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field over the words of each sentence.
 
 Labels come by document; its tokens are labelled first. A word, or a start of it, that
-occurs in toxic documents far beyond their share (likelihood ratio) marks its tokens in
-toxic documents; all other tokens are clean. On these tokens the chain is trained: hashed
+occurs in toxic documents far beyond their share (likelihood ratio over different places)
+marks its tokens there; all other tokens are clean. On these tokens the chain is trained: hashed
 features of the word, its starts and its end, and one weight for each pair of neighbouring
 tags. With two tags the forward and backward recursions run on log-odds, for all sentences
 of a portion side by side. A document's score is a logistic function of its largest
@@ -105,21 +105,29 @@ def _summary(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def token_labels(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray, least: float = 24.0) -> np.ndarray:
-    """Tags of the training tokens from the documents' labels."""
+    """Tags of the training tokens from the documents' labels.
+
+    Counts are of different places: a feature between the same two words counts once, so
+    copies of a document do not make its words look telling.
+    """
     n = 1 << SPACE_BITS
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    hot = np.repeat(toxic, np.diff(first))
+    word = feats[:, 0].astype(U64) + U64(1)
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    inner = first[(first > 0) & (first < len(word))]
+    before[inner], after[inner - 1] = 0, 0
+    place = B.mix(before * U64(0x9E3779B97F4A7C15) + after) >> U64(SPACE_BITS)
     tags = np.zeros(len(feats), dtype=bool)
-    share = max(toxic.mean(), 1e-6) if len(toxic) else 1.0
     for k in range(KINDS - 1):  # not the ends of words: they are inflections
-        seen = np.unique(owner * np.int64(n) + feats[:, k])
-        held, doc = seen % n, seen // n
-        t = np.bincount(held[toxic[doc]], minlength=n).astype(float)
-        c = np.bincount(held[~toxic[doc]], minlength=n).astype(float)
+        key = feats[:, k].astype(U64) << U64(64 - SPACE_BITS) | place
+        t, c = (np.bincount((np.unique(key[side]) >> U64(64 - SPACE_BITS)).astype(np.int64), minlength=n).astype(float) for side in (hot, ~hot))
+        share = max(t.sum() / max(1.0, t.sum() + c.sum()), 1e-6)
         both = np.maximum(t + c, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(t > 0, t * np.log(t / both / share), 0) + np.where(c > 0, c * np.log(c / both / max(1 - share, 1e-6)), 0))
         tags |= ((ratio >= least) & (t * (1 - share) > 20 * c * share))[feats[:, k]]
-    return tags & toxic[owner]
+    return tags & hot
 
 
 def fit(feats: np.ndarray, begins: np.ndarray, first: np.ndarray, toxic: np.ndarray, rounds: int = 30, rate: float = 0.25, ridge: float = 1e-3) -> Model:
@@ -183,7 +191,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: tuple[int, int] = (2_100, 700)) -> Model:
     """Fits on so many clean and toxic labelled documents at most (`labelled.sample`); their features are what is gathered."""
     rows = sample(docs, labels, "toxic", may_use, most).select("label", "text").mapInArrow(_extract, "label int, feats binary, begins binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["feats"])))
+    rows = sorted({(r["label"], bytes(r["feats"]), bytes(r["begins"])) for r in rows})  # copies count once
+    rows = [dict(zip(("label", "feats", "begins"), r)) for r in rows]
     feats = np.concatenate([np.zeros((0, KINDS), np.uint32), *(np.frombuffer(r["feats"], np.uint32).reshape(-1, KINDS) for r in rows)])
     begins = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r["begins"], bool) for r in rows)])
     first = np.cumsum([0, *(len(r["begins"]) for r in rows)])
