@@ -52,6 +52,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows that go to Python at once in this session, unless the user has asked for fewer: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def columns_of(df: DataFrame) -> list[str]:
     """Its columns' names, quoted so that dots in them do no harm."""
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
