@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.chunked import ChunkCache, portions
 from tidewater.llm.word_trie import PIECE, SPACES, WordTrie, token_texts
+from tidewater.session import bounded_batches
 
 _tries: dict[str, WordTrie] = {}
 _caches: dict[str, ChunkCache] = {}
@@ -124,6 +125,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     are met as such; none is added. Null texts count as empty and have no ids; repeated and
     null doc_ids are kept as they are; other columns are ignored. No rows: no rows.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_encode(path), f"doc_id {kind}, ids binary")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytestext as B
 from tidewater.llm.components import components
-from tidewater.session import Scratch, columns_of
+from tidewater.session import Scratch, bounded_batches, columns_of
 
 U32, U64 = np.uint32, np.uint64
 
@@ -211,6 +211,7 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, s
     document; if its texts differ, links are those of one of them. Other columns are ignored, whatever their names. No rows: no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     bands, rows = plan_bands(threshold, miss)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null")
     signed = scratch.keep(text.mapInArrow(_signatures(bands, rows, size), SIGNED), "signed")

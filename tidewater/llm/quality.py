@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytestext as B
 from tidewater.llm.labelled import sample
+from tidewater.session import bounded_batches
 
 PASSAGE = 64
 HIDDEN = 16
@@ -164,6 +165,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: tuple[int, int] = (1_000, 1_000)) -> Model:
     """Fits on so many bad and good labelled documents at most (`labelled.sample`); their passages' features are what is gathered."""
+    bounded_batches(docs.sparkSession)
     rows = sample(docs, labels, "quality", may_use, most).select("label", "text").mapInArrow(_extract, "label int, bag binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"]).reshape(-1, WIDTH) for r in rows]
@@ -202,5 +204,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     passage. Null, empty and blank texts count as one passage without any letters. Repeated
     and null doc_ids are kept; other columns are ignored. No rows: no rows.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {kind}, score double, n_passages int, top_attention double")

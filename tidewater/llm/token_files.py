@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.chunked import ChunkCache, portions
 from tidewater.llm.rans import Table, decode_block, encode_block, scaled
-from tidewater.session import Scratch
+from tidewater.session import Scratch, bounded_batches
 
 _caches: dict[tuple[str, str], ChunkCache] = {}
 
@@ -159,6 +159,7 @@ def write(docs: DataFrame, path: str, out: str, scratch: Scratch, end_id: int =
     Null texts count as empty and have the end id alone. Null doc_ids come first; rows with
     one doc_id are in order of a hash of their texts. Other columns are ignored. No rows: no blocks.
     """
+    bounded_batches(docs.sparkSession)
     size = max(vocab_size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytestext as B
 from tidewater.llm.labelled import sample
+from tidewater.session import bounded_batches
 
 U64 = np.uint64
 SPACE_BITS = 18
@@ -141,14 +142,13 @@ def fit(feats: np.ndarray, begins: np.ndarray, first: np.ndarray, toxic: np.ndar
     prev = np.flatnonzero(inner) - 1
     here = prev + 1
     true = np.array([((1 - y[prev]) * (1 - y[here])).sum(), ((1 - y[prev]) * y[here]).sum(), (y[prev] * (1 - y[here])).sum(), (y[prev] * y[here]).sum()])
-    flat = feats.ravel()
     for step in range(1, rounds + 1):
         tags = theta[n + 1 :].reshape(2, 2)
-        emit = theta[:n][feats].sum(axis=1) + theta[n]
+        emit = sum(theta[feats[:, k]] for k in range(KINDS)) + theta[n]
         left, right = forward_backward(emit, begins, tags)
         gap = sigmoid(left + right) - y
         grad = np.empty(n + 5)
-        grad[:n] = np.bincount(flat, weights=np.repeat(gap, KINDS), minlength=n)
+        grad[:n] = sum(np.bincount(feats[:, k], weights=gap, minlength=n) for k in range(KINDS))
         grad[n] = gap.sum()
         a, b = left[prev], emit[here] + right[here]
         joint = np.stack([tags[0, 0] + np.zeros(len(a)), tags[0, 1] + b, tags[1, 0] + a, tags[1, 1] + a + b])
@@ -190,13 +190,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: tuple[int, int] = (2_100, 700)) -> Model:
     """Fits on so many clean and toxic labelled documents at most (`labelled.sample`); their features are what is gathered."""
+    bounded_batches(docs.sparkSession)
     rows = sample(docs, labels, "toxic", may_use, most).select("label", "text").mapInArrow(_extract, "label int, feats binary, begins binary").collect()
     rows = sorted({(r["label"], bytes(r["feats"]), bytes(r["begins"])) for r in rows})  # copies count once
     rows = [dict(zip(("label", "feats", "begins"), r)) for r in rows]
     feats = np.concatenate([np.zeros((0, KINDS), np.uint32), *(np.frombuffer(r["feats"], np.uint32).reshape(-1, KINDS) for r in rows)])
     begins = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r["begins"], bool) for r in rows)])
     first = np.cumsum([0, *(len(r["begins"]) for r in rows)])
-    return fit(feats, begins, first, np.array([r["label"] == 1 for r in rows], dtype=bool))
+    toxic = np.array([r["label"] == 1 for r in rows], dtype=bool)
+    del rows
+    return fit(feats, begins, first, toxic)
 
 
 def _score(model: Model):
@@ -247,5 +250,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ignored. Without labelled documents of both classes all scores say little but are
     defined. No rows: no rows.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {kind}, score double, spans array<struct<begin:int,end:int>>")
