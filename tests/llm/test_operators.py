@@ -113,6 +113,14 @@ def test_licences(spark):
     assert license_scan.scan(files.where("false"), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 4000])
+def test_licence_line_among_ordinary_words(spark, size):
+    header = "It was to be licensed under the Apache License, Version 2.0"
+    rows = [(1, "r/a.txt", header), (2, "r/b.txt", "It was to be released under the MIT License.")] + [(i, f"q/{i}.txt", "It was to be under the version 2.0") for i in range(3, size)]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), Scratch(spark, "t"))
+    assert {r["doc_id"]: r["own"] for r in found.where("doc_id < 4").collect()} == {1: "Apache-2.0", 2: "MIT", 3: None}
+
+
 def test_sharding(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "doc_id long, slot string")
     got = sharding.place(rows, "doc_id", ["x", "y", "z"], 101).collect()

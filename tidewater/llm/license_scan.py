@@ -2,8 +2,8 @@
 
 * Words are the lower-cased runs of letters and digits. A template is one line of its own
   wording; every line of every file is a candidate header, wherever it stands.
-* idf(t) = ln((1 + N) / (1 + df)) + 1 over all N files; words outside the templates weigh
-  as df = 0. Document frequencies are counted over all files, for the templates' words.
+* idf(t) = ln((1 + N) / (1 + df)) + 1 over all N files, for words of templates and of lines
+  alike. Document frequencies are counted over all files.
 * `anchors` names, from those weights, words without which no line can reach the
   threshold; lines without one are skipped, which loses nothing.
 * A file without a licence line of its own takes that of the nearest directory at or above
@@ -81,18 +81,18 @@ def scan(files: DataFrame, scratch: Scratch, templates: list[tuple[str, str]] |
     templates = TEMPLATES if templates is None else templates
     vocab = sorted({w for _, t in templates for w in _template_words(t)})
     files = files.select("doc_id", "path", "text").withColumn("file_id", F.xxhash64("doc_id", "path", "text"))
-    listed = F.array(*map(F.lit, vocab))
-    seen = files.select(F.explode_outer(F.array_intersect(_words(F.coalesce("text", F.lit(""))), listed)).alias("w"))
+    seen = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w"))
+    counts = scratch.keep(seen.groupBy("w").agg(F.count("*").alias("df")), "counts")
     total = files.select("doc_id").count()
-    counted = {r["w"]: r["df"] for r in seen.where("w is not null").groupBy("w").agg(F.count("*").alias("df")).collect()}  # a row for each word of the templates at most
+    counted = {r["w"]: r["df"] for r in counts.where(F.col("w").isin(vocab)).collect()}  # a row for each word of the templates at most
     idf = {w: math.log((1 + total) / (1 + counted.get(w, 0))) + 1 for w in vocab}
-    rare = math.log(1 + total) + 1
     picked = anchors(templates, idf, threshold)
     pattern = r"(?<![\p{L}\p{N}])(" + "|".join(sorted(picked)) + r")(?![\p{L}\p{N}])"
     lines = files.where(F.lower("text").rlike(pattern)).select("file_id", F.posexplode(F.split("text", r"\R")).alias("line", "t")).where(F.lower("t").rlike(pattern))
-    weights = F.create_map(*(F.lit(x) for w in vocab for x in (w, idf[w])))
     tf = lines.select("file_id", "line", F.explode(_words(F.col("t"))).alias("w")).groupBy("file_id", "line", "w").agg(F.count("*").alias("tf"))
-    weighted = tf.withColumn("x", F.col("tf") * F.coalesce(F.element_at(weights, F.col("w")), F.lit(rare)))
+    tf = scratch.keep(tf, "tf")
+    known = scratch.keep(counts.join(tf.select("w").distinct(), "w", "left_semi"), "known")
+    weighted = tf.join(known, "w").withColumn("x", F.col("tf") * (F.log(F.lit(1 + total) / (1 + F.col("df"))) + 1))
     rows = []
     for name, text in templates:
         each: dict[str, float] = {}
