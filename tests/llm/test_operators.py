@@ -121,6 +121,18 @@ def test_licence_line_among_ordinary_words(spark, size):
     assert {r["doc_id"]: r["own"] for r in found.where("doc_id < 4").collect()} == {1: "Apache-2.0", 2: "MIT", 3: None}
 
 
+def test_wrapped_header_and_whole_licence_files(spark):
+    gpl = "# This work is licensed\n#\n# under the GNU General\n# Public License, version 3."
+    whole = dict(license_scan.full_texts())
+    mit = "MIT License\n\nCopyright (c) 2020 A. Writer\n\n" + whole["MIT"]
+    rows = [(1, "r/x.py", sentence(30) + "\n" + gpl + "\n" + sentence(12)), (2, "m/LICENSE", mit), (3, "m/a/y.py", sentence(40)), (4, "n/x.py", sentence(25) + "\n# under the GNU General\n" + sentence(8))]
+    rows += [(10 + i, f"w{i}/COPYING", whole[n]) for i, n in enumerate(sorted(whole))] + [(i, f"q/{i}.txt", "It was to be under the version") for i in range(30, 90)]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), Scratch(spark, "t"))
+    got = {r["doc_id"]: (r["own"], r["license"]) for r in found.where("doc_id < 30").collect()}
+    want = {1: ("GPL-3.0",) * 2, 2: ("MIT",) * 2, 3: (None, "MIT"), 4: (None, None)} | {10 + i: (n, n) for i, n in enumerate(sorted(whole))}
+    assert got == want
+
+
 def test_sharding(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "doc_id long, slot string")
     got = sharding.place(rows, "doc_id", ["x", "y", "z"], 101).collect()

@@ -1,11 +1,16 @@
 """License scans: TF-IDF cosine of lines to licence templates, then inheritance from the nearest directory above.
 
-* Words are the lower-cased runs of letters and digits. A template is one line of its own
-  wording; every line of every file is a candidate header, wherever it stands.
+* Words are the lower-cased runs of letters and digits. A template is one sentence of its own
+  wording; every line of every file is a candidate header, wherever it stands, and so is every
+  run of consecutive lines, up to as many lines with words as the longest template has words.
+* A licence file is a candidate as a whole too, against the full texts in `licences`
+  (there are none of the two CC licences).
 * idf(t) = ln((1 + N) / (1 + df)) + 1 over all N files, for words of templates and of lines
   alike. Document frequencies are counted over all files.
 * `anchors` names, from those weights, words without which no line can reach the
-  threshold; lines without one are skipped, which loses nothing.
+  threshold; runs without one are skipped, which loses nothing.
+  Neither do the bounds that keep most runs and files from being counted out in full: the
+  squared norm of a run is at least the sum of its lines', and no word weighs less than 1.
 * A file without a licence line of its own takes that of the nearest directory at or above
   its own that has a licence file (LICENSE, LICENCE, COPYING, NOTICE, with any suffix) with
   a licence. Directories, not files, are joined to the directories above them.
@@ -16,8 +21,9 @@ All of it is DataFrame functions.
 from __future__ import annotations
 
 import math
+import pkgutil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.session import Scratch
@@ -33,6 +39,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+FULL_TEXTS = ["Apache-2.0", "BSD-3-Clause", "GPL-3.0", "LGPL-2.1", "MIT", "MPL-2.0", "Unlicense"]
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -45,6 +52,29 @@ def _template_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
+def full_texts() -> list[tuple[str, str]]:
+    return [(n, pkgutil.get_data("tidewater.llm", f"licences/{n}.txt").decode()) for n in FULL_TEXTS]
+
+
+def _sides(templates: list[tuple[str, str]], idf: dict[str, float]) -> list[tuple[str, str, float]]:
+    """(name, word, weight) of the templates, each of norm 1."""
+    rows = []
+    for name, text in templates:
+        each: dict[str, float] = {}
+        for w in _template_words(text):
+            each[w] = each.get(w, 0) + idf[w]
+        norm = math.sqrt(sum(x * x for x in each.values()))
+        rows += [(name, w, x / norm) for w, x in sorted(each.items())]
+    return rows
+
+
+def _cosines(weighted: DataFrame, sides: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """weighted(*keys, name, w, x): a candidate's words, for the template it is compared to -> (file_id, name, score)."""
+    both = weighted.join(sides, ["name", "w"], "left").groupBy(*keys, "name")
+    score = F.round(F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 4)
+    return both.agg(score.alias("score")).where(F.col("score") >= threshold).select("file_id", "name", "score")
+
+
 def anchors(templates: list[tuple[str, str]], idf: dict[str, float], threshold: float) -> set[str]:
     """Words such that a line without any of them has a cosine below the threshold to every template.
 
@@ -66,11 +96,29 @@ def anchors(templates: list[tuple[str, str]], idf: dict[str, float], threshold:
     return found
 
 
-def scan(files: DataFrame, scratch: Scratch, templates: list[tuple[str, str]] | None = None, threshold: float = 0.7) -> DataFrame:
+def _whole(files: DataFrame, scratch: Scratch, counts: DataFrame, weight: Column, texts: list[tuple[str, str]], idf: dict[str, float], threshold: float) -> DataFrame:
+    """(file_id, name, score) of licence files, as wholes, to full texts."""
+    spark = files.sparkSession
+    named = files.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)).select("file_id", F.explode(_words(F.col("text"))).alias("w"))
+    tf = scratch.keep(named.groupBy("file_id", "w").agg(F.count("*").alias("tf")), "whole")
+    sides = F.broadcast(spark.createDataFrame(_sides(texts, idf), "name string, w string, y double"))  # as many rows as the texts have words
+    weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "w string, i double"))
+    x = F.col("tf") * F.coalesce("i", F.lit(1.0))
+    least = tf.join(weights, "w", "left").select("file_id", "w", x.alias("x"))
+    norms = least.groupBy("file_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    dots = least.join(sides, "w").groupBy("file_id", "name").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    close = scratch.keep(dots.join(norms, "file_id").where(F.col("d") >= (threshold - 1e-4) * F.col("n")).select("file_id", "name"), "close")
+    words = scratch.keep(tf.join(close.select("file_id").distinct(), "file_id", "left_semi"), "close_words")
+    known = scratch.keep(counts.join(words.select("w").distinct(), "w", "left_semi"), "close_known")
+    weighted = words.join(known, "w").select("file_id", "w", (F.col("tf") * weight).alias("x"))
+    return _cosines(close.join(weighted, "file_id"), sides, ["file_id"], threshold)
+
+
+def scan(files: DataFrame, scratch: Scratch, templates: list[tuple[str, str]] | None = None, threshold: float = 0.7, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """files(doc_id, path, text, ...) -> (doc_id, path, own, score, license, how, from_dir), one row per file.
 
-    own, score: the file's best licence line and its cosine (null below the threshold; ties
-    go to the first name). license: own, else inherited, else null; how: 'header',
+    own, score: the file's best licence line, run of lines or, of a licence file, whole text, and
+    its cosine (null below the threshold; ties go to the first name). license: own, else inherited, else null; how: 'header',
     'inherited' or 'none'; from_dir: the directory it is inherited from.
 
     Null or empty texts have no licence of their own; a null path inherits nothing; null
@@ -78,8 +126,9 @@ def scan(files: DataFrame, scratch: Scratch, templates: list[tuple[str, str]] |
     higher score, then the first name, counts. Other columns are ignored. No files: no rows.
     """
     spark = files.sparkSession
+    texts = (full_texts() if templates is None else []) if texts is None else texts
     templates = TEMPLATES if templates is None else templates
-    vocab = sorted({w for _, t in templates for w in _template_words(t)})
+    vocab = sorted({w for _, t in templates + texts for w in _template_words(t)})
     files = files.select("doc_id", "path", "text").withColumn("file_id", F.xxhash64("doc_id", "path", "text"))
     seen = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w"))
     counts = scratch.keep(seen.groupBy("w").agg(F.count("*").alias("df")), "counts")
@@ -88,22 +137,35 @@ def scan(files: DataFrame, scratch: Scratch, templates: list[tuple[str, str]] |
     idf = {w: math.log((1 + total) / (1 + counted.get(w, 0))) + 1 for w in vocab}
     picked = anchors(templates, idf, threshold)
     pattern = r"(?<![\p{L}\p{N}])(" + "|".join(sorted(picked)) + r")(?![\p{L}\p{N}])"
-    lines = files.where(F.lower("text").rlike(pattern)).select("file_id", F.posexplode(F.split("text", r"\R")).alias("line", "t")).where(F.lower("t").rlike(pattern))
-    tf = lines.select("file_id", "line", F.explode(_words(F.col("t"))).alias("w")).groupBy("file_id", "line", "w").agg(F.count("*").alias("tf"))
-    tf = scratch.keep(tf, "tf")
+    weight = F.log(F.lit(1 + total) / (1 + F.col("df"))) + 1
+    split = F.filter(F.transform(F.split("text", r"\R"), _words), lambda ws: F.size(ws) > 0)
+    lines = files.where(F.lower("text").rlike(pattern)).select("file_id", F.posexplode(split).alias("line", "ws"))
+    tf = scratch.keep(lines.select("file_id", "line", F.explode("ws").alias("w")).groupBy("file_id", "line", "w").agg(F.count("*").alias("tf")), "tf")
     known = scratch.keep(counts.join(tf.select("w").distinct(), "w", "left_semi"), "known")
-    weighted = tf.join(known, "w").withColumn("x", F.col("tf") * (F.log(F.lit(1 + total) / (1 + F.col("df"))) + 1))
-    rows = []
-    for name, text in templates:
-        each: dict[str, float] = {}
-        for w in _template_words(text):
-            each[w] = each.get(w, 0) + idf[w]
-        norm = math.sqrt(sum(x * x for x in each.values()))
-        rows += [(name, w, x / norm) for w, x in sorted(each.items())]
-    sides = F.broadcast(spark.createDataFrame(rows, "name string, w string, y double"))  # as many rows as the templates have words
-    norms = weighted.groupBy("file_id", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighted.join(sides, "w").groupBy("file_id", "line", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    cosine = dots.join(norms, ["file_id", "line"]).select("file_id", "name", F.round(F.col("dot") / F.col("norm"), 4).alias("score")).where(F.col("score") >= threshold)
+    weighted = scratch.keep(tf.join(known, "w").select("file_id", "line", "w", (F.col("tf") * weight).alias("x")), "weighted")
+    sides = F.broadcast(spark.createDataFrame(_sides(templates, idf), "name string, w string, y double"))  # as many rows as the templates have words
+    names = F.explode(F.array(*(F.lit(n) for n, _ in templates)))
+    norms = weighted.groupBy("file_id", "line").agg(F.sum(F.col("x") * F.col("x")).alias("n"), F.max(F.col("w").isin(sorted(picked))).alias("anchor"))
+    dots = weighted.join(sides, "w").groupBy("file_id", "line", "name").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    rows = norms.select("*", names.alias("name")).join(dots, ["file_id", "line", "name"], "left").fillna(0.0, ["d"])
+    most = max(len(_template_words(t)) for _, t in templates)
+    ahead = Window.partitionBy("file_id", "name").orderBy("line").rangeBetween(0, most - 1)
+    start = rows.select("file_id", "name", "line", "d", F.collect_list(F.struct("line", "d", "n", "anchor")).over(ahead).alias("run")).where("d > 0")  # most lines at most
+    start = start.where(F.exists("run", lambda l: l["anchor"]))
+    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n"), F.lit(False).alias("anchor"), F.array().cast("array<int>").alias("ends"))
+
+    def longer(so_far: Column, l: Column) -> Column:
+        d, n, anchor = so_far["d"] + l["d"], so_far["n"] + l["n"], so_far["anchor"] | l["anchor"]
+        could = anchor & (l["d"] > 0) & (d >= (threshold - 1e-4) * F.sqrt(n))
+        ends = F.when(could, F.concat(so_far["ends"], F.array(l["line"]))).otherwise(so_far["ends"])
+        return F.struct(d.alias("d"), n.alias("n"), anchor.alias("anchor"), ends.alias("ends"))
+
+    runs = start.select("file_id", "name", "line", F.explode(F.aggregate("run", zero, longer)["ends"]).alias("end"))
+    runs = scratch.keep(runs.withColumnRenamed("line", "begin"), "runs")
+    each = runs.withColumn("line", F.explode(F.sequence("begin", "end"))).join(weighted, ["file_id", "line"])
+    cosine = _cosines(each.groupBy("file_id", "name", "begin", "end", "w").agg(F.sum("x").alias("x")), sides, ["file_id", "begin", "end"], threshold)
+    if texts:
+        cosine = cosine.unionByName(_whole(files, scratch, counts, weight, texts, idf, threshold))
     best = cosine.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
     best = scratch.keep(best.select("file_id", F.col("b.name").alias("own"), (-F.col("b.s")).alias("score")), "best")
     judged = files.drop("text").join(best, "file_id", "left")
