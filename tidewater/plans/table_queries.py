@@ -120,6 +120,12 @@ def j_refmap(spark, sf_dir):
     return l.where("l_quantity > 45").join(s, l.l_suppkey == s.s_suppkey, "left").select("l_orderkey", "l_linenumber", "s_name")
 
 
+@query("j_refmap_all", "select l_orderkey, l_linenumber, s_name from lineitem left join supplier on l_suppkey = s_suppkey")
+def j_refmap_all(spark, sf_dir):
+    l, s = t(spark, sf_dir, "lineitem", "supplier")
+    return l.join(s, l.l_suppkey == s.s_suppkey, "left").select("l_orderkey", "l_linenumber", "s_name")
+
+
 @query("j_neq_residual", "select a.s_suppkey a_key, b.s_suppkey b_key from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey")
 def j_neq_residual(spark, sf_dir):
     s = t(spark, sf_dir, "supplier")
