@@ -1,5 +1,7 @@
 """Queries that take their tables whole, on small tables of their own."""
 
+import datetime
+
 import pytest
 
 from tidewater.plans import registry
@@ -35,3 +37,10 @@ def test_every_line_is_looked_up(spark, tables):
     sf = tables("lineitem", [(1, 1, 1, 1, 3.0), (1, 2, 2, 1, 46.0), (2, 1, 3, 9, 50.0)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double")
     assert {tuple(r) for r in registry.QUERIES["j_refmap_all"](spark, sf).collect()} == {(1, 1, "S1"), (1, 2, "S2"), (2, 1, None)}
     assert {tuple(r) for r in registry.QUERIES["g_ownership_all"](spark, sf).collect()} == {(1, 1, "S1"), (1, 2, "P1"), (2, 1, "none")}
+
+
+def test_months_of_every_customer(spark, tables):
+    days = [(k, datetime.datetime(2020, 12, 31)) for k in range(1, 60)] + [(7, datetime.datetime(2021, 2, 1))]
+    sf = tables("orders", days, "o_custkey long, o_orderdate timestamp")
+    got = {tuple(r) for r in registry.QUERIES["fn_month_range_all"](spark, sf).collect()}
+    assert got == {(k, "202012") for k in range(1, 60)} | {(7, "202101"), (7, "202102")}

@@ -325,6 +325,13 @@ def fn_month_range(spark, sf_dir):
     return rows.select("o_custkey", months.alias("m")).select("o_custkey", F.date_format("m", "yyyyMM").alias("month"))
 
 
+@query("fn_month_range_all", "select o_custkey, strftime(unnest(range(date_trunc('month', min(o_orderdate)), max(o_orderdate) + interval 1 microsecond, interval 1 month)), '%Y%m') as month from orders group by 1")
+def fn_month_range_all(spark, sf_dir):
+    rows = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    months = F.explode(F.sequence(F.trunc("a", "month"), F.col("b").cast("date"), F.expr("interval 1 month")))
+    return rows.select("o_custkey", months.alias("m")).select("o_custkey", F.date_format("m", "yyyyMM").alias("month"))
+
+
 @query("fn_csv_escape", """select page_id, case when regexp_matches(left(html, 40), '[",\r\n]') then '"' || replace(left(html, 40), '"', '""') || '"' else left(html, 40) end cell from pages""")
 def fn_csv_escape(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.csv_escape(F.substring("html", 1, 40)).alias("cell"))
