@@ -3,7 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidewater.operators import logs
 from tidewater.plans import registry
 
 
@@ -44,3 +46,13 @@ def test_months_of_every_customer(spark, tables):
     sf = tables("orders", days, "o_custkey long, o_orderdate timestamp")
     got = {tuple(r) for r in registry.QUERIES["fn_month_range_all"](spark, sf).collect()}
     assert got == {(k, "202012") for k in range(1, 60)} | {(7, "202101"), (7, "202102")}
+
+
+def test_whole_cells_and_messages(spark, tables):
+    page = "x" * 50 + 'a "b", c'
+    sf = tables("pages", [(1, page), (2, "y" * 90), (3, None)], "page_id long, html string")
+    got = dict(tuple(r) for r in registry.QUERIES["fn_csv_escape_all"](spark, sf).collect())
+    assert got == {1: '"' + page.replace('"', '""') + '"', 2: "y" * 90, 3: ""}
+    texts = [" a \n b ", "z" * 500, "z" * 501]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(logs.compacted(F.col("t")))
+    assert [r[0] for r in rows.collect()] == ["a b", "z" * 500, "z" * 497 + "..."]

@@ -102,6 +102,12 @@ def squeezed(text: Column, most: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
 
 
+def compacted(text: Column, most: int = 500) -> Column:
+    """White space to one blank, ends trimmed; longer ones end in '...' within so many characters."""
+    squeezed_text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(squeezed_text) <= most, squeezed_text).otherwise(F.concat(F.substring(squeezed_text, 1, most - 3), F.lit("...")))
+
+
 def epoch_ms(raw: Column) -> Column:
     """Milliseconds of a timestamp text; '+hhmm' offsets are understood; null for what is none."""
     return F.unix_millis(F.try_to_timestamp(F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1:$2")))

@@ -113,6 +113,11 @@ def compact_row(spark, sf_dir):
     return log_rows(spark, sf_dir).select("id", logs.squeezed(F.col("message"), 24).alias("message"))
 
 
+@query("compact_row_all", LOG + ", m as (select id, trim(regexp_replace(message, '\\s+', ' ', 'g')) message from log) select id, case when length(message) <= 500 then message else left(message, 497) || '...' end message from m")
+def compact_row_all(spark, sf_dir):
+    return log_rows(spark, sf_dir).select("id", logs.compacted(F.col("message")).alias("message"))
+
+
 @query("searchable_text", LOG + "select id, lower(app || ' ' || source || ' ' || level || ' ' || message || ' status=' || status || ' tenant=' || tenant) text from log")
 def searchable_text(spark, sf_dir):
     return log_rows(spark, sf_dir).select("id", F.lower(F.concat_ws(" ", "app", "source", "level", "message", F.concat(F.lit("status="), "status"), F.concat(F.lit("tenant="), "tenant"))).alias("text"))

@@ -337,6 +337,11 @@ def fn_csv_escape(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.csv_escape(F.substring("html", 1, 40)).alias("cell"))
 
 
+@query("fn_csv_escape_all", """select page_id, case when regexp_matches(html, '[",\r\n]') then '"' || replace(html, '"', '""') || '"' else coalesce(html, '') end cell from pages""")
+def fn_csv_escape_all(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", text.csv_escape(F.col("html")).alias("cell"))
+
+
 @query("fn_md_escape", r"select doc_id, regexp_replace(replace(replace(text, '\', '\\'), '|', '\|'), '\r?\n', ' ', 'g') cell from documents")
 def fn_md_escape(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", text.md_escape(F.col("text")).alias("cell"))
