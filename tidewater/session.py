@@ -52,11 +52,28 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows that go to Python at once in this session, unless the user has asked for fewer: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+class bounded_batches:  # noqa: N801
+    """Rows that go to Python at once, unless the user has asked for fewer: texts are long.
+
+    Called, it holds for the session's plans from then on, as a plan that is run later needs;
+    as `with bounded_batches(...)` the setting is put back at the end of the block.
+    """
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int = 512):
+        self.spark, self.before = spark, spark.conf.get(self.KEY, None)
+        if not 0 < int(self.before or 10_000) <= rows:
+            spark.conf.set(self.KEY, str(rows))
+
+    def __enter__(self) -> bounded_batches:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(self.KEY)
+        else:
+            self.spark.conf.set(self.KEY, self.before)
 
 
 def columns_of(df: DataFrame) -> list[str]:
