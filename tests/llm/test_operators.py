@@ -44,21 +44,42 @@ def test_jaccard_classes(spark):
             words[at] = f"new{k}"
         rows.append((30 + k, " ".join(words)))
     rows += [(60, None), (61, ""), (62, " \n "), (63, "two words"), (64, "TWO  words"), (65, base[5].upper()), (None, base[0]), (66, sentence(20_000)), (67, "a b " * 3000)]
-    found = near_duplicates.jaccard_classes(docs(spark, rows), Scratch(spark, "t"), block=4).collect()
+    rows += [(3, base[4]), (3, "quite another text"), (11, base[1]), (None, sentence(30)), (None, None)]  # ids that repeat, with one text and with several
 
     def shingles(text):
         w = (text or "").lower().split()
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    links = {i: {j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9} for i in sets}
-    label = dict(zip(sets, sets))
-    for _ in sets:
-        label = {i: min([label[i], *(label[j] for j in links[i])]) for i in sets}
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == {i: (label[i], len(links[i])) for i in sets}
-    assert {r["doc_id"]: r["copy_of"] for r in found} == {i: min([i, *(j for j in links[i] if sets[i] == sets[j])]) for i in sets}
+    sets = [shingles(t) for _, t in rows]
+    at = range(len(rows))
+    links = [{j for j in at if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9} for i in at]
+    least = lambda js: min((rows[j][0] for j in js if rows[j][0] is not None), default=None)
+    groups = [{i} for i in at]
+    for _ in at:
+        groups = [g.union(*(links[j] for j in g)) for g in groups]
+    want = [(rows[i][0], least(groups[i]), least([i, *(j for j in links[i] if sets[i] == sets[j])]), 1 + sum(sets[i] == sets[j] for j in links[i]), len(links[i])) for i in at]
+    for bucket_part in (4096, 3):
+        found = near_duplicates.jaccard_classes(docs(spark, rows), Scratch(spark, "t"), block=4, bucket_part=bucket_part)
+        assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["class_id"], r["copy_of"], r["n_copies"], r["n_links"])) for r in found.collect())
+    named = docs(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))  # ids of another type
+    assert {r["class_id"] for r in near_duplicates.jaccard_classes(named, Scratch(spark, "t")).where("doc_id = 'd10'").collect()} == {"d0"}
     assert near_duplicates.jaccard_classes(docs(spark, []), Scratch(spark, "t")).count() == 0
 
+    kept = near_duplicates.keep_one(docs(spark, rows), Scratch(spark, "t"))
+    assert kept.columns == docs(spark, []).columns
+    lead = lambda g: min(g, key=lambda j: (rows[j][0] is None, rows[j][0] or 0, hashlib.md5((f"{len(str(rows[j][0]))}:{rows[j][0]}" + f"{len(rows[j][1])}:{rows[j][1]}").encode()).digest()))
+    stay = [rows[i] for i in at if len(groups[i]) == 1] + [rows[j] for j in {lead(g) for g in groups if len(g) > 1}]
+    assert sorted(map(str, stay)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    few = [(8, "a"), (8, "a"), (1, "b"), (9, "b"), (9, "other text")]
+    assert sorted((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(docs(spark, few), Scratch(spark, "t")).collect()) == [(1, "b"), (8, "a"), (9, "other text")]
+    assert near_duplicates.keep_one(docs(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_plan_sketch():
+    far = near_duplicates.plan_sketch(0.8, 205, 1e-7)
+    bits = np.random.default_rng(1).random((200_000, 205)) < 0.1
+    assert (bits.sum(axis=1) <= far).all() and 30 < far < 60
+
 
 def test_leaks(spark):
     items = [(i, sentence(n)) for i, n in enumerate((12, 15, 15, 30, 41))] + [(9, None), (10, ""), (11, "too short"), (None, sentence(9)), (0, sentence(12))]
@@ -70,31 +91,58 @@ def test_leaks(spark):
         (1, sentence(50) + " " + item0 + " " + sentence(30)), (2, "Hm: " + texts[3].upper().replace(" ", ", ") + "."), (3, sentence(80)), (4, None), (5, ""), (6, "few words"),
         (7, sentence(9000) + " " + " ".join(broken)), (8, texts[1] + " " + texts[2]), (8, sentence(40)), (12, " ".join(texts[3].split()[:14])), (None, texts[1]), (13, texts[1]),
     ]
+    rows += [(8, texts[1] + " " + texts[2]), (1, sentence(30)), (14, (texts[1] + " ") * 2 + item0)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(3)).withColumn("start", F.lit("?"))
-    found = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontaminate.leaks(docs(spark, rows), bench, Scratch(spark, "t")).collect()}
+    found = sorted(str((r["doc_id"], r["item_id"], r["start"], r["similarity"])) for r in decontaminate.leaks(docs(spark, rows), bench, Scratch(spark, "t")).collect())
 
     def shingles(text):
         w = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
         return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
+    known = {x for i, t in items for x in shingles(t) if i is not None}
+
+    def best(text, item):
+        s, want = shingles(text), shingles(item)
+        sims = []
+        for at in [at for at in range(len(s)) if s[at] in known and want]:
+            win = s[at : at + len(want)]
+            both = sum(min(win.count(x), want.count(x)) for x in set(win))
+            sims.append((-round(both / (len(win) + len(want) - both), 6), at))
+        return min(sims, default=(0, 0))
+
     expected = {}
-    for d, text in rows:
-        s = shingles(text)
-        known = {x for _, t in items for x in shingles(t)}
-        for i, t in items:
-            want = shingles(t)
-            for at in range(len(s)):
-                if d is not None and i is not None and want and s[at] in known:
-                    win = s[at : at + len(want)]
-                    both = sum(min(win.count(x), want.count(x)) for x in set(win))
-                    sim = round(both / (len(win) + len(want) - both), 6)
-                    if sim >= 0.8 and (-sim, at) < expected.get((d, i), (0, 0)):
-                        expected[d, i] = (-sim, at)
-    assert found == {k: (at, -s) for k, (s, at) in expected.items()}
-    assert {k[0] for k in found} == {1, 2, 7, 8, 13}
+    for row in set(rows):
+        for i, item in items:
+            sim, at = best(row[1], item)
+            if i is not None and -sim >= 0.8:
+                expected[row, i] = min(expected.get((row, i), (0, 0)), (sim, at))
+    assert found == sorted(str((row[0], i, at, -sim)) for (row, i), (sim, at) in expected.items())
+    assert {row[0] for row, _ in expected} == {1, 2, 7, 8, 13, 14, None}
+    leaking = {row for row, _ in expected}
+    kept = decontaminate.clean(docs(spark, rows), bench, Scratch(spark, "t"))
+    assert sorted(map(str, [r for r in rows if r not in leaking])) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    assert kept.columns == docs(spark, []).columns
     assert decontaminate.leaks(docs(spark, []), bench, Scratch(spark, "t")).count() == 0
     assert decontaminate.leaks(docs(spark, rows), bench.where("false"), Scratch(spark, "t")).count() == 0
-    assert decontaminate.clean(docs(spark, rows), decontaminate.leaks(docs(spark, rows), bench, Scratch(spark, "t"))).count() == len(rows) - 6
+
+
+def test_simhash_of_long_items(spark):
+    one, other = (1 << 40) + 5, (1 << 41) + (1 << 33)
+    frame = spark.sql(f"select concat(array_repeat({one}L, 40000), array_repeat({other}L, 30000)) long, concat(array_repeat({one}L, 4), array_repeat({other}L, 3)) short")
+    assert frame.select(decontaminate.simhash(F.col("long")).alias("a"), decontaminate.simhash(F.col("short")).alias("b")).first() == (one, one)
+
+
+def test_index_selects(spark):
+    """Far fewer pairs are tested than windows times items of their length."""
+    rng = random.Random(11)
+    items = [" ".join(rng.choice(VOCAB) for _ in range(24)) for _ in range(300)]
+    rows = [(i, " ".join([rng.choice(VOCAB) for _ in range(20)] + [items[i], items[i + 100]])) for i in range(40)]
+    scratch = Scratch(spark, "t")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, rows), bench, scratch)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, j) for i in range(40) for j in (i, i + 100)}
+    windows, pairs = (spark.read.parquet(f"{scratch.base}/{t}").count() for t in ("windows", "pairs"))
+    assert pairs < 1.5 * windows
 
 
 def test_licences(spark):
@@ -134,36 +182,65 @@ def test_wrapped_header_and_whole_licence_files(spark):
 
 
 def test_sharding(spark):
-    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "doc_id long, slot string")
-    got = sharding.place(rows, "doc_id", ["x", "y", "z"], 101).collect()
-    table = sharding.build_table(["x", "y", "z"], 101)
-    slot = lambda k: int(hashlib.md5(k.encode()).hexdigest()[:15], 16) % 101
-    assert sorted((r["slot"], r["shard"]) for r in got) == sorted((slot(k), table[slot(k)]) for k in ("1", "1", "", "2"))
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (None, "c", 1), (2, "d", 2)], "`doc``id` long, slot string, `a.b` int")
+    shards = ["x", "y", "z"]
+    placed = sharding.place(rows, "doc`id", shards, 101)
+    assert placed.columns == ["doc`id", "a.b", "slot", "shard"]
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    owner, turn = {}, 0  # the filling rule once more, by walking each shard's whole order
+    orders = {s: [(number(f"offset:{s}") + k * (number(f"step:{s}") % 100 + 1)) % 101 for k in range(101)] for s in shards}
+    while len(owner) < 101:
+        shard = shards[turn % 3]
+        owner[next(x for x in orders[shard] if x not in owner)] = shard
+        turn += 1
+    assert sharding.build_table(shards, 101) == [owner[k] for k in range(101)]
+    got = sorted((r["slot"], r["shard"]) for r in placed.collect())
+    assert got == sorted((number(k) % 101, owner[number(k) % 101]) for k in ("1", "1", "", "2"))
+    assert sharding.place(rows.where("false"), "doc`id", shards, 101).count() == 0
+    for bad in ([], ["x", "x"]):
+        with pytest.raises(ValueError):
+            sharding.build_table(bad, 101)
+    with pytest.raises(ValueError):
+        sharding.build_table(shards, 100)
+    out = f"{Scratch(spark, 't').base}/shards"
+    sharding.write_shards(placed, out)
+    assert sorted((r["slot"], r["shard"]) for r in spark.read.parquet(out).collect()) == got
 
 
 def test_url_filters(spark, monkeypatch):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"), ("block", "a.example.net/en/x"), ("allow", "example.net/en/"), (None, "x/"), ("block", None)]
-    hosts = ["example.net", "a.example.net", "b.example.net", "EXAMPLE.com", "badexample.com", "x.org", "net", "a.net", "n", ""]
-    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/x?y=/fr/", "/de/#a", "/fr", "?q=1", "#/en/")] + [None, "no scheme", "://", "http://", "ftp://x.org/fr/1"]
-    pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(urls)] + [(None, urls[0], "h", "k")], "page_id long, url string, html string, key string")
+    rules += [("block", "/nowhere"), ("block", "xn/"), ("block", "xn/a"), ("allow", "xn/ab"), ("block", "q\x01.xn/ab"), ("allow", "evil/"), ("block", "evil")]
+    hosts = ["example.net", "a.example.net", "b.example.net", "EXAMPLE.com", "badexample.com", "x.org", "net", "a.net", "n", "", "net\x01evil", "evil\x01net", "q\x01.xn", "\x02b.net", "é.xn", "net\x00.evil"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/x?y=/fr/", "/de/#a", "/fr", "?q=1", "#/en/", "/abc", "/\x01")] + [None, "no scheme", "://", "http://", "ftp://x.org/fr/1"]
+    rows = [(i, u, "h", "k") for i, u in enumerate(urls)] + [(None, urls[0], "h", "k")] + [(7, urls[7], "h", "k")] * 2 + [(5000 + i, "http://a.net/hot", "h", "k") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
     frame = spark.createDataFrame(rules, "verdict string, rule string")
 
     def judged(url):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
         host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
-        fits = [(len(r), r, v) for v, r in rules if v and r for h, p in [url_filters.split_rule(r)] if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
-        best = max(fits, default=(0, None, "allow"))
+        fits = [(-len(r), r, v) for v, r in rules if v and r for h, p in [url_filters.split_rule(r)] if h and host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = min(fits, default=(0, None, "allow"))
         return host, path, best[1], best[2]
 
-    want = sorted(map(str, [(i, *judged(u)) for i, u in enumerate(urls)] + [(None, *judged(urls[0]))]))
-    for most in (url_filters.MAX_SWEPT_RULES, 1):  # the sweep, and the join for many rules
-        monkeypatch.setattr(url_filters, "MAX_SWEPT_RULES", most)
+    want = sorted(str((i, *judged(u))) for i, u, *_ in rows)
+    for sampled in (url_filters.SAMPLED, 400):  # few bounds, and one for every url
+        monkeypatch.setattr(url_filters, "SAMPLED", sampled)
         got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge(pages, frame).collect()]
         assert sorted(map(str, got)) == want
+    assert {r["verdict"] for r in url_filters.judge(pages, frame.where("false")).collect()} == {"allow"}
     assert url_filters.judge(pages.where("false"), frame).count() == 0
 
 
+def test_ranges_of_places(spark):
+    bounds = ["b", "c", "ca", "d", "e", "f", "g"]
+    places = ["", "a", "b", "bz", "c", "ca", "cz", "d", "f", "fz", "g", "z"]
+    for n in range(len(bounds) + 1):
+        frame = spark.createDataFrame([(p,) for p in places], "p string").select("p", url_filters._range_of(F.col("p"), bounds[:n]).alias("r"))
+        assert {r["p"]: r["r"] for r in frame.collect()} == {p: sum(b <= p for b in bounds[:n]) for p in places}
+
+
 TEXTS = [(5, sentence(40)), (3, None), (1, ""), (2, "It's <|endoftext|> HERE, 12½"), (2, "again"), (None, "no id"), (9, "x" * 3000), (8, sentence(30_000)), (7, " \n\t")]
 
 
@@ -194,22 +271,59 @@ def test_token_files(spark):
     assert token_files.read(spark, f"{scratch.base}/none").count() == 0
 
 
-def test_top_k(spark):
+def best_of(rows, k=10):
+    """Brute force over rows (vec_id, vector) in whole numbers."""
+    import math
+
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
+    want = []
+    for a, (q, x) in enumerate(good):
+        if q % 100 == 0:
+            best = sorted((-sum(map(int.__mul__, x, v)), i) for b, (i, v) in enumerate(good) if b != a and len(v) == len(x))[:k]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
+def found_by(spark, rows, **how):
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, rank int, q int")
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(frame, F.col("vec_id") % 100 == 0, Scratch(spark, "t"), **how).collect())
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(0)
     vectors = {i: rng.normal(size=9).tolist() for i in range(300)}
     for i in range(20, 60):
         vectors[i] = vectors[20]
-    vectors |= {400: None, 401: [1.0] * 8, 500: [0.5] * 8, 402: [float("nan")] * 9, 403: [None] * 9, 404: [float("inf")] * 9, 405: []}
-    rows = [(i, v, 1, 2) for i, v in vectors.items()] + [(3, vectors[3], 9, 9), (None, vectors[3], 1, 1)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, q int")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(frame, F.col("vec_id") % 100 == 0, Scratch(spark, "t"), k=10).collect())
-    good = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors.items() if v and None not in v and np.isfinite(v).all()}
-    want = []
-    for q in [i for i in good if i % 100 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:10]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
-    assert vector_search.top_k(frame.where("false"), F.lit(True), Scratch(spark, "t")).count() == 0
+    vectors |= {400: None, 401: [1.0] * 8, 500: [0.5] * 8, 402: [float("nan")] * 9, 403: [None] * 9, 404: [float("inf")] * 9, 405: [], 600: [2.0]}
+    rows = [*vectors.items(), (3, vectors[3]), (3, vectors[200]), (None, vectors[3]), (100, vectors[100]), (100, vectors[7]), (200, vectors[20])]
+    want = best_of(rows)
+    assert found_by(spark, rows) == want
+    monkeypatch.setattr(vector_search, "CHUNK", 7)
+    monkeypatch.setattr(vector_search, "QUERIES", 2)
+    monkeypatch.setattr(vector_search, "PASS_BYTES", 300)
+    assert found_by(spark, rows, slices=3) == want  # many nodes, chunks and passes
+    assert found_by(spark, [(0, [1.0]), (2, [2.0]), (2, [3.0])]) == [(0, 1, 2, 3 << 20), (0, 2, 2, 2 << 20)]
+    assert found_by(spark, [(1, [1.0])]) == [] and found_by(spark, [(100, [1.0])]) == [] and found_by(spark, []) == []
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 8, 3)).tolist()) for i in range(1, 40)]
+    rows += [(51, [1e300, 0.0, 0.0]), (52, [0.0, 1.0, 2.0]), (53, [0.0, 1e12, 1.0]), (54, [-1e304, 0.5, 0.5]), (100, [0.0, 0.25, -1.0]), (200, [0.0, 0.0, 3.0]), (300, [0.0, -30.0, 2e3])]
+    rows += [(400, [0.0, 3e8]), (401, [5.0, 1.0]), (402, [1e300, 2.0]), (403, [-1e300, 2.0]), (500, [0.0, 7.0])]
+    assert found_by(spark, rows, k=5) == best_of(rows, 5)
+    with pytest.raises(Exception, match="a score is no long"):
+        found_by(spark, [*rows, (600, [1.0, 0.0, 0.0])], k=5)
+
+
+def test_phases_send_few_entries(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 16)).tolist())]
+    scratch = Scratch(spark, "t")
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vector_search.top_k(frame, F.col("vec_id") % 100 == 0, scratch).collect())) == best_of(rows)
+    entries, left = (spark.read.parquet(f"{scratch.base}/pass0-{t}").count() for t in ("entries", "left"))
+    assert left <= entries < 0.15 * 30 * 3000 * 2
 
 
 @pytest.fixture(scope="module")

@@ -11,27 +11,33 @@ of the item's size has a weighted Jaccard similarity to the item of `threshold`
 * SimHash. 64 bits; the 64 counters of a window are packed into 16 longs.
 * Multi-index. `plan_radius` gives the distance that a pair at the threshold exceeds with
   a chance of at most `miss`; radius + 1 blocks of bits then guarantee (pigeonhole) that
-  every pair within the radius agrees in a whole block. Blocks are joined by equality.
+  every pair within the radius agrees in a whole block. Blocks of two or three bits alone
+  would select little, so a key is (length, block, its bits, anchor). Anchors of an item
+  are its rarest shingles, so many that a window without any of them falls short of the
+  threshold: a pair at the threshold shares an anchor, a pair within the radius a block.
 * Every pair within the radius is then decided by its exact similarity.
 
+Rows of documents are told apart by doc_id and text together.
+
 All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.rows import MAX_BROADCAST_ROWS, row_key, small
 from tidewater.session import Scratch, columns_of
 
 SIZE = 5
 BITS = 64
-#: Most rows that are broadcast: of two or three numbers each, and of rows with arrays. Larger tables are joined by shuffle.
-MAX_NARROW_ROWS = 1_000_000
-MAX_WIDE_ROWS = 20_000
+#: Most numbers, in arrays, that are broadcast.
+MAX_BROADCAST_NUMBERS = 2_000_000
 
 
 def plan_radius(threshold: float, miss: float) -> int:
@@ -71,21 +77,28 @@ def shingles(text: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= SIZE, each(w)).otherwise(F.array().cast("array<long>")))
 
 
-def simhash(values: Column) -> Column:
-    """64-bit SimHash of an array of at most 32,767 hashes, each as heavy as it is frequent."""
-    lanes = F.transform(
-        F.sequence(F.lit(0), F.lit(15)),
-        lambda j: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, j).bitwiseAND(F.lit(0x0001000100010001))),
+def _simhash(values: Column, width: int) -> Column:
+    """simhash with the counters packed in lanes of so many bits."""
+    lanes = 64 // width
+    ones = F.lit(sum(1 << (width * k) for k in range(lanes)))
+    sums = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda j: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, j).bitwiseAND(ones)),
     )
 
     def bits(counts: Column) -> Column:
         def add(acc: Column, b: Column) -> Column:
-            count = F.call_function("shiftrightunsigned", F.get(counts, b % 16), F.floor(b / 16).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
+            count = F.call_function("shiftrightunsigned", F.get(counts, b % width), F.floor(b / width).cast("int") * width).bitwiseAND(F.lit((1 << width) - 1))
             return F.when(count * 2 > F.size(values), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), add)
 
-    return let(lanes, bits)
+    return let(sums, bits)
+
+
+def simhash(values: Column) -> Column:
+    """64-bit SimHash of an array of hashes, each as heavy as it is frequent; long arrays are counted in wider lanes."""
+    return F.when(F.size(values) < 1 << 15, _simhash(values, 16)).otherwise(_simhash(values, 32))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -100,59 +113,89 @@ def similarity(a: Column, b: Column) -> Column:
     return let(F.when(plain, F.size(shared)).otherwise(repeats), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast where the counted rows allow it; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _few(df: DataFrame, numbers: Column) -> DataFrame:
+    """Broadcast where all its arrays together hold few enough numbers; else left to a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(numbers)).first()[0] or 0) <= MAX_BROADCAST_NUMBERS else df
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
-    """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, start, similarity).
+def _anchored(items: DataFrame, threshold: float) -> DataFrame:
+    """items(no, item, len) -> (h, lens, anchors): lengths of the items that hold a shingle, and of those whose anchor it is."""
+    each = items.select("no", "len", F.explode("item").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("n", "h")))  # as many as one item has shingles
+    ranked = each.join(often, "h").groupBy("no", "len").agg(order.alias("o"))
+    spare = F.col("len") - F.ceil(F.lit(threshold) * F.col("len") - 1e-9) + 1
+    anchors = F.array_distinct(F.slice(F.transform("o", lambda x: x["h"]), F.lit(1), spare.cast("int")))
+    marks = ranked.select("len", F.explode(F.array_distinct(F.transform("o", lambda x: x["h"]))).alias("h"), anchors.alias("a"))
+    marks = marks.select("h", "len", F.array_contains("a", F.col("h")).alias("anchor"))
+    return marks.groupBy("h").agg(F.collect_set("len").alias("lens"), F.collect_set(F.when(F.col("anchor"), F.col("len"))).alias("anchors"))
 
-    One row per contaminated pair: the most similar window and the number of the word it
-    begins with (the first, of windows as similar). Clean documents have no row. Null or
-    empty texts and ids, documents and items of fewer than five words match nothing.
-    Repeated documents or items with one id give one row. Items may have up to 32,767
-    shingles. Other columns are ignored. Empty tables give no rows.
-    """
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float, miss: float) -> DataFrame:
+    """(key, doc_id, item_id, start, similarity) of contaminated pairs of a document row and an item."""
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     items = benchmark.where("item_id is not null").select("item_id", shingles(F.col("text")).alias("item")).where("size(item) > 0")
-    items = scratch.keep(items.withColumn("len", F.size("item")), "items")
-    known = items.select(F.explode("item").alias("h"), "len").groupBy("h").agg(F.collect_set("len").alias("lens"))
-    known = scratch.keep(known, "known")
+    items = scratch.keep(items.repartition(spread).withColumn("len", F.size("item")).withColumn("no", F.monotonically_increasing_id()), "items")
+    known = scratch.keep(_anchored(items, threshold), "known")
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
     hits = (
-        docs.where("doc_id is not null").select("doc_id", F.posexplode(shingles(F.col("text"))).alias("pos", "h"))
-        .join(_small(known, MAX_NARROW_ROWS), "h").select("doc_id", "pos", "lens")
+        keyed.select("key", F.posexplode(shingles(F.col("text"))).alias("pos", "h"))
+        .join(small(known.select("h"), 4 * MAX_BROADCAST_ROWS), "h", "left_semi")
+        .join(_few(known, F.size("lens") + F.size("anchors") + 1), "h").select("key", F.struct("pos", "h", "lens", "anchors").alias("hit"))
+    )
+    hits = scratch.keep(hits.groupBy("key").agg(F.array_sort(F.collect_set("hit")).alias("hits")), "hits")
+    found = (
+        keyed.join(small(hits.select("key")), "key", "left_semi").dropDuplicates(["key"])
+        .join(_few(hits, F.size("hits") * 4), "key").select("key", "doc_id", "hits", shingles(F.col("text")).alias("hs"))
     )
-    hits = scratch.keep(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "lens"))).alias("hits")), "hits")
-    some = docs.select("doc_id", "text").join(_small(hits.select("doc_id"), MAX_NARROW_ROWS), "doc_id", "left_semi")
-    found = some.join(_small(hits, MAX_WIDE_ROWS), "doc_id").select("doc_id", "hits", shingles(F.col("text")).alias("hs"))
-    starts = found.select("doc_id", "hs", F.transform("hits", lambda x: x["pos"]).alias("at"), F.posexplode("hits").alias("i", "hit"))
-    starts = starts.select("doc_id", "hs", "at", "i", F.col("hit.pos").alias("start"), F.explode("hit.lens").alias("len"))
+    starts = found.select("key", "doc_id", "hs", "hits", F.posexplode("hits").alias("i", "hit"))
+    starts = starts.select("key", "doc_id", "hs", "hits", "i", F.col("hit.pos").alias("start"), F.explode("hit.lens").alias("len"))
     least = F.ceil(F.lit(threshold) * F.col("len") - 1e-9).cast("int")
+    inside = F.filter(F.slice("hits", F.col("i") + 1, F.col("len")), lambda x: (x["pos"] < F.col("start") + F.col("len")) & F.array_contains(x["anchors"], F.col("len")))
     windows = (
-        starts.where(F.get("at", F.col("i") + least - 1) <= F.col("start") + F.col("len") - 1)
-        .select("doc_id", "start", "len", F.slice("hs", F.col("start") + 1, F.col("len")).alias("window"))
+        starts.where(F.get("hits", F.col("i") + least - 1)["pos"] <= F.col("start") + F.col("len") - 1)
+        .select("key", "doc_id", "start", "len", F.array_distinct(F.transform(inside, lambda x: x["h"])).alias("anchors"), F.slice("hs", F.col("start") + 1, F.col("len")).alias("window"))
+        .where("size(anchors) > 0")
     )
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work for each
-    windows = scratch.keep(windows.repartition(spread, "doc_id", "start"), "windows").withColumn("fp", simhash(F.col("window")))
+    windows = scratch.keep(windows.repartition(spread, "key", "start"), "windows")  # few bytes, much work for each
     radius = plan_radius(threshold, miss)
     masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
-    items = items.withColumn("item_fp", simhash(F.col("item")))
     cut = lambda fp: F.posexplode(F.transform(masks, lambda m: fp.bitwiseAND(m))).alias("block", "bits")
-    indexed = items.select("item_id", "item", "len", "item_fp", cut(F.col("item_fp")))
-    indexed = scratch.keep(indexed, "indexed")
-    far = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first = F.array_position(F.transform(masks, lambda m: far.bitwiseAND(m)), F.lit(0).cast("long")) - 1
-    pairs = (
-        windows.repartition(spread, "start", "doc_id").select("doc_id", "start", "len", "window", "fp", cut(F.col("fp")))
-        .join(_small(indexed, MAX_WIDE_ROWS), ["len", "block", "bits"])
-        .where((F.bit_count(far) <= radius) & (first == F.col("block")))
-        .select("doc_id", "item_id", "start", similarity(F.col("window"), F.col("item")).alias("similarity"))
+    keys = F.xxhash64("len", "block", "bits", "anchor").alias("k")
+    anchor_of = known.select(F.col("h").alias("anchor"), F.explode("anchors").alias("len"))
+    anchored = items.select("no", "len", F.explode(F.array_distinct("item")).alias("anchor")).join(anchor_of, ["anchor", "len"])
+    prints = scratch.keep(items.select("no", "item", "len", simhash(F.col("item")).alias("item_fp")), "prints")
+    index = anchored.join(prints.select("no", "item_fp"), "no").select("no", "len", "anchor", "item_fp", cut(F.col("item_fp"))).select("no", "item_fp", keys)
+    index = scratch.keep(index, "index")
+    windows = windows.withColumn("fp", simhash(F.col("window")))
+    probes = windows.select("key", "start", "len", "fp", F.explode("anchors").alias("anchor"))
+    probes = probes.repartition(spread).select("key", "start", "len", "fp", "anchor", cut(F.col("fp"))).select("key", "start", "len", "fp", keys)
+    close = probes.join(small(index), "k").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    pairs = scratch.keep(close.select("key", "start", "len", "no").distinct(), "pairs")
+    alike = (
+        pairs.join(windows.drop("fp", "anchors"), ["key", "start", "len"]).join(_few(items.drop("len"), F.size("item")), "no")
+        .select("key", "doc_id", "item_id", "start", similarity(F.col("window"), F.col("item")).alias("similarity"))
         .where(F.col("similarity") >= threshold - 1e-9)
     )
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.round("b.similarity", 6).alias("similarity"))
+    best = alike.groupBy("key", "doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
+    return best.select("key", "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.round("b.similarity", 6).alias("similarity"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
+    """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, start, similarity).
+
+    One row per contaminated pair: the most similar window and the number of the word it
+    begins with (the first, of windows as similar). Clean documents have no row. Null or
+    empty texts, documents and items of fewer than five words, and items without an id match
+    nothing. Null doc_ids are kept. Repeats of a document row, or of an item's id, give one
+    row; documents that share only a doc_id are judged each. Other columns are ignored.
+    Empty tables give no rows.
+    """
+    return _leaks(docs, benchmark, scratch, threshold, miss).drop("key")
 
 
-def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents without a leak; null doc_ids stay."""
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*columns_of(docs))
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
+    """The rows of docs without a leak; a row that only shares its doc_id with a leaking one stays."""
+    name = f"key_{uuid.uuid4().hex}"
+    found = scratch.keep(_leaks(docs, benchmark, scratch, threshold, miss).select(F.col("key").alias(name)).distinct(), "leaking")
+    return docs.withColumn(name, row_key(F.col("doc_id"), F.col("text"))).join(small(found), name, "left_anti").select(*columns_of(docs))

@@ -4,19 +4,25 @@ Words are the lower-cased runs between white space; a shingle is five words in a
 shorter text is one shingle). Two documents are linked if the Jaccard similarity of their
 shingle sets is at least `threshold`.
 
-1. Documents with the same shingle set form a class of copies; only its least doc_id goes on.
+1. Documents with the same shingle set form a node, named by a 128-bit digest of the set;
+   only nodes go on, so copies cost nothing further.
 2. `plan_bands` picks the fewest hashes whose bands miss a pair at the threshold with a
-   chance of at most `miss`. Band hashes are shuffled; each bucket ties its members to the
-   least one, so a bucket of m gives m - 1 ties and no pairs.
-3. The components of those ties hold every pair that shares a band. The shingle sets of a
-   component meet in one group, or, if it is large, in blocks of its members two by two.
-   There all intersections are counted exactly; what leaves a block are counts of links by
-   document and a spanning forest, never the pairs.
+   chance of at most `miss`. Rows (band hash, node, sketch) are shuffled by band hash; the
+   sketch holds one bit of each MinHash, so two members of a bucket are candidates if so
+   many bits agree as a pair at the threshold has but with chance `miss` (`plan_sketch`).
+   A bucket gives a spanning forest of its candidates, never its pairs. Buckets of many
+   members are shared out over tasks in blocks of parts two by two.
+3. Candidates are alike already, so their components are about as large as the classes.
+   The shingle sets of a component meet in blocks bounded in members and in bytes. There
+   all intersections are counted exactly; what leaves a block are counts of links by
+   node and a spanning forest of verified links.
 4. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +32,14 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytestext as B
 from tidewater.llm.components import components
+from tidewater.llm.rows import row_key, small
 from tidewater.session import Scratch, bounded_batches, columns_of
 
 U32, U64 = np.uint32, np.uint64
+#: Members of a bucket that one part of it has, about; and bytes of shingles that one part of a component has.
+BUCKET_PART = 4_096
+PART_BYTES = 24 << 20
+SKETCH_BYTES = 32
 
 
 def plan_bands(threshold: float, miss: float, rows: int = 5) -> tuple[int, int]:
@@ -37,29 +48,55 @@ def plan_bands(threshold: float, miss: float, rows: int = 5) -> tuple[int, int]:
     return int(np.ceil(np.log(miss) / np.log1p(-caught))), rows
 
 
+def plan_sketch(threshold: float, hashes: int, miss: float) -> int:
+    """The most bits, of one for each hash, in which a pair at the threshold differs but with chance `miss` at most."""
+    p = (1 - threshold) / 2  # a bit differs if the hashes do, and then half the time
+    tail, most = 1.0, -1
+    while tail > miss and most < hashes:
+        most += 1
+        tail -= math.comb(hashes, most) * p**most * (1 - p) ** (hashes - most)
+    return most
+
+
 def _hashers(count: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = B.mix(np.arange(1, 2 * count + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
     return (seeds[:count] | U64(1)).astype(U32), seeds[count:].astype(U32)
 
 
-def _band_hashes(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One row of band hashes for each text that has shingles."""
+def _band_hashes(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of band hashes, and a sketch, for each text that has shingles."""
     odd, flip = _hashers(bands * rows)
     x = (values >> U64(32)).astype(U32)
     begins = first[:-1][np.diff(first) > 0]
     out = np.zeros((len(begins), bands), dtype=U64)
+    bits = np.zeros((len(begins), 8 * SKETCH_BYTES), dtype=np.uint8)
     for b in range(bands):
         acc = np.full(len(begins), b + 1, dtype=U64)
         for k in range(b * rows, (b + 1) * rows):
             h = (x ^ flip[k]) * odd[k]
             h ^= h >> U32(15)
             h *= U32(0x2C1B3C6D)
-            acc = B.mix(acc * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, begins).astype(U64))
+            least = np.minimum.reduceat(h, begins)
+            acc = B.mix(acc * U64(0x9E3779B97F4A7C15) + least.astype(U64))
+            if k < 8 * SKETCH_BYTES:
+                bits[:, k] = least & U32(1)
         out[:, b] = acc
-    return out
+    return out, np.packbits(bits, axis=1)
+
+
+def _fixed(raw: bytes, n: int, width: int) -> pa.Array:
+    """A binary array of n values of one width."""
+    offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1])
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(raw)])
+
 
+def _unfixed(col: pa.Array, width: int) -> np.ndarray:
+    """The bytes (n x width) of a binary array whose values all have this width."""
+    offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(len(col), width)
 
-SIGNED = "doc_id long, digest binary, n_shingles long, bands array<long>"
+
+SIGNED = "key binary, digest binary, n_shingles long, sketch binary, bands array<long>"
 
 
 def _signatures(bands: int, rows: int, size: int):
@@ -70,32 +107,98 @@ def _signatures(bands: int, rows: int, size: int):
                 count = np.diff(first)
                 has = count > 0
                 n = int(has.sum())
-                ids = batch.column("doc_id").slice(a, b - a).filter(pa.array(has))
+                ids, keys = (batch.column(c).slice(a, b - a).filter(pa.array(has)) for c in ("doc_id", "key"))
                 if n:
                     begins = first[:-1][has]
                     sums = np.add.reduceat(B.mix(values ^ U64(0xA5A5A5A5)), begins)
                     again = np.add.reduceat(B.mix(values + U64(0x1234567)), begins)
                     digest = np.column_stack([sums, again]).astype("<u8").tobytes()
-                    sig = _band_hashes(values, first, bands, rows).view(np.int64)
+                    sig, sketch = _band_hashes(values, first, bands, rows)
+                    sig, sketch = sig.view(np.int64), sketch.tobytes()
                 else:
-                    digest, sig = b"", np.zeros((0, bands), dtype=np.int64)
-                offsets = pa.array(np.arange(0, (n + 1) * 16, 16, dtype=np.int32))
-                digests = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(digest)])
+                    digest, sig, sketch = b"", np.zeros((0, bands), dtype=np.int64), b""
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, digests, pa.array(count[has]), lists], names=["doc_id", "digest", "n_shingles", "bands"])
+                cols = [ids, keys, _fixed(digest, n, 16), pa.array(count[has]), _fixed(sketch, n, SKETCH_BYTES), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "digest", "n_shingles", "sketch", "bands"])
 
     return run
 
 
+def _candidates(far: int):
+    """Rows come sorted by (h, b0, b1); gives edges (u, v) of a spanning forest of each block's candidates."""
+
+    def block(sketch: np.ndarray) -> tuple[list[int], list[int]]:
+        u: list[int] = []
+        v: list[int] = []
+        left = np.arange(len(sketch))
+        while len(left) > 1:
+            wave, left = [int(left[0])], left[1:]
+            while wave and len(left):
+                x = wave.pop()
+                close = np.bitwise_count(sketch[left] ^ sketch[x]).sum(axis=1) <= far
+                hit = left[close].tolist()
+                left = left[~close]
+                u += [x] * len(hit)
+                v += hit
+                wave += hit
+        return u, v
+
+    def edges(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        count = np.diff(np.r_[begins, len(key)])
+        two = begins[count == 2]
+        two = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1) <= far]
+        us, vs = [two], [two + 1]
+        for at, n in zip(begins[count > 2].tolist(), count[count > 2].tolist()):
+            u, v = block(sketch[at : at + n])
+            us.append(np.array(u, dtype=np.int64) + at)
+            vs.append(np.array(v, dtype=np.int64) + at)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return node[u], node[v]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def emit(parts):
+            if parts:
+                u, v = edges(*(np.concatenate(x) for x in zip(*parts)))
+                yield pa.RecordBatch.from_arrays([_fixed(x.tobytes(), len(x), 16) for x in (u, v)], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h", "b0", "b1")])
+            rows = key, _unfixed(batch.column("digest"), 16), _unfixed(batch.column("sketch"), SKETCH_BYTES).view(U64)
+            open_ = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])[-1])  # the last block may go on in the next batch
+            if held and (key[0] != held[-1][0][-1]).any():
+                yield from emit(held)
+                held = []
+            if open_:
+                yield from emit([*held, tuple(x[:open_] for x in rows)])
+                held = []
+            held.append(tuple(x[open_:] for x in rows))
+        yield from emit(held)
+
+    return run
+
+
+SETS = ["comp", "part", "blocks", "copies", "node"]
+
+
 def _sets(size: int):
+    """Rows with text -> with the shingle set in its place; a node that a task has met is not given again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            names = [x for x in batch.schema.names if x != "text"]
+            nodes = batch.column("node").to_pylist()
+            new = pa.array([n not in seen and not seen.add(n) for n in nodes], pa.bool_())
+            batch = batch.filter(new)
             for a, b, words in B.runs(batch.column("text"), B.NOT_SPACE):
                 values, first = B.distinct_within(*B.shingle_hashes(words, size))
                 raw = values.astype("<u8").tobytes()
                 sets = pa.array([raw[i * 8 : j * 8] for i, j in zip(first[:-1].tolist(), first[1:].tolist())], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in names), sets], names=[*names, "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in SETS), sets], names=[*SETS, "shingles"])
 
     return run
 
@@ -137,7 +240,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-VERIFIED = "u long, v long, links long"
+VERIFIED = "u binary, v binary, links long"
 
 
 def _verify(threshold: float):
@@ -151,7 +254,8 @@ def _verify(threshold: float):
         if home[0] != home[1]:  # pairs within one of the two parts are counted in its own block
             linked &= part[:, None] != part[None, :]
         total = linked @ copies
-        u, v, w = ids[total > 0].tolist(), [None] * int((total > 0).sum()), total[total > 0].tolist()
+        some = np.flatnonzero(total > 0).tolist()
+        u, v, w = [ids[i] for i in some], [None] * len(some), total[some].tolist()
         todo = np.ones(len(ids), dtype=bool)
         while todo.any():
             wave = [int(np.argmax(todo))]
@@ -161,8 +265,8 @@ def _verify(threshold: float):
                 new = np.flatnonzero(linked[x] & todo)
                 todo[new] = False
                 wave += new.tolist()
-                u += [int(ids[x])] * len(new)
-                v += ids[new].tolist()
+                u += [ids[x]] * len(new)
+                v += [ids[i] for i in new.tolist()]
                 w += [0] * len(new)
         return u, v, w
 
@@ -173,23 +277,23 @@ def _verify(threshold: float):
         def flush():
             if len(held) > 1:
                 ids, copies, part, raw = zip(*held)
-                for to, more in zip(out, block(np.array(ids), np.array(copies), np.array(part), key[1:], [np.frombuffer(r, dtype="<u8") for r in raw])):
+                for to, more in zip(out, block(ids, np.array(copies), np.array(part), key[1:], [np.frombuffer(r, dtype="<u8") for r in raw])):
                     to.extend(more)
             held.clear()
 
         def emit():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=["u", "v", "links"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, (pa.binary(), pa.binary(), pa.int64()))], names=["u", "v", "links"])
             for x in out:
                 x.clear()
             return batch
 
         for batch in batches:
             cols = batch.to_pydict()
-            for k in zip(cols["comp"], cols["b0"], cols["b1"], cols["doc_id"], cols["copies"], cols["part"], cols["shingles"]):
+            for k in zip(cols["comp"], cols["b0"], cols["b1"], cols["node"], cols["copies"], cols["part"], cols["shingles"]):
                 if k[:3] != key:
                     flush()
                     key = k[:3]
-                if not held or held[-1][0] != k[3]:  # a doc_id that occurs twice stands here once; n_copies has its count
+                if not held or held[-1][0] != k[3]:  # repeats of one row may come from several tasks
                     held.append(k[3:])
             if len(out[0]) > 20_000:
                 yield emit()
@@ -199,65 +303,90 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 512) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, class_id, copy_of, n_copies, n_links), one row per document.
-
-    class_id: least doc_id of the documents joined by links; copy_of: least doc_id with the
-    same shingle set; n_copies: documents with that set; n_links: other documents whose
-    similarity to this one is `threshold` or more.
-
-    Null or empty texts have no shingles: each is a class of its own, without links. Null
-    doc_ids can't be told apart and take no part. Each row of a repeated doc_id is a
-    document; if its texts differ, links are those of one of them. Other columns are ignored, whatever their names. No rows: no rows.
-    """
+def _classes(docs: DataFrame, scratch: Scratch, threshold: float, size: int, miss: float, block: int, bucket_part: int) -> DataFrame:
+    """(doc_id, key, class_node, class_id, copy_of, n_copies, n_links) of the rows whose texts have words."""
     spark = docs.sparkSession
     bounded_batches(spark)
     bands, rows = plan_bands(threshold, miss)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null")
-    signed = scratch.keep(text.mapInArrow(_signatures(bands, rows, size), SIGNED), "signed")
-    copies = signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))
-    copies = scratch.keep(copies, "copies")
-    of = scratch.keep(signed.select("doc_id", "digest").join(copies, "digest").select("doc_id", "copy_of", "n_copies"), "of")
-    banded = (
-        signed.join(copies.withColumnRenamed("copy_of", "doc_id"), ["digest", "doc_id"], "left_semi")
-        .select("doc_id", F.posexplode("bands").alias("band", "h"))
-    )
-    banded = scratch.keep(banded, "banded")
-    buckets = banded.groupBy("band", "h").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1")
-    ties = banded.join(buckets, ["band", "h"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
-    ties = scratch.keep(ties, "ties")
-    scratch.drop("banded")
+    far = plan_sketch(threshold, min(bands * rows, 8 * SKETCH_BYTES), miss)
+    text = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.lower("text").alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    signed = scratch.keep(text.mapInArrow(_signatures(bands, rows, size), f"doc_id {kind}, {SIGNED}"), "signed")
+    same = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.min("key").alias("key"), *same)
+    nodes = scratch.keep(nodes, "nodes")
+    banded = nodes.select("digest", "sketch", F.explode("bands").alias("h"))
+    large = banded.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > bucket_part)
+    large = scratch.keep(large.select("h", F.ceil(F.col("n") / bucket_part).cast("int").alias("blocks")), "large_buckets")
+    dealt = banded.join(small(large), "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("h", F.least("part", "o").alias("b0"), F.greatest("part", "o").alias("b1"), "digest", "sketch")
+    dealt = dealt.repartition("h", "b0", "b1").sortWithinPartitions("h", "b0", "b1")
+    ties = scratch.keep(dealt.mapInArrow(_candidates(far), "u binary, v binary"), "ties")
     comps = components(ties, scratch, "ties")
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
-    parts = (
-        comps.join(sizes, "comp")
-        .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(copies.select(F.col("copy_of").alias("node"), F.col("n_copies").alias("copies")), "node")
-        .select(F.col("node").alias("doc_id"), "comp", "part", "blocks", "copies")
-    )
-    parts = scratch.keep(parts, "parts")
-    sets = text.join(parts, "doc_id").mapInArrow(_sets(size), "doc_id long, comp long, part int, blocks int, copies long, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        sets.withColumn("o", other)
-        .select("comp", F.least("part", "o").alias("b0"), F.greatest("part", "o").alias("b1"), "doc_id", "copies", "part", "shingles")
+    members = comps.join(nodes.select(F.col("digest").alias("node"), F.col("n_copies").alias("copies"), "n_shingles", "key"), "node")
+    members = scratch.keep(members, "members")
+    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") * 8 / PART_BYTES)).cast("int").alias("blocks"))
+    parts = members.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    parts = scratch.keep(parts.select("key", *SETS), "parts")
+    sets = text.select("key", "text").join(parts, "key").select(*SETS, "text").mapInArrow(_sets(size), "comp binary, part int, blocks int, copies long, node binary, shingles binary")
+    met = (
+        sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("comp", F.least("part", "o").alias("b0"), F.greatest("part", "o").alias("b1"), "node", "copies", "part", "shingles")
         .repartition("comp", "b0", "b1")
-        .sortWithinPartitions("comp", "b0", "b1", "doc_id")
+        .sortWithinPartitions("comp", "b0", "b1", "node")
     )
-    found = scratch.keep(dealt.mapInArrow(_verify(threshold), VERIFIED), "found")
-    counts = found.where("v is null").groupBy(F.col("u").alias("copy_of")).agg(F.sum("links").alias("links"))
-    classes = components(found.where("v is not null").select("u", "v"), scratch, "links")
-    told = scratch.keep(counts.join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left"), "told")
-    linked = of.join(told, "copy_of", "left").select(
-        "doc_id", F.coalesce("comp", "copy_of").alias("class_id"), "copy_of", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    found = scratch.keep(met.mapInArrow(_verify(threshold), VERIFIED), "found")
+    counts = found.where("v is null").groupBy(F.col("u").alias("digest")).agg(F.sum("links").alias("links"))
+    classes = components(found.where("v is not null").select("u", "v"), scratch, "links").withColumnRenamed("node", "digest")
+    named = classes.join(nodes.select("digest", "copy_of"), "digest")
+    named = named.join(named.groupBy("comp").agg(F.min("copy_of").alias("class_id")), "comp").join(counts, "digest", "left")
+    named = scratch.keep(named.select("digest", "comp", "class_id", "links"), "named")
+    linked = F.col("comp").isNotNull()
+    told = nodes.select("digest", "copy_of", "n_copies").join(named, "digest", "left").select(
+        "digest", F.coalesce("comp", "digest").alias("class_node"), F.when(linked, F.col("class_id")).otherwise(F.col("copy_of")).alias("class_id"), "copy_of", "n_copies",
+        (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    empty = docs.where("doc_id is not null and (text is null or not regexp_like(text, '[^\\\\t\\\\n\\\\x0B\\\\f\\\\r ]'))").select(F.col("doc_id").cast("long").alias("doc_id"))
-    alone = empty.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return signed.select("doc_id", "key", "digest").join(told, "digest").drop("digest")
+
+
+def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 256, bucket_part: int = BUCKET_PART) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, class_id, copy_of, n_copies, n_links), one row per document.
+
+    class_id: least doc_id of the documents joined by links; copy_of: least doc_id with the
+    same shingle set; n_copies: documents with that set; n_links: other documents whose
+    similarity to this one is `threshold` or more.
+
+    Every row is a document of its own, repeated and null doc_ids too; doc_ids may be of any
+    type that has an order, and null is no least one unless there is no other. Null or blank
+    texts have no shingles: each is a class of its own, without links. Other columns are
+    ignored, whatever their names. No rows: no rows.
+    """
+    linked = _classes(docs, scratch, threshold, size, miss, block, bucket_part).drop("key", "class_node")
+    blank = docs.where("text is null or not regexp_like(text, '[^\\\\t\\\\n\\\\x0B\\\\f\\\\r ]')").select("doc_id")
+    alone = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The document of each class with the least doc_id; null doc_ids stay."""
-    gone = classes.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
+def keep_one(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 256, bucket_part: int = BUCKET_PART) -> DataFrame:
+    """docs without near duplicates: of each class one row stays, the one with the least doc_id (null last).
+
+    Rows are told apart by doc_id and text together: of a repeated row one stays, a row that
+    only shares its doc_id with a duplicate is not touched. Of repeats that differ in other
+    columns any one stays. Rows with null or blank texts all stay. No rows: no rows.
+    """
+    many = _classes(docs, scratch, threshold, size, miss, block, bucket_part).where("n_links > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    many = scratch.keep(many.select("class_node", "key", order.alias("o")), "many")
+    leads = many.groupBy("class_node").agg(F.min("o").alias("lead"))
+    marks = many.groupBy("class_node", "key").agg(F.min("o").alias("o"), F.count("*").alias("times")).join(leads, "class_node")
+    name = f"key_{uuid.uuid4().hex}"
+    marks = scratch.keep(marks.select(F.col("key").alias(name), (F.col("o") == F.col("lead")).alias("leads"), "times"), "marks")
+    rows = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text")))
+    columns = columns_of(docs)
+    repeated = marks.where("leads and times > 1").select(name)
+    kept = rows.join(marks.where("not leads or times > 1").select(name), name, "left_anti").select(*columns)
+    if repeated.isEmpty():
+        return kept
+    one = rows.join(repeated, name, "left_semi").groupBy(name).agg(F.first(F.struct(*columns)).alias("row"))
+    return kept.union(one.select("row.*"))

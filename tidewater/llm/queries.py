@@ -84,17 +84,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') ws from documents where doc_id is not null),
-s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  select row_number() over () rid, doc_id, list_filter(string_split_regex(lower(text), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') ws from documents),
+s as (select distinct rid, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
   when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w),
-n as (select doc_id, count(*) c from s group by doc_id),
-i as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
-l as (select i.a, i.b, k = x.c and k = y.c same from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where k >= 0.8 * (x.c + y.c - k) - 1e-9),
-r(x, y) as (select doc_id, doc_id from w union select r.x, l.b from r join l on r.y = l.a)
-select w.doc_id, (select min(y) from r where r.x = w.doc_id) class_id,
-  least(w.doc_id, coalesce((select min(b) from l where l.a = w.doc_id and same), w.doc_id)) copy_of,
-  1 + (select count(*) from l where l.a = w.doc_id and same) n_copies, (select count(*) from l where l.a = w.doc_id) n_links
-from w
+n as (select rid, count(*) c from s group by rid),
+i as (select a.rid a, b.rid b, count(*) k from s a join s b on a.sh = b.sh and a.rid <> b.rid group by all),
+l as (select i.a, i.b, k = x.c and k = y.c same from i join n x on x.rid = i.a join n y on y.rid = i.b where k >= 0.8 * (x.c + y.c - k) - 1e-9),
+r(x, y) as (select rid, rid from w union select r.x, l.b from r join l on r.y = l.a),
+c as (select r.x rid, min(w.doc_id) class_id from r join w on w.rid = r.y group by 1),
+m as (select l.a rid, min(w.doc_id) filter (same) least, count(*) filter (same) copies, count(*) links from l join w on w.rid = l.b group by 1)
+select w.doc_id, c.class_id, least(w.doc_id, m.least) copy_of, 1 + coalesce(m.copies, 0) n_copies, coalesce(m.links, 0) n_links
+from w join c using (rid) left join m using (rid)
 """
 
 OP1_SQL = r"""
@@ -121,21 +121,26 @@ select doc_id, dir || '/' || base as path, own, score, coalesce(own, given) lice
 """.replace("@@TEMPLATES@@", ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES))
 
 OP4_SQL = r"""
-with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents where doc_id is not null),
-iw as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from benchmark where item_id is not null),
-ds as (select doc_id, i - 1 pos, array_to_string(w[i:i + 4], ' ') s from dw, unnest(range(1, len(w) - 3)) u(i)),
-si as (select item_id, array_to_string(w[i:i + 4], ' ') s from iw, unnest(range(1, len(w) - 3)) u(i)),
-il as (select item_id, count(*) len from si group by 1),
-ic as (select item_id, s, count(*) c from si group by all),
-pairs as (select distinct doc_id, item_id from ds join si using (s)),
-hits as (select distinct doc_id, pos from ds where s in (select s from si)),
-win as (select doc_id, item_id, pos, len from pairs join hits using (doc_id) join il using (item_id)),
-wc as (select win.doc_id, win.item_id, win.pos, win.len, ds.s, count(*) c from win join ds on ds.doc_id = win.doc_id and ds.pos between win.pos and win.pos + win.len - 1 group by all),
-sim as (select doc_id, item_id, pos, len, sum(least(wc.c, coalesce(ic.c, 0))) b, sum(wc.c) n from wc left join ic using (item_id, s) group by doc_id, item_id, pos, len),
-ok as (select doc_id, item_id, pos, b / (n + len - b) v from sim where b / (n + len - b) >= 0.8 - 1e-9)
-select doc_id, item_id, arg_min(pos, (-v, pos)) as start, round(max(v), 6) similarity from ok group by 1, 2
+with dw as (select row_number() over () rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from (select distinct doc_id, text from documents)),
+iw as (select row_number() over () iid, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from benchmark where item_id is not null),
+ds as (select rid, i - 1 pos, array_to_string(w[i:i + 4], ' ') s from dw, unnest(range(1, len(w) - 3)) u(i)),
+si as (select iid, array_to_string(w[i:i + 4], ' ') s from iw, unnest(range(1, len(w) - 3)) u(i)),
+il as (select iid, count(*) len from si group by 1),
+ic as (select iid, s, count(*) c from si group by all),
+pairs as (select distinct rid, iid from ds join si using (s)),
+hits as (select distinct rid, pos from ds where s in (select s from si)),
+win as (select rid, iid, pos, len from pairs join hits using (rid) join il using (iid)),
+wc as (select win.rid, win.iid, win.pos, win.len, ds.s, count(*) c from win join ds on ds.rid = win.rid and ds.pos between win.pos and win.pos + win.len - 1 group by all),
+sim as (select rid, iid, pos, len, sum(least(wc.c, coalesce(ic.c, 0))) b, sum(wc.c) n from wc left join ic using (iid, s) group by rid, iid, pos, len),
+ok as (select rid, item_id, pos, b / (n + len - b) v from sim join iw using (iid) where b / (n + len - b) >= 0.8 - 1e-9)
+select any_value(doc_id) doc_id, item_id, arg_min(pos, (-v, pos)) as start, round(max(v), 6) similarity from ok join dw using (rid) group by rid, item_id
 """
 
+OP6_SQL = """
+with k as (select doc_id, cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15)) as bigint) % @@SIZE@@ slot from documents)
+select doc_id, slot, 'shard-' || lpad(cast([@@TABLE@@][slot + 1] as varchar), 3, '0') shard from k
+""".replace("@@SIZE@@", str(sharding.TABLE)).replace("@@TABLE@@", ",".join(str(int(s[-3:])) for s in sharding.build_table(sharding.SHARDS)))
+
 OP7_SQL = """
 with u as (select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
@@ -148,11 +153,11 @@ select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') verdict f
 """
 
 OP10_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) score
-  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from s)
+with v as (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.rid, q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) score
+  from v q join v c on q.vec_id % 100 = 0 and q.rid <> c.rid and len(q.e) = len(c.e)),
+r as (select *, cast(row_number() over (partition by rid order by score desc, vec_id) as int) rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
@@ -163,4 +168,6 @@ QUERIES = {
         op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_sharding": OP6_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL,
+}

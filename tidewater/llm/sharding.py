@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.session import columns_of
+
 TABLE = 65_537
 SHARDS = [f"shard-{i:03d}" for i in range(96)]
 
@@ -57,9 +59,11 @@ def place(rows: DataFrame, key: str, shards: list[str] | None = None, size: int
     Null keys go to the slot of the empty text; repeated keys go to one shard. No rows: no rows.
     """
     spark = rows.sparkSession
-    table = spark.createDataFrame(pa.table({"slot": pa.array(range(size), pa.int64()), "shard": build_table(shards or SHARDS, size)}))
-    kept = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")), slot_of(F.col(f"`{key}`"), size).alias("slot"))
-    return kept.join(F.broadcast(table), "slot").select(*(f"`{c}`" for c in kept.columns if c != "slot"), "slot", "shard")
+    table = spark.createDataFrame(pa.table({"slot": pa.array(range(size), pa.int64()), "shard": build_table(SHARDS if shards is None else shards, size)}))
+    named = dict(zip(rows.columns, columns_of(rows)))
+    others = [quoted for c, quoted in named.items() if c not in ("slot", "shard")]
+    kept = rows.select(*others, slot_of(F.col(named[key]), size).alias("slot"))
+    return kept.join(F.broadcast(table), "slot").select(*others, "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -1,183 +1,309 @@
 """Exact top-k by inner product: three phases with a uniform threshold.
 
-The dimensions are cut into slices; a slice of a chunk of vectors holds local scores, the
-parts of the inner products that its dimensions give. Vectors are packed into chunks, and
-chunks of queries meet chunks of candidates by an equality join on (query chunk, spread):
-queries are a stated set, and blocks of products are computed, never rows of pairs.
-
-1. Gather. For each query and slice every chunk gives its k best local scores, and the
-   least one. Sums of the gathered parts, with the least ones for parts not gathered, are
-   below the true scores, so their k-th best is a safe cutoff t for a query.
-2. Collect. t is sent back with, for each slice, its least score m_s. A candidate that
-   reaches t has in some slice s a local score of at least m_s + (t - sum of m) / slices:
-   the same share everywhere. Only entries that reach it in a slice are collected.
-3. Resolve. Of those, the entries whose upper bound (their part where it reaches the
-   share, else the share) falls short of t go; the missing parts of the others are added,
-   exactly. Each chunk passes on its k best of at least t; the k best of all are ranked.
+The dimensions are cut into slices; a node is one slice of one chunk of candidates, and its
+local scores are the parts of the inner products that its dimensions give. Queries are a
+stated set, packed in chunks; so many of them as fit in `PASS_BYTES` are broadcast to the
+nodes at a time, and the candidates are neither copied nor shuffled to meet them.
+
+1. Gather. Each node lists for each query its k best local scores. Of all lists of a slice
+   the best `HEADS` * k are resolved exactly; the k-th best of their scores is a safe cutoff
+   t of the query: its answer holds no score below t.
+2. Collect. t is broadcast. What reaches t has in one slice at least a local score of
+   t / slices: the same share for all nodes. Only entries of at least the share are sent.
+3. Resolve. Entries of all slices add up to exact scores, whose k-th best may raise t; where
+   a slice is missing, the rest is below the share, and candidates that fall short of t
+   even so go. The missing parts of the others are fetched from their nodes.
+
+Of equal vectors only the k + 1 with the smallest vec_ids are candidates: any other has k
+others of its score before it. Components too large for exact sums in doubles are worked
+out in whole numbers of any size (`_wide`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewater.session import Scratch
+from tidewater.session import Scratch, bounded_batches
 
-CHUNK = 8_192
-QUERIES = 1_024
-SLICES = 4
-
-
-def scaled(embedding: Column) -> Column:
-    """floor(1024 * x) of each component as double, as long."""
-    return F.transform(embedding, lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
+CHUNK = 4_096
+CHUNK_BYTES = 4 << 20
+QUERIES = 512
+PASS_BYTES = 32 << 20
+SLICES = 2
+HEADS = 4
+EXACT = float(1 << 53)
+PAIR = ["dims", "q", "qi", "chunk", "ci"]
+ENTRY = "dims int, q long, qi int, slice int, chunk long, ci int, vec_id long, local long"
 
 
 def usable(embedding: Column) -> Column:
-    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) >= F.lit(float(1 << 43))))
+    """Not null, not empty, and every component a finite number."""
+    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     return embedding.isNotNull() & (F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def _packer(rows: int):
-    """Rows (dims, q, vec_id, v) in order of (dims, q) -> chunks of at most so many rows, each of one dims and q."""
+def _dense(v: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers in the narrowest type that holds them."""
+    most = np.abs(v).max(initial=0)
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+    return kind, v.astype(kind).tobytes()
+
+
+def _opened(kind: str, body: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(body, kind).astype(np.float64).reshape(n, -1)
+
+
+PACKED = "dims int, q long, chunk long, slice int, ids binary, rids binary, kind string, body binary"
+
+
+def _pack(rows: int, slices: int):
+    """Rows (dims, q, vec_id, rid, x) in order of (dims, q) -> nodes: chunks of one dims and q, cut into slices; slices = 0 keeps x as it is, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list[int]]] = []
-        key = None
+        key, held = None, []
 
         def flush():
-            ids = np.array([h[0] for h in held], dtype="<i8")
-            body = np.array([h[1] for h in held], dtype="<i8")
+            ids, rids, x = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([ids.tobytes()]), pa.array([body.tobytes()])], names=["dims", "q", "ids", "body"])
+            cap = max(1, min(rows, CHUNK_BYTES // (8 * key[0])))
+            for a in range(0, len(ids), cap):
+                part = x[a : a + cap]
+                cuts = np.linspace(0, key[0], max(slices, 1) + 1).astype(int)
+                for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    kind, body = _dense(np.floor(1024.0 * part[:, lo:hi])) if slices else ("<f8", part.astype("<f8").tobytes())
+                    row = [key[0], key[1], int(rids[a]), s, ids[a : a + cap].tobytes(), rids[a : a + cap].tobytes(), kind, body]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["dims", "q", "chunk", "slice", "ids", "rids", "kind", "body"])
 
         for batch in batches:
-            for d, q, i, v in zip(*(batch.column(c).to_pylist() for c in ("dims", "q", "vec_id", "v"))):
-                if held and ((d, q) != key or len(held) >= rows):
-                    yield flush()
-                key = (d, q)
-                held.append((i, v))
+            d, q, ids, rids = (batch.column(c).to_numpy().astype(np.int64) for c in ("dims", "q", "vec_id", "rid"))
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(d)
+            begins = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (q[1:] != q[:-1])])
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(d)] if len(d) else []):
+                now = (int(d[a]), int(q[a]))
+                if held and (now != key or sum(len(h[0]) for h in held) >= rows):
+                    yield from flush()
+                key = now
+                held.append((ids[a:b], rids[a:b], flat[ends[a] - d[a] : ends[b - 1]].reshape(b - a, now[0])))
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _chunks(vectors: DataFrame, rows: int) -> DataFrame:
-    return vectors.select("dims", "q", "vec_id", "v").sortWithinPartitions("dims", "q").mapInArrow(_packer(rows), "dims int, q long, ids binary, body binary")
+def _packed(vectors: DataFrame, rows: int, slices: int) -> DataFrame:
+    return vectors.select("dims", "q", "vec_id", "rid", "x").sortWithinPartitions("dims", "q", "rid").mapInArrow(_pack(rows, slices), PACKED)
 
 
-def _unpack(ids: bytes, body: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(body, "<i8").reshape(-1, dims)
+def _sides(r: dict) -> tuple[np.ndarray, ...]:
+    """Row numbers and parts of the queries, and vec_ids, row numbers and parts of the candidates."""
+    qr, cr = np.frombuffer(r["q_rids"], "<i8"), np.frombuffer(r["rids"], "<i8")
+    return qr, _opened(r["q_kind"], r["q_body"], len(qr)), np.frombuffer(r["ids"], "<i8"), cr, _opened(r["kind"], r["body"], len(cr))
 
 
-def _parts(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
-    """Local scores (queries x candidates) of each slice; in doubles where those are exact."""
-    cuts = np.linspace(0, q.shape[1], slices + 1).astype(int)
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if most < 2**53:
-        q, c = q.astype(np.float64), c.astype(np.float64)
-    return [(q[:, a:b] @ c[:, a:b].T).astype(np.int64) for a, b in zip(cuts, cuts[1:])]
+def _entries(r: dict, qi: np.ndarray, ci: np.ndarray, ids: np.ndarray, local: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(qi), 1 << 16):
+        i, j, x = qi[a : a + (1 << 16)], ci[a : a + (1 << 16)], local[a : a + (1 << 16)]
+        n = len(i)
+        cols = [np.full(n, r["dims"]), np.full(n, r["q"]), i, np.full(n, r["slice"]), np.full(n, r["chunk"]), j, ids[j], x.astype(np.int64)]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["dims", "q", "qi", "slice", "chunk", "ci", "vec_id", "local"])
 
 
-def _gather(k: int, slices: int):
-    least = np.iinfo(np.int64).min
+def _gather(k: int):
+    """The k best local scores of each query in a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                qi, q = _unpack(r["q_ids"], r["q_body"], r["dims"])
-                ci, c = _unpack(r["ids"], r["body"], r["dims"])
-                own = qi[:, None] == ci[None, :]
-                for s, local in enumerate(_parts(q, c, slices)):
-                    low = np.where(own, np.iinfo(np.int64).max, local).min(axis=1)
-                    local[own] = least
-                    n = min(k, len(ci))
-                    top = np.argpartition(-local, n - 1, axis=1)[:, :n] if n < len(ci) else np.tile(np.arange(n), (len(qi), 1))
-                    score = np.take_along_axis(local, top, axis=1)
-                    keep = score > least
-                    rows = np.nonzero(keep)[0]
-                    m = len(rows)
-                    cols = [np.repeat(r["dims"], m), np.repeat(r["q"], m), qi[rows], np.repeat(s, m), ci[top[keep]], score[keep], low[rows]]
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["dims", "q", "query_id", "slice", "vec_id", "local", "low"])
+                qr, q, ids, cr, c = _sides(r)
+                local = q @ c.T
+                local[qr[:, None] == cr[None, :]] = -np.inf
+                n = min(k, len(ids))
+                top = np.argpartition(-local, n - 1, axis=1)[:, :n]
+                score = np.take_along_axis(local, top, axis=1)
+                i, j = np.nonzero(score > -np.inf)
+                yield from _entries(r, i, top[i, j], ids, score[i, j])
 
     return run
 
 
-def _resolve(k: int, slices: int):
+def _collect(slices: int):
+    """Local scores that reach the query's share of its cutoff."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                qi, q = _unpack(r["q_ids"], r["q_body"], r["dims"])
-                ci, c = _unpack(r["ids"], r["body"], r["dims"])
-                cuts = {x["query_id"]: (x["cutoff"], x["lows"]) for x in r["cutoffs"] or ()}
-                at = np.array([j for j, x in enumerate(qi.tolist()) if x in cuts], dtype=int)
-                if not len(at):
-                    continue
-                qi, q = qi[at], q[at]
-                t = np.array([cuts[x][0] for x in qi.tolist()], dtype=np.int64)[:, None]
-                low = np.array([cuts[x][1] for x in qi.tolist()], dtype=np.int64)
-                share = -(-(t[:, 0] - low.sum(axis=1)) // slices)
-                local = _parts(q, c, slices)
-                reach = [p >= (low[:, s] + share)[:, None] for s, p in enumerate(local)]
-                upper = sum(np.where(g, p, (low[:, s] + share)[:, None]) for s, (g, p) in enumerate(zip(reach, local)))
-                some = np.logical_or.reduce(reach) & (upper >= t) & (qi[:, None] != ci[None, :])
-                i, j = np.nonzero(some)
-                score = sum(p[i, j] for p in local)
-                good = score >= t[i, 0]
-                i, j, score = i[good], j[good], score[good]
-                order = np.lexsort((ci[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, score = i[rank < k], j[rank < k], score[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ci[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                qr, q, ids, cr, c = _sides(r)
+                share = np.full(len(qr), np.inf)
+                for x in r["cutoffs"]:
+                    share[x["qi"]] = -(-x["cutoff"] // slices)
+                local = q @ c.T
+                i, j = np.nonzero((local >= share[:, None]) & (qr[:, None] != cr[None, :]))
+                yield from _entries(r, i, j, ids, local[i, j])
 
     return run
 
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Local scores of the asked pairs of a query chunk and a node."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            _, q, ids, _, c = _sides(r)
+            i, j = (np.array([x[f] for x in r["asked"]], dtype=np.int64) for f in ("qi", "ci"))
+            local = np.concatenate([np.einsum("ij,ij->i", q[i[a : a + 4096]], c[j[a : a + 4096]]) for a in range(0, len(i), 4096)])
+            yield from _entries(r, i, j, ids, local)
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids, rids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rids"], "<i8")
+            n = len(ids)
+            cols = [pa.array([r["dims"]] * n, pa.int32()), pa.array([r["q"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids), pa.array(rids)]
+            yield pa.RecordBatch.from_arrays(cols, names=["dims", "q", "qi", "query_id", "query_rid"])
+
+
+def _best(scores: DataFrame, by: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+class _Pass:
+    """The three phases for the queries of one pass."""
+
+    def __init__(self, nodes: DataFrame, queries: DataFrame, scratch: Scratch, k: int, slices: int, name: str):
+        self.nodes, self.queries, self.scratch, self.k, self.slices, self.name = nodes, queries, scratch, k, slices, name
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        with bounded_batches(df.sparkSession, 4):  # a row holds a chunk
+            return self.scratch.keep(df, f"{self.name}-{name}")
+
+    def meet(self, queries: DataFrame) -> DataFrame:
+        return self.nodes.join(F.broadcast(queries), ["dims", "slice"])  # PASS_BYTES at most
+
+    def resolve(self, known: DataFrame, name: str) -> DataFrame:
+        """Entries of some slices -> (PAIR, vec_id, score): the missing parts are fetched, and all added up."""
+        every = F.array(*(F.lit(s) for s in range(self.slices)))
+        missing = known.groupBy(*PAIR).agg(F.collect_set("slice").alias("seen")).select(*PAIR, F.explode(F.array_except(every, "seen")).alias("slice"))
+        asked = missing.groupBy("dims", "slice", "chunk", "q").agg(F.collect_list(F.struct("qi", "ci")).alias("asked"))  # as many as two chunks have pairs
+        met = self.nodes.join(asked, ["dims", "slice", "chunk"]).join(F.broadcast(self.queries), ["dims", "slice", "q"])
+        fetched = self.keep(met.mapInArrow(_fetch, ENTRY), name)
+        both = known.unionByName(fetched)
+        return both.groupBy(*PAIR).agg(F.first("vec_id").alias("vec_id"), F.sum("local").alias("score"))
+
+    def run(self) -> DataFrame:
+        k, slices = self.k, self.slices
+        query = ["dims", "q", "qi"]
+        lists = self.keep(self.meet(self.queries).mapInArrow(_gather(k), ENTRY), "lists")
+        order = Window.partitionBy(*query, "slice").orderBy(F.desc("local"), "vec_id")
+        heads = lists.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HEADS * k).drop("r")
+        heads = self.keep(self.resolve(self.keep(heads, "heads"), "head_parts"), "head_scores")
+        cutoffs = self.keep(_best(heads, query, k).groupBy(*query).agg(F.min("score").alias("cutoff")), "cutoffs")
+        told = cutoffs.groupBy("dims", "q").agg(F.collect_list(F.struct("qi", "cutoff")).alias("cutoffs"))  # as many as a chunk has queries
+        entries = self.keep(self.meet(self.queries.join(told, ["dims", "q"])).mapInArrow(_collect(slices), ENTRY), "entries")
+        sums = entries.groupBy(*PAIR).agg(F.first("vec_id").alias("vec_id"), F.sum("local").alias("score"), F.count("*").alias("seen"))
+        sums = self.keep(sums, "sums")
+        full = sums.where(F.col("seen") == slices).drop("seen")
+        better = _best(full.unionByName(heads).distinct(), query, k).groupBy(*query).agg(F.min("score").alias("better"))
+        bounds = cutoffs.join(better, query)
+        below = F.ceil(F.col("cutoff") / slices) - 1  # what a part that was not sent has at most
+        upper = F.col("score") + (slices - F.col("seen")) * below
+        left = sums.where(F.col("seen") < slices).join(bounds, query).where(upper >= F.col("better")).select(*PAIR)
+        rest = self.resolve(self.keep(entries.join(left, PAIR, "left_semi"), "left"), "parts")
+        return self.keep(_best(full.unionByName(rest), query, k).drop("rank"), "best")
+
+
+def _wide(k: int):
+    """Each query's k best of a chunk, in whole numbers of any size, of pairs in which a vector is too large for doubles; beyond: the score is no long."""
+    least, most = -(1 << 63), (1 << 63) - 1
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.array([[math.floor(y * 1024.0) if abs(y) < 1e300 else int(y) * 1024 for y in v] for v in x.tolist()], dtype=object).reshape(x.shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                qr, q, ids, cr, c = _sides(r)
+                large_q, large_c = (np.abs(x).max(axis=1) >= (_limit(r["dims"]) - 1) / 1024.0 for x in (q, c))
+                q, c = whole(q), whole(c)
+                out: list[tuple] = []
+                for i in range(len(qr)):
+                    at = np.flatnonzero((cr != qr[i]) & (large_q[i] | large_c))
+                    scores = sorted((-sum(map(int.__mul__, q[i], c[j])), int(ids[j]), j) for j in at.tolist())[:k]
+                    out += [(r["dims"], r["q"], i, r["chunk"], j, v, max(least, min(most, -s)), not least <= -s <= most) for s, v, j in scores]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+                cols = list(zip(*out)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=[*PAIR, "vec_id", "score", "beyond"])
+
+    return run
+
+
+def _limit(dims: int) -> float:
+    """Vectors whose scaled components stay below it have inner products that doubles hold exactly."""
+    return math.floor(math.sqrt(EXACT / dims))
+
+
 def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, slices: int = SLICES) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): each query's k best others.
 
-    Ties go to the smaller vec_id; with fewer others, all are given. Vectors that are null
-    or empty, or hold a null or non-finite component (or one beyond 2**43, whose scaled
-    value is no exact long) take no part, nor do null vec_ids. Only vectors of one length
-    are compared. Rows that repeat a vec_id count once, with the least of its vectors.
-    Scores must fit a long. Other columns are ignored. No queries: no rows.
+    Components count as floor(1024 * x), x as double. Every row is a vector of its own: a
+    repeated vec_id is as many candidates, and as many queries, as it has rows; only a
+    query's own row is none of its candidates. Ties go to the smaller vec_id; with fewer
+    others, all are given. Vectors that are null or empty, or hold a null or non-finite
+    component take no part, nor do null vec_ids. Only vectors of one length are compared.
+    A score to be given that is no long ends the job with an error. Other columns are
+    ignored. No queries: no rows.
     """
     spark = vectors.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = F.transform("embedding", lambda y: y.cast("double"))
     good = vectors.where("vec_id is not null").where(usable(F.col("embedding")))
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v"), is_query.alias("is_query"))
-    good = scratch.keep(good.groupBy("vec_id", "is_query").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), "vectors")
-    # one row for each length of vector that occurs, which the longest vector bounds
-    counts = F.broadcast(good.where("is_query").groupBy("dims").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("chunks")))
-    queries = good.where("is_query").join(counts, "dims").withColumn("q", F.pmod(F.xxhash64("vec_id"), "chunks"))
-    queries = _chunks(queries.repartition("dims", "q"), 4 * QUERIES)
-    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s")
-    queries = queries.select("dims", "q", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), copies)
-    queries = scratch.keep(queries, "queries")
-    cands = _chunks(good.withColumn("q", F.lit(0).cast("long")), CHUNK).drop("q").withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
-    cands = scratch.keep(cands.join(counts, "dims").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))), "candidates")
-    meet = cands.join(queries, ["dims", "q", "s"]).select("dims", "q", "ids", "body", "q_ids", "q_body")
-    lists = meet.mapInArrow(_gather(k, slices), "dims int, q long, query_id long, slice int, vec_id long, local long, low long")
-    lists = scratch.keep(lists, "lists")
-    lows = lists.groupBy("query_id", "slice").agg(F.min("low").alias("least"))
-    best = Window.partitionBy("query_id", "slice").orderBy(F.desc("local"), "vec_id")
-    heads = lists.drop("low").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    over = heads.join(lows, ["query_id", "slice"]).groupBy("dims", "q", "query_id", "vec_id").agg(F.sum(F.col("local") - F.col("least")).alias("over"))
-    sums = Window.partitionBy("query_id").orderBy(F.desc("over"), "vec_id")
-    kth = over.withColumn("r", F.row_number().over(sums)).where(F.col("r") <= k).groupBy("dims", "q", "query_id").agg(F.min("over").alias("over"), F.max("r").alias("r"))
-    floors = lows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "least"))), lambda x: x["least"]).alias("lows"), F.sum("least").alias("floor"))
-    cutoff = F.col("floor") + F.when(F.col("r") < k, 0).otherwise(F.col("over"))
-    cut = kth.join(floors, "query_id").groupBy("dims", "q").agg(F.collect_list(F.struct("query_id", cutoff.alias("cutoff"), "lows")).alias("cutoffs"))
-    cut = scratch.keep(cut, "cutoffs")
-    told = queries.join(cut, ["dims", "q"])
-    found = cands.join(told, ["dims", "q", "s"]).select("dims", "ids", "body", "q_ids", "q_body", "cutoffs").mapInArrow(_resolve(k, slices), "query_id long, vec_id long, score long")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), F.size("embedding").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    largest = F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))
+    good = good.withColumn("wide", largest >= (F.floor(F.sqrt(F.lit(EXACT) / F.col("dims"))) - 1) / 1024.0).withColumn("rid", F.monotonically_increasing_id())
+    good = scratch.keep(good, "vectors")
+    same = Window.partitionBy("h", "g").orderBy("vec_id", "rid")
+    cands = good.withColumn("h", F.xxhash64("x")).withColumn("g", F.xxhash64(F.lit(1), "x")).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    cands = cands.withColumn("q", F.lit(0).cast("long"))
+    counts = good.where("is_query").groupBy("dims").agg(F.count("*").alias("n"), F.max("wide").alias("wide")).collect()  # a row for each length of vector
+    if not counts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    wide = good.where("wide").select("dims").distinct()
+    sizes = [(r["dims"], math.ceil(r["n"] / QUERIES), max(1, PASS_BYTES // (8 * QUERIES * r["dims"]))) for r in counts]
+    passes = max(math.ceil(chunks / each) for _, chunks, each in sizes)
+    dealt = good.where("is_query").join(F.broadcast(spark.createDataFrame(sizes, "dims int, chunks long, each long")), "dims").withColumn("q", F.pmod(F.xxhash64("rid"), "chunks"))
+    dealt = dealt.repartition("dims", "q")
+    named = lambda df: df.select("dims", "slice", "q", F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("kind").alias("q_kind"), F.col("body").alias("q_body"))
+    # a chunk of queries may have more than QUERIES by chance: it stays one row for each slice
+    queries = scratch.keep(named(_packed(dealt.where("not wide"), 1 << 30, slices)), "queries")
+    nodes = scratch.keep(_packed(cands.where("not wide"), CHUNK, slices).drop("q").repartition(spread), "nodes")
+    turn = lambda df, p: df.join(F.broadcast(spark.createDataFrame([(d, e) for d, _, e in sizes], "dims int, each long")), "dims").where(F.floor(F.col("q") / F.col("each")) == p).drop("each")
+    found, names = [], [queries.where("slice = 0")]
+    for p in range(passes):
+        found.append(_Pass(nodes, turn(queries, p), scratch, k, slices, f"pass{p}").run().withColumn("beyond", F.lit(False)).withColumn("of", F.lit(0)))
+    if not wide.isEmpty():
+        whole = scratch.keep(named(_packed(dealt.join(wide, "dims", "left_semi"), 1 << 30, 0)), "whole_queries")
+        all_nodes = scratch.keep(_packed(cands.join(wide, "dims", "left_semi"), CHUNK, 0).drop("q").repartition(spread), "whole_nodes")
+        names.append(whole)
+        for p in range(passes):
+            met = all_nodes.join(F.broadcast(turn(whole, p)), ["dims", "slice"])
+            with bounded_batches(spark, 4):
+                found.append(scratch.keep(met.mapInArrow(_wide(k), "dims int, q long, qi int, chunk long, ci int, vec_id long, score long, beyond boolean"), f"wide{p}").withColumn("of", F.lit(1)))
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    told = None
+    for of, df in enumerate(names):
+        one = df.select("dims", "q", "q_ids", "q_rids").mapInArrow(_names, "dims int, q long, qi int, query_id long, query_rid long").withColumn("of", F.lit(of))
+        told = one if told is None else told.unionByName(one)
+    rows = _best(rows.join(told, ["of", "dims", "q", "qi"]), ["query_rid"], k)
+    score = F.when(F.col("beyond"), F.raise_error(F.lit("a score is no long")).cast("long")).otherwise(F.col("score"))
+    return rows.select("query_id", "rank", "vec_id", score.alias("score"))
