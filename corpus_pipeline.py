@@ -37,14 +37,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates."""
-    return near_duplicates.keep_one(docs, near_duplicates.jaccard_classes(docs, Scratch(spark, "pipeline-near")))
+    """Keeps one row, with the least doc_id, of each group of near duplicates."""
+    return near_duplicates.keep_one(docs, Scratch(spark, "pipeline-near"))
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out documents that hold a passage of the benchmark."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
-    return decontaminate.clean(docs, found)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
