@@ -171,7 +171,7 @@ def test_licence_line_among_ordinary_words(spark, size):
 
 def test_wrapped_header_and_whole_licence_files(spark):
     gpl = "# This work is licensed\n#\n# under the GNU General\n# Public License, version 3."
-    whole = dict(license_scan.full_texts())
+    whole = {n: t for n, t, _ in license_scan.full_texts()}
     mit = "MIT License\n\nCopyright (c) 2020 A. Writer\n\n" + whole["MIT"]
     rows = [(1, "r/x.py", sentence(30) + "\n" + gpl + "\n" + sentence(12)), (2, "m/LICENSE", mit), (3, "m/a/y.py", sentence(40)), (4, "n/x.py", sentence(25) + "\n# under the GNU General\n" + sentence(8))]
     rows += [(10 + i, f"w{i}/COPYING", whole[n]) for i, n in enumerate(sorted(whole))] + [(i, f"q/{i}.txt", "It was to be under the version") for i in range(30, 90)]
@@ -181,6 +181,33 @@ def test_wrapped_header_and_whole_licence_files(spark):
     assert got == want
 
 
+def test_usual_headers_and_tags(spark):
+    """Recall on wordings as they stand in real files, and false alarms on texts that only speak of licences."""
+    usual = {
+        "Apache-2.0": ["# SPDX-License-Identifier: Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at', "// Licensed under the Apache License, Version 2.0"],
+        "MIT": ["/* SPDX-License-Identifier: MIT */", "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files (the \"Software\"), to deal\n in the Software without restriction", "It is released under the MIT license."],
+        "GPL-3.0": ["// SPDX-License-Identifier: GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."],
+        "BSD-3-Clause": ["# SPDX-License-Identifier: BSD-3-Clause", "# Use of this source code is governed by a BSD-style license that can be\n# found in the LICENSE file."],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0.", "; SPDX-License-Identifier: MPL-2.0"],
+    }
+    planted = [(n, t) for n, ts in usual.items() for t in ts]
+    none = ["SPDX-License-Identifier: WTFPL", "the licence of the driver is in the office", "a license to drive a work of public art", "version 2.0 of the file is found in the form", "no person may use the software free of charge", ""]
+    rows = [(i, f"p{i}/x.c", f"{sentence(9)}\n\n{t}\n{sentence(12)}") for i, (_, t) in enumerate(planted)]
+    rows += [(100 + i, f"n{i}/y.c", f"{sentence(9)}\n{t}\n{sentence(12)}") for i, t in enumerate(none)]
+    rows += [(i, f"q/{i}.txt", "It was to be under the version and the of this in a to is for") for i in range(200, 900)]
+    found = {r["doc_id"]: r["own"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), Scratch(spark, "t")).collect()}
+    right = sum(found[i] == n for i, (n, _) in enumerate(planted))
+    assert right >= 0.9 * len(planted)
+    assert not [none[i] for i in range(len(none)) if found[100 + i]]
+
+
+def test_ties_of_licences(spark):
+    rows = [(1, "r/LICENSE", "alpha beta gamma"), (2, "r/COPYING", "alpha beta delta"), (3, "r/x", "nothing"), (4, "s/NOTICE", "alpha beta gamma"), (5, "s/LICENSE", "alpha beta gamma"), (6, "s/y", None)]
+    templates = [("B", "alpha beta delta", ()), ("A", "alpha beta gamma", ()), ("C", "alpha beta gamma", ())]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), Scratch(spark, "t"), templates, texts=[])
+    assert {r["doc_id"]: r["license"] for r in found.collect()} == {1: "A", 2: "B", 3: "A", 4: "A", 5: "A", 6: "A"}
+
+
 def test_sharding(spark):
     rows = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (None, "c", 1), (2, "d", 2)], "`doc``id` long, slot string, `a.b` int")
     shards = ["x", "y", "z"]

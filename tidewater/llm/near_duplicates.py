@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytestext as B
 from tidewater.llm.components import components
-from tidewater.llm.rows import row_key, small
+from tidewater.llm.rows import MAX_BROADCAST_ROWS, row_key, small
 from tidewater.session import Scratch, bounded_batches, columns_of
 
 U32, U64 = np.uint32, np.uint64
@@ -329,7 +329,9 @@ def _classes(docs: DataFrame, scratch: Scratch, threshold: float, size: int, mis
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") * 8 / PART_BYTES)).cast("int").alias("blocks"))
     parts = members.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     parts = scratch.keep(parts.select("key", *SETS), "parts")
-    sets = text.select("key", "text").join(parts, "key").select(*SETS, "text").mapInArrow(_sets(size), "comp binary, part int, blocks int, copies long, node binary, shingles binary")
+    short = F.xxhash64("key").alias("short")  # so that few other texts are shuffled to meet their parts
+    near = text.select("key", "text", short).join(small(parts.select(short), 4 * MAX_BROADCAST_ROWS), "short", "left_semi")
+    sets = near.join(parts, "key").select(*SETS, "text").mapInArrow(_sets(size), "comp binary, part int, blocks int, copies long, node binary, shingles binary")
     met = (
         sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("comp", F.least("part", "o").alias("b0"), F.greatest("part", "o").alias("b1"), "node", "copies", "part", "shingles")

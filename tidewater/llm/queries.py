@@ -97,28 +97,40 @@ select w.doc_id, c.class_id, least(w.doc_id, m.least) copy_of, 1 + coalesce(m.co
 from w join c using (rid) left join m using (rid)
 """
 
+#: Single lines and runs of lines against the templates, and inheritance. Runs without a word that fewer than a tenth of the files hold are left
+#: out: they share too little weight with any template. Whole licence texts are not in it: no file of the tables is one; tests hold them.
 OP1_SQL = r"""
 with f as (select doc_id, text, source || '/' || (doc_id - doc_id % 256) // 256 || case when doc_id % 256 = 0 then '' else '/' || doc_id % 256 // 16 end dir,
   case when doc_id % 16 = 0 then 'LICENSE' else 'doc-' || doc_id || '.txt' end base from documents),
-tpl(name, body) as (values @@TEMPLATES@@),
-tw as (select name, unnest(list_filter(string_split_regex(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '')) w from tpl),
+tpl(t, name, body, must) as (values @@TEMPLATES@@),
+tw as (select t, name, must, unnest(list_filter(string_split_regex(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '')) w from tpl),
 dw as (select doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) w from documents),
 n as (select count(*) n from documents),
-idf as (select w, ln((1 + any_value(n.n)) / (1 + count(dw.w))) + 1 idf from (select distinct w from tw) v left join dw using (w), n group by w),
-tv as (select name, w, count(*) * any_value(idf) y from tw join idf using (w) group by all),
-tn as (select name, w, y / sqrt(sum(y * y) over (partition by name)) y from tv),
-ln as (select doc_id, u.i line, u.t from (select doc_id, string_split_regex(text, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]') ls from documents) d, unnest(list_zip(range(len(ls)), ls)) x(u0), (select x.u0[1] i, x.u0[2] t) u),
-lt as (select doc_id, line, w, count(*) tf from (select doc_id, line, unnest(list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '')) w from ln) group by all),
-lx as (select doc_id, line, w, tf * coalesce(idf, ln(1 + n.n) + 1) x from lt left join idf using (w), n),
-nm as (select doc_id, line, sqrt(sum(x * x)) norm from lx group by all),
-sc as (select doc_id, name, round(sum(x * y) / any_value(norm), 4) score from lx join tn using (w) join nm using (doc_id, line) group by doc_id, line, name having round(sum(x * y) / any_value(norm), 4) >= 0.7),
+df as (select w, count(*) df from dw group by 1),
+idf as (select w, ln((1 + any_value(n.n)) / (1 + coalesce(any_value(df), 0))) + 1 idf, coalesce(any_value(df), 0) * 10 < any_value(n.n) rare from (select w from df union select w from tw) v left join df using (w), n group by w),
+tv as (select t, name, must, w, count(*) * any_value(idf) y from tw join idf using (w) group by all),
+tn as (select t, name, must, w, y / sqrt(sum(y * y) over (partition by t)) y from tv),
+cand as (select distinct doc_id from dw join idf using (w) where rare and w in (select w from tw)),
+ln as (select doc_id, u.i line, u.t from (select doc_id, string_split_regex(text, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]') ls from documents semi join cand using (doc_id)) d, unnest(list_zip(range(len(ls)), ls)) x(u0), (select x.u0[1] i, x.u0[2] t) u),
+lw as (select doc_id, row_number() over (partition by doc_id order by line) line, ws from (select doc_id, line, list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws from ln) where len(ws) > 0),
+lt as (select doc_id, line, w, count(*) tf from (select doc_id, line, unnest(ws) w from lw) group by all),
+here as (select distinct doc_id, line from lt join idf using (w) where rare and w in (select w from tw)),
+runs as (select distinct a.doc_id, a.line a, b.line b from lw a join here h on h.doc_id = a.doc_id and h.line between a.line and a.line + @@MOST@@ - 1 join lw b on b.doc_id = a.doc_id and b.line between h.line and a.line + @@MOST@@ - 1),
+rw as (select doc_id, a, b, w, sum(tf) tf from runs join lt using (doc_id) where lt.line between a and b group by all),
+rx as (select doc_id, a, b, w, tf * idf x from rw join idf using (w)),
+nm as (select doc_id, a, b, sqrt(sum(x * x)) norm from rx group by all),
+sc as (select doc_id, name, round(sum(x * y) / any_value(norm), 4) score from rx join tn using (w) join nm using (doc_id, a, b) group by doc_id, a, b, t, name, must
+  having round(sum(x * y) / any_value(norm), 4) >= 0.7 and len(list_filter(must, lambda m: not list_contains(list(w), m))) = 0),
 own as (select doc_id, arg_min(name, (-score, name)) own, max(score) score from sc group by 1),
 pl as (select f.doc_id, dir, base, own.own, own.score from f left join own using (doc_id)),
 gv as (select dir, arg_min(own, (-score, own)) given from pl where own is not null and base = 'LICENSE' group by 1),
 nr as (select d.dir, arg_max(g.dir, length(g.dir)) from_dir, arg_max(g.given, length(g.dir)) given from (select distinct dir from pl) d join gv g on d.dir = g.dir or starts_with(d.dir, g.dir || '/') group by 1)
 select doc_id, dir || '/' || base as path, own, score, coalesce(own, given) license, case when own is not null then 'header' when given is not null then 'inherited' else 'none' end how,
   case when own is null then from_dir end from_dir from pl left join nr using (dir)
-""".replace("@@TEMPLATES@@", ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES))
+"""
+_SHOWN = license_scan.TEMPLATES + license_scan.tags(license_scan.NAMES)
+OP1_SQL = OP1_SQL.replace("@@TEMPLATES@@", ", ".join(f"({i}, '{n}', '{t}', {list(m)}::varchar[])" for i, (n, t, m) in enumerate(_SHOWN)))
+OP1_SQL = OP1_SQL.replace("@@MOST@@", str(max(len(license_scan._template_words(t)) for _, t, _ in _SHOWN)))
 
 OP4_SQL = r"""
 with dw as (select row_number() over () rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from (select distinct doc_id, text from documents)),
