@@ -329,6 +329,8 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "QUERIES", 2)
     monkeypatch.setattr(vector_search, "PASS_BYTES", 300)
     assert found_by(spark, rows, slices=3) == want  # many nodes, chunks and passes
+    monkeypatch.setattr(vector_search, "DENSE", 2)
+    assert found_by(spark, rows) == want  # many chunks resolved in place
     assert found_by(spark, [(0, [1.0]), (2, [2.0]), (2, [3.0])]) == [(0, 1, 2, 3 << 20), (0, 2, 2, 2 << 20)]
     assert found_by(spark, [(1, [1.0])]) == [] and found_by(spark, [(100, [1.0])]) == [] and found_by(spark, []) == []
 

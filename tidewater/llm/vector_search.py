@@ -12,7 +12,10 @@ nodes at a time, and the candidates are neither copied nor shuffled to meet them
    t / slices: the same share for all nodes. Only entries of at least the share are sent.
 3. Resolve. Entries of all slices add up to exact scores, whose k-th best may raise t; where
    a slice is missing, the rest is below the share, and candidates that fall short of t
-   even so go. The missing parts of the others are fetched from their nodes.
+   even so go. The missing parts of the others are fetched from their nodes. Where more
+   than `DENSE` entries of a node reach a query's share, as in a group of near copies, the
+   node sends a mark instead, and the chunk's scores for that query are added up in place:
+   what is sent grows with chunks, not with the square of a group.
 
 Of equal vectors only the k + 1 with the smallest vec_ids are candidates: any other has k
 others of its score before it. Components too large for exact sums in doubles are worked
@@ -37,6 +40,7 @@ QUERIES = 512
 PASS_BYTES = 32 << 20
 SLICES = 2
 HEADS = 4
+DENSE = 64
 EXACT = float(1 << 53)
 PAIR = ["dims", "q", "qi", "chunk", "ci"]
 ENTRY = "dims int, q long, qi int, slice int, chunk long, ci int, vec_id long, local long"
@@ -59,11 +63,11 @@ def _opened(kind: str, body: bytes, n: int) -> np.ndarray:
     return np.frombuffer(body, kind).astype(np.float64).reshape(n, -1)
 
 
-PACKED = "dims int, q long, chunk long, slice int, ids binary, rids binary, kind string, body binary"
+PACKED = "dims int, q long, chunk long, ids binary, rids binary, parts array<struct<kind:string,body:binary>>"
 
 
 def _pack(rows: int, slices: int):
-    """Rows (dims, q, vec_id, rid, x) in order of (dims, q) -> nodes: chunks of one dims and q, cut into slices; slices = 0 keeps x as it is, whole."""
+    """Rows (dims, q, vec_id, rid, x) in order of (dims, q) -> chunks of one dims and q, each with its slices; slices = 0 keeps x as it is, whole; rows = 0 makes one chunk of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -71,15 +75,14 @@ def _pack(rows: int, slices: int):
         def flush():
             ids, rids, x = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            cap = max(1, min(rows, CHUNK_BYTES // (8 * key[0])))
+            cap = max(1, min(rows, CHUNK_BYTES // (8 * key[0]))) if rows else len(ids)
             for a in range(0, len(ids), cap):
                 part = x[a : a + cap]
                 cuts = np.linspace(0, key[0], max(slices, 1) + 1).astype(int)
-                for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    kind, body = _dense(np.floor(1024.0 * part[:, lo:hi])) if slices else ("<f8", part.astype("<f8").tobytes())
-                    row = [key[0], key[1], int(rids[a]), s, ids[a : a + cap].tobytes(), rids[a : a + cap].tobytes(), kind, body]
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["dims", "q", "chunk", "slice", "ids", "rids", "kind", "body"])
+                dense = [_dense(np.floor(1024.0 * part[:, lo:hi])) if slices else ("<f8", part.astype("<f8").tobytes()) for lo, hi in zip(cuts, cuts[1:])]
+                row = [key[0], key[1], int(rids[a]), ids[a : a + cap].tobytes(), rids[a : a + cap].tobytes(), [{"kind": kind, "body": body} for kind, body in dense]]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("kind", pa.string()), ("body", pa.binary())]))]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["dims", "q", "chunk", "ids", "rids", "parts"])
 
         for batch in batches:
             d, q, ids, rids = (batch.column(c).to_numpy().astype(np.int64) for c in ("dims", "q", "vec_id", "rid"))
@@ -88,7 +91,7 @@ def _pack(rows: int, slices: int):
             begins = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (q[1:] != q[:-1])])
             for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(d)] if len(d) else []):
                 now = (int(d[a]), int(q[a]))
-                if held and (now != key or sum(len(h[0]) for h in held) >= rows):
+                if held and (now != key or (rows and sum(len(h[0]) for h in held) >= rows)):
                     yield from flush()
                 key = now
                 held.append((ids[a:b], rids[a:b], flat[ends[a] - d[a] : ends[b - 1]].reshape(b - a, now[0])))
@@ -102,6 +105,12 @@ def _packed(vectors: DataFrame, rows: int, slices: int) -> DataFrame:
     return vectors.select("dims", "q", "vec_id", "rid", "x").sortWithinPartitions("dims", "q", "rid").mapInArrow(_pack(rows, slices), PACKED)
 
 
+def _nodes(chunks: DataFrame, of: str = "") -> DataFrame:
+    """A row for each slice of each chunk."""
+    others = [c for c in chunks.columns if c != f"{of}parts"]
+    return chunks.select(*others, F.posexplode(f"{of}parts").alias("slice", "part")).select(*others, "slice", F.col("part.kind").alias(f"{of}kind"), F.col("part.body").alias(f"{of}body"))
+
+
 def _sides(r: dict) -> tuple[np.ndarray, ...]:
     """Row numbers and parts of the queries, and vec_ids, row numbers and parts of the candidates."""
     qr, cr = np.frombuffer(r["q_rids"], "<i8"), np.frombuffer(r["rids"], "<i8")
@@ -136,7 +145,7 @@ def _gather(k: int):
 
 
 def _collect(slices: int):
-    """Local scores that reach the query's share of its cutoff."""
+    """Local scores that reach the query's share of its cutoff; where they are many, one mark (ci = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +155,11 @@ def _collect(slices: int):
                 for x in r["cutoffs"]:
                     share[x["qi"]] = -(-x["cutoff"] // slices)
                 local = q @ c.T
-                i, j = np.nonzero((local >= share[:, None]) & (qr[:, None] != cr[None, :]))
+                reach = (local >= share[:, None]) & (qr[:, None] != cr[None, :])
+                dense = reach.sum(axis=1) > DENSE
+                marks = np.flatnonzero(dense)
+                yield from _entries(r, marks, np.full(len(marks), -1), ids, np.zeros(len(marks)))
+                i, j = np.nonzero(reach & ~dense[:, None])
                 yield from _entries(r, i, j, ids, local[i, j])
 
     return run
@@ -162,6 +175,27 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _entries(r, i, j, ids, local)
 
 
+def _in_place(k: int):
+    """The k best scores of a chunk for the asked queries, all slices added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                qr, ids, cr = (np.frombuffer(r[c], "<i8") for c in ("q_rids", "ids", "rids"))
+                at = np.array(sorted(r["asked"]), dtype=np.int64)
+                score = sum(_opened(*q.values(), len(qr))[at] @ _opened(*c.values(), len(cr)).T for q, c in zip(r["q_parts"], r["parts"]))
+                score[qr[at][:, None] == cr[None, :]] = -np.inf
+                for i, row in zip(at.tolist(), score):
+                    best = np.lexsort((ids, -row))[:k]
+                    best = best[row[best] > -np.inf]
+                    n = len(best)
+                    cols = [[r["dims"]] * n, [r["q"]] * n, [i] * n, [r["chunk"]] * n, best, ids[best], row[best].astype(np.int64)]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[*PAIR, "vec_id", "score"])
+
+    return run
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
@@ -179,8 +213,9 @@ def _best(scores: DataFrame, by: list[str], k: int) -> DataFrame:
 class _Pass:
     """The three phases for the queries of one pass."""
 
-    def __init__(self, nodes: DataFrame, queries: DataFrame, scratch: Scratch, k: int, slices: int, name: str):
-        self.nodes, self.queries, self.scratch, self.k, self.slices, self.name = nodes, queries, scratch, k, slices, name
+    def __init__(self, chunks: DataFrame, queries: DataFrame, scratch: Scratch, k: int, slices: int, name: str):
+        self.chunks, self.nodes, self.scratch, self.k, self.slices, self.name = chunks, _nodes(chunks), scratch, k, slices, name
+        self.whole_queries, self.queries = queries, _nodes(queries, "q_")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         with bounded_batches(df.sparkSession, 4):  # a row holds a chunk
@@ -208,10 +243,15 @@ class _Pass:
         heads = self.keep(self.resolve(self.keep(heads, "heads"), "head_parts"), "head_scores")
         cutoffs = self.keep(_best(heads, query, k).groupBy(*query).agg(F.min("score").alias("cutoff")), "cutoffs")
         told = cutoffs.groupBy("dims", "q").agg(F.collect_list(F.struct("qi", "cutoff")).alias("cutoffs"))  # as many as a chunk has queries
-        entries = self.keep(self.meet(self.queries.join(told, ["dims", "q"])).mapInArrow(_collect(slices), ENTRY), "entries")
+        sent = self.keep(self.meet(self.queries.join(told, ["dims", "q"])).mapInArrow(_collect(slices), ENTRY), "entries")
+        marks = sent.where("ci < 0").select(*query, "chunk").distinct()
+        asked = marks.groupBy("dims", "q", "chunk").agg(F.collect_list("qi").alias("asked"))  # as many as a chunk has queries
+        met = self.chunks.join(asked, ["dims", "chunk"]).join(F.broadcast(self.whole_queries), ["dims", "q"])
+        dense = self.keep(met.mapInArrow(_in_place(k), "dims int, q long, qi int, chunk long, ci int, vec_id long, score long"), "dense")
+        entries = sent.where("ci >= 0").join(marks, [*query, "chunk"], "left_anti")
         sums = entries.groupBy(*PAIR).agg(F.first("vec_id").alias("vec_id"), F.sum("local").alias("score"), F.count("*").alias("seen"))
         sums = self.keep(sums, "sums")
-        full = sums.where(F.col("seen") == slices).drop("seen")
+        full = sums.where(F.col("seen") == slices).drop("seen").unionByName(dense)
         better = _best(full.unionByName(heads).distinct(), query, k).groupBy(*query).agg(F.min("score").alias("better"))
         bounds = cutoffs.join(better, query)
         below = F.ceil(F.col("cutoff") / slices) - 1  # what a part that was not sent has at most
@@ -231,7 +271,8 @@ def _wide(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                qr, q, ids, cr, c = _sides(r)
+                qr, ids, cr = (np.frombuffer(r[x], "<i8") for x in ("q_rids", "ids", "rids"))
+                q, c = _opened(*r["q_parts"][0].values(), len(qr)), _opened(*r["parts"][0].values(), len(cr))
                 large_q, large_c = (np.abs(x).max(axis=1) >= (_limit(r["dims"]) - 1) / 1024.0 for x in (q, c))
                 q, c = whole(q), whole(c)
                 out: list[tuple] = []
@@ -277,24 +318,24 @@ def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, s
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     wide = good.where("wide").select("dims").distinct()
-    sizes = [(r["dims"], math.ceil(r["n"] / QUERIES), max(1, PASS_BYTES // (8 * QUERIES * r["dims"]))) for r in counts]
+    per = {r["dims"]: min(QUERIES, max(1, PASS_BYTES // (32 * r["dims"]))) for r in counts}  # a chunk is a quarter of a pass at most
+    sizes = [(r["dims"], math.ceil(r["n"] / per[r["dims"]]), max(1, PASS_BYTES // (8 * per[r["dims"]] * r["dims"]))) for r in counts]
     passes = max(math.ceil(chunks / each) for _, chunks, each in sizes)
     dealt = good.where("is_query").join(F.broadcast(spark.createDataFrame(sizes, "dims int, chunks long, each long")), "dims").withColumn("q", F.pmod(F.xxhash64("rid"), "chunks"))
     dealt = dealt.repartition("dims", "q")
-    named = lambda df: df.select("dims", "slice", "q", F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("kind").alias("q_kind"), F.col("body").alias("q_body"))
-    # a chunk of queries may have more than QUERIES by chance: it stays one row for each slice
-    queries = scratch.keep(named(_packed(dealt.where("not wide"), 1 << 30, slices)), "queries")
-    nodes = scratch.keep(_packed(cands.where("not wide"), CHUNK, slices).drop("q").repartition(spread), "nodes")
+    named = lambda df: df.select("dims", "q", F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("parts").alias("q_parts"))
+    queries = scratch.keep(named(_packed(dealt.where("not wide"), 0, slices)), "queries")
+    chunks = scratch.keep(_packed(cands.where("not wide"), CHUNK, slices).drop("q").repartition(spread), "chunks")
     turn = lambda df, p: df.join(F.broadcast(spark.createDataFrame([(d, e) for d, _, e in sizes], "dims int, each long")), "dims").where(F.floor(F.col("q") / F.col("each")) == p).drop("each")
-    found, names = [], [queries.where("slice = 0")]
+    found, names = [], [queries]
     for p in range(passes):
-        found.append(_Pass(nodes, turn(queries, p), scratch, k, slices, f"pass{p}").run().withColumn("beyond", F.lit(False)).withColumn("of", F.lit(0)))
+        found.append(_Pass(chunks, turn(queries, p), scratch, k, slices, f"pass{p}").run().withColumn("beyond", F.lit(False)).withColumn("of", F.lit(0)))
     if not wide.isEmpty():
-        whole = scratch.keep(named(_packed(dealt.join(wide, "dims", "left_semi"), 1 << 30, 0)), "whole_queries")
-        all_nodes = scratch.keep(_packed(cands.join(wide, "dims", "left_semi"), CHUNK, 0).drop("q").repartition(spread), "whole_nodes")
+        whole = scratch.keep(named(_packed(dealt.join(wide, "dims", "left_semi"), 0, 0)), "whole_queries")
+        all_chunks = scratch.keep(_packed(cands.join(wide, "dims", "left_semi"), CHUNK, 0).drop("q").repartition(spread), "whole_chunks")
         names.append(whole)
         for p in range(passes):
-            met = all_nodes.join(F.broadcast(turn(whole, p)), ["dims", "slice"])
+            met = all_chunks.join(F.broadcast(turn(whole, p)), "dims")
             with bounded_batches(spark, 4):
                 found.append(scratch.keep(met.mapInArrow(_wide(k), "dims int, q long, qi int, chunk long, ci int, vec_id long, score long, beyond boolean"), f"wide{p}").withColumn("of", F.lit(1)))
     rows = found[0]
