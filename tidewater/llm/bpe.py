@@ -137,8 +137,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path), path)
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Ids are decoded by the worker that made them, so a task needs one worker, not two.
+    """
+    bounded_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    to_ids, to_text = _encode(path), _decode(path)
+    both = docs.select("doc_id", "text").mapInArrow(lambda batches: to_text(to_ids(batches)), f"doc_id {kind}, ids binary, decoded string")
     return both.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
