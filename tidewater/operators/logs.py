@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LINE = r"^\s*(\S+T\S+)\s+\[([^\]]+)\]\s+(OUT|ERR)\s?(.*)$"
+from tidewater.session import Scratch
+
+LINE = r"^\s*(\d{4}-\d{2}-\d{2}T\S+)\s+\[([^\]]+)\]\s+(OUT|ERR)\s?(.*)$"
 SEVERITY = {"trace": 0, "debug": 1, "info": 2, "warn": 3, "error": 4, "fatal": 5}
-SYSTEM_PREFIXES = ("Retrieving logs for app", "Connected, tailing logs", "Getting app", "OK")
+#: How lines of the client itself begin.
+SYSTEM_PREFIXES = ("Retrieving logs for app", "Failed to retrieve logs from Log Cache:", "Failed to retrieve recent logs from Log Cache:", "Server error, status code:")
+#: Query keys whose values are not shown, without their separators.
+SECRET_KEYS = ("accesstoken", "apikey", "auth", "authorization", "clientsecret", "oauthcode", "passwd", "password", "refreshtoken", "sig", "signature", "token")
+REQUEST = r"\"([A-Z]+)\s+(\S+)\s+HTTP/[\d.]+\"\s+(\d{3}|-)"
+ROUTER = r"(?i)^rtr\b"
 
 
 def parse_line(line: Column) -> list[Column]:
     """timestamp_raw, source, stream, body of a header line; empty texts for any other line."""
-    return [F.regexp_extract(line, LINE, i).alias(c) for i, c in enumerate(("timestamp_raw", "source", "stream", "body"), 1)]
+    part = lambda i: F.regexp_extract(line, LINE, i)
+    return [part(1).alias("timestamp_raw"), part(2).alias("source"), part(3).alias("stream"), F.trim(part(4)).alias("body")]
 
 
 def is_system(line: Column) -> Column:
@@ -24,29 +32,74 @@ def is_system(line: Column) -> Column:
     return found
 
 
-def join_continuations(lines: DataFrame, group: str) -> DataFrame:
+def json_body(body: Column) -> Column:
+    """The body as a variant where it is a JSON object; null for any other."""
+    return F.when(body.startswith("{") & body.endswith("}"), F.try_parse_json(body))
+
+
+def is_header(line: Column) -> Column:
+    """Whether a line begins an entry; one whose body looks like JSON and is none does not."""
+    body = F.trim(F.regexp_extract(line, LINE, 4))
+    broken = body.startswith("{") & body.endswith("}") & F.try_parse_json(body).isNull()
+    return line.rlike(LINE) & ~broken
+
+
+def numbered(lines: DataFrame, group: str, scratch: Scratch) -> DataFrame:
+    """lines(group, pos, line) -> with header and entry: the pos of the line's header, null before a group's first.
+
+    Lines are dealt by ranges of (group, pos) and written, so one very long log is shared
+    out; each range passes on no more than its last header.
+    """
+    ranged = lines.withColumn("header", is_header(F.col("line"))).repartitionByRange(group, "pos").withColumn("p", F.spark_partition_id())
+    ranged = scratch.keep(ranged, "ranged")
+    at = F.when(F.col("header"), F.col("pos"))
+    within = Window.partitionBy("p", group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = ranged.groupBy("p", group).agg(F.max(at).alias("last")).select("p", group, F.max("last").over(before).alias("carried"))
+    local = ranged.withColumn("local", F.last(at, ignorenulls=True).over(within))
+    return local.join(carried, ["p", group]).withColumn("entry", F.coalesce("local", "carried")).drop("p", "local", "carried")
+
+
+def join_continuations(lines: DataFrame, group: str, scratch: Scratch) -> DataFrame:
     """lines(group, pos, line): a line without a header belongs to the last header before it in its group.
 
-    Windows run over a group; each header's lines are joined with line feeds in order.
+    Gives (group, entry, text, n_lines) with entries counted by the headers up to them; lines
+    before a group's first header are entry 0. Each entry's lines are joined with line feeds in order.
     """
-    w = Window.partitionBy(group).orderBy("pos")
-    header = F.col("line").rlike(LINE)
-    runs = lines.withColumn("entry", F.sum(header.cast("long")).over(w))
+    runs = numbered(lines, group, scratch)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return runs.groupBy(group, "entry").agg(text.alias("text"), F.count("*").alias("n_lines"))
+    return runs.groupBy(group, F.col("entry").alias("at")).agg(text.alias("text"), F.count("*").alias("n_lines"))
+
+
+def entries(lines: DataFrame, group: str, scratch: Scratch) -> DataFrame:
+    """lines(group, pos, line) -> (group, pos, timestamp_raw, source, stream, level, message, n_lines), one row per entry.
+
+    Blank lines and lines of the client itself are dropped. Lines before a group's first
+    header make one entry of source SYSTEM. The level is that of the whole joined message.
+    """
+    runs = numbered(lines.where(~is_system(F.col("line"))).withColumn("line", F.trim("line")), group, scratch)
+    rest = F.transform(F.array_sort(F.collect_list(F.when(~F.col("header"), F.struct("pos", "line")))), lambda x: x["line"])
+    first = F.max_by("line", F.when(F.col("header"), F.col("pos")))
+    found = runs.groupBy(group, "entry").agg(F.min("pos").alias("pos"), first.alias("head"), rest.alias("rest"), F.count("*").alias("n_lines"))
+    stamp, source, stream, body = (F.when(F.col("head").isNotNull(), c) for c in parse_line(F.col("head")))
+    body = F.when(body == "", "(empty)").otherwise(body)
+    said = F.try_variant_get(json_body(body), "$.level", "string")
+    found = found.select(group, "pos", F.coalesce(stamp, F.lit("N/A")).alias("timestamp_raw"), F.coalesce(source, F.lit("SYSTEM")).alias("source"), F.coalesce(stream, F.lit("OUT")).alias("stream"), said.alias("said"), F.array_join(F.concat(F.when(body.isNotNull(), F.array(body)).otherwise(F.array().cast("array<string>")), "rest"), "\n").alias("message"), "n_lines")
+    status = F.try_to_number(F.nullif(F.regexp_extract("message", REQUEST, 3), F.lit("-")), F.lit("999")).cast("int")
+    return found.select(group, "pos", "timestamp_raw", "source", "stream", level(F.col("said"), status, F.col("message"), F.col("stream"), F.col("source")).alias("level"), "message", "n_lines")
 
 
 def router_level(status: Column) -> Column:
     return F.when(status >= 500, "error").when(status >= 400, "warn").otherwise("info")
 
 
-def level(explicit: Column, status: Column, message: Column, stream: Column) -> Column:
-    """An explicit level, else the router's status, else words of the message, else the stream."""
-    said = F.lower(explicit)
+def level(explicit: Column, status: Column, message: Column, stream: Column, source: Column) -> Column:
+    """An explicit level, else for router lines that of the status, else words of the message, else the stream."""
+    said = F.lower(F.trim(explicit))
     return (
         F.when(said == "warning", "warn")
         .when(said.isin(*SEVERITY), said)
-        .when(status.isNotNull(), router_level(status))
+        .when(source.rlike(ROUTER), router_level(status))
         .when(message.rlike(r"(?i)\bfatal\b"), "fatal")
         .when(message.rlike(r"(?i)\b(error|exception|failed)\b"), "error")
         .when(message.rlike(r"(?i)\bwarn(ing)?\b"), "warn")
@@ -66,15 +119,64 @@ def source_family(source: Column) -> Column:
     return F.split_part(source, F.lit("/"), F.lit(1))
 
 
+def decoded_target(target: Column) -> Column:
+    """Path and query decoded each for itself, so that one that can't be decoded leaves the other."""
+    at = F.instr(target, "?")
+    path, query = F.substring(target, 1, at - 1), F.substring(target, at + 1, F.length(target))
+    return F.when(at == 0, percent_decoded(target)).otherwise(F.concat(percent_decoded(path), F.lit("?"), percent_decoded(query)))
+
+
+def request_text(method: Column, target: Column, most: int = 120) -> Column:
+    """'GET /path', cut to `most` characters with '...'; empty unless both are known."""
+    whole = F.concat(method, F.lit(" "), target)
+    room = F.greatest(F.lit(16), F.lit(most - 6) - F.length(method))
+    short = F.concat(method, F.lit(" "), F.substring(target, F.lit(1), room), F.lit("..."))
+    return F.when((method == "") | (target == ""), "").when(F.length(whole) <= most, whole).otherwise(short)
+
+
 def router_fields(body: Column) -> list[Column]:
-    """method, target, status, host and latency (seconds) of a router access line."""
-    pick = lambda p: F.regexp_extract(body, p, 1)
+    """host, method, request, status, latency, tenant, client_ip and request_id of a router access line; '' for what it does not say."""
+    pick = lambda p, i=1: F.regexp_extract(body, p, i)
+    told = lambda *cs: F.coalesce(*(F.nullif(F.nullif(F.trim(c), F.lit("-")), F.lit("")) for c in cs), F.lit(""))
+    quoted = lambda k: pick(rf'\b{k}:"([^"]*)"')
+    seconds = F.try_to_number(pick(r"\bresponse_time:(\d+(?:\.\d+)?)(?=\s|$|,)"), F.lit("999999999.999999999")).cast("double")
     return [
-        pick(r"\"([A-Z]+) ").alias("method"), pick(r"\"[A-Z]+ (\S+)").alias("target"), pick(r"\" (\d{3}) ").alias("status"),
-        pick(r"^(\S+) - ").alias("host"), pick(r"response_time:(\d+(?:\.\d+)?)").alias("latency"),
+        told(pick(r"^([^ ]+)\s+-\s+\[")).alias("host"), pick(REQUEST).alias("method"), request_text(pick(REQUEST), decoded_target(pick(REQUEST, 2))).alias("request"),
+        F.replace(pick(REQUEST, 3), F.lit("-"), F.lit("")).alias("status"), F.when(seconds.isNull(), "").otherwise(latency_text(seconds)).alias("latency"), told(quoted("tenantid")).alias("tenant"),
+        told(quoted("x_cf_true_client_ip"), quoted("true_client_ip"), F.split_part(quoted("x_forwarded_for"), F.lit(","), F.lit(1))).alias("client_ip"),
+        told(quoted("x_correlationid"), quoted("vcap_request_id")).alias("request_id"),
     ]
 
 
+def redacted_query(url: Column) -> Column:
+    """The url with the values of secret query keys replaced; keys are compared decoded, in lower case, letters and digits only."""
+    at = F.instr(url, "?")
+    rest = F.substring(url, at + 1, F.length(url))
+    query, tail = F.substring_index(rest, "#", 1), F.regexp_extract(rest, "(?s)^[^#]*(#.*)?$", 1)
+
+    def part(p: Column) -> Column:
+        key = F.substring_index(p, "=", 1)
+        plain = F.regexp_replace(F.lower(percent_decoded(key)), "[^a-z0-9]", "")
+        return F.when(plain.isin(*SECRET_KEYS), F.concat(key, F.lit("=redacted"))).otherwise(p)
+
+    shown = F.array_join(F.transform(F.split(query, "&"), part), "&")
+    return F.when(at == 0, url).otherwise(F.concat(F.substring(url, F.lit(1), at), shown, tail))
+
+
+def duration_ms(text: Column) -> Column:
+    """'90', '1.5h', '250ms', '15m', '1d' in milliseconds; bare numbers are seconds; null for anything else."""
+    shape = r"(?i)^(\d+(?:\.\d+)?)\s*(ms|s|m|h|d)?$"
+    unit = F.lower(F.regexp_extract(F.trim(text), shape, 2))
+    factor = F.when(unit == "ms", 1).when((unit == "s") | (unit == ""), 1_000).when(unit == "m", 60_000).when(unit == "h", 3_600_000).when(unit == "d", 86_400_000)
+    amount = F.try_to_number(F.regexp_extract(F.trim(text), shape, 1), F.lit("999999999999.999999")).cast("double")
+    return F.round(amount * factor).cast("long")
+
+
+def since_ms(text: Column) -> Column:
+    """The strict grammar of a whole positive number and a unit; null for anything else."""
+    return F.when(text.rlike(r"(?i)^\s*[1-9]\d*(s|m|h|d)\s*$"), duration_ms(text))
+
+
 def known(value: Column) -> Column:
     """Null for what says nothing: empty text and '-'."""
     return F.when((value == "") | (value == "-"), None).otherwise(value)
@@ -93,8 +195,10 @@ def latency_text(seconds: Column) -> Column:
 
 
 def percent_decoded(text: Column) -> Column:
-    """Percent decoding that leaves '+' alone and gives undecodable text back as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Percent decoding that leaves '+' alone and gives undecodable text, bytes that are no UTF-8 too, back as it is."""
+    found = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    wrong = F.contains(found, F.lit("\ufffd")) & ~F.contains(text, F.lit("\ufffd")) & ~F.contains(F.upper(text), F.lit("%EF%BF%BD"))
+    return F.when(found.isNull() | wrong, text).otherwise(found)
 
 
 def squeezed(text: Column, most: int) -> Column:
