@@ -352,7 +352,7 @@ def _classes(docs: DataFrame, scratch: Scratch, threshold: float, size: int, mis
     return signed.select("doc_id", "key", "digest").join(told, "digest").drop("digest")
 
 
-def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 256, bucket_part: int = BUCKET_PART) -> DataFrame:
+def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 1024, bucket_part: int = BUCKET_PART) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, class_id, copy_of, n_copies, n_links), one row per document.
 
     class_id: least doc_id of the documents joined by links; copy_of: least doc_id with the
@@ -370,7 +370,7 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, s
     return linked.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 256, bucket_part: int = BUCKET_PART) -> DataFrame:
+def keep_one(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: int = 5, miss: float = 1e-7, block: int = 1024, bucket_part: int = BUCKET_PART) -> DataFrame:
     """docs without near duplicates: of each class one row stays, the one with the least doc_id (null last).
 
     Rows are told apart by doc_id and text together: of a repeated row one stays, a row that
@@ -384,11 +384,15 @@ def keep_one(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: in
     marks = many.groupBy("class_node", "key").agg(F.min("o").alias("o"), F.count("*").alias("times")).join(leads, "class_node")
     name = f"key_{uuid.uuid4().hex}"
     marks = scratch.keep(marks.select(F.col("key").alias(name), (F.col("o") == F.col("lead")).alias("leads"), "times"), "marks")
-    rows = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text")))
+    marked = marks.where("not leads or times > 1").select(name)
+    short = f"short_{uuid.uuid4().hex}"  # few texts are shuffled: most show by 64 bits of their key that they are not marked
+    rows = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text"))).withColumn(short, F.xxhash64(name))
+    hints = small(marked.select(F.xxhash64(name).alias(short)), 4 * MAX_BROADCAST_ROWS)
     columns = columns_of(docs)
+    close = rows.join(hints, short, "left_semi")
     repeated = marks.where("leads and times > 1").select(name)
-    kept = rows.join(marks.where("not leads or times > 1").select(name), name, "left_anti").select(*columns)
+    kept = rows.join(hints, short, "left_anti").select(*columns).union(close.join(marked, name, "left_anti").select(*columns))
     if repeated.isEmpty():
         return kept
-    one = rows.join(repeated, name, "left_semi").groupBy(name).agg(F.first(F.struct(*columns)).alias("row"))
+    one = close.join(repeated, name, "left_semi").groupBy(name).agg(F.first(F.struct(*columns)).alias("row"))
     return kept.union(one.select("row.*"))
