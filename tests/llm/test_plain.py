@@ -126,6 +126,6 @@ def test_attention_gradient_is_right():
 
 
 def test_anchors_lose_no_line():
-    templates = [("A", "alpha the licence"), ("B", "the beta")]
+    templates = [("A", "alpha the licence", ()), ("B", "the beta", ())]
     idf = {"alpha": 3.0, "the": 1.0, "licence": 2.0, "beta": 2.5}
     assert license_scan.anchors(templates, idf, 0.7) >= {"alpha", "beta"}
