@@ -331,7 +331,7 @@ def _classes(docs: DataFrame, scratch: Scratch, threshold: float, size: int, mis
     parts = scratch.keep(parts.select("key", *SETS), "parts")
     short = F.xxhash64("key").alias("short")  # so that few other texts are shuffled to meet their parts
     near = text.select("key", "text", short).join(small(parts.select(short), 4 * MAX_BROADCAST_ROWS), "short", "left_semi")
-    sets = near.join(parts, "key").select(*SETS, "text").mapInArrow(_sets(size), "comp binary, part int, blocks int, copies long, node binary, shingles binary")
+    sets = near.join(small(parts, MAX_BROADCAST_ROWS // 4), "key").select(*SETS, "text").mapInArrow(_sets(size), "comp binary, part int, blocks int, copies long, node binary, shingles binary")
     met = (
         sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("comp", F.least("part", "o").alias("b0"), F.greatest("part", "o").alias("b1"), "node", "copies", "part", "shingles")
@@ -391,7 +391,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, size: in
     columns = columns_of(docs)
     close = rows.join(hints, short, "left_semi")
     repeated = marks.where("leads and times > 1").select(name)
-    kept = rows.join(hints, short, "left_anti").select(*columns).union(close.join(marked, name, "left_anti").select(*columns))
+    kept = rows.join(hints, short, "left_anti").select(*columns).union(close.join(small(marked), name, "left_anti").select(*columns))
     if repeated.isEmpty():
         return kept
     one = close.join(repeated, name, "left_semi").groupBy(name).agg(F.first(F.struct(*columns)).alias("row"))
