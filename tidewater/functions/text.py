@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +36,94 @@ def redact_literals(value: Column, secrets: list[str]) -> Column:
     return value
 
 
+#: Words of a key or an assignment that tell of a secret, and the forms of mail addresses and web tokens.
+SECRET_WORDS = "authorization|cookie|token|secret|password|key|credential"
+SECRET_ASSIGNED = "access token|apikey|api key|clientsecret|client secret|password|passphrase|passwd|pwd|key|connection_string|connection-string|secret|token"
+PEM = "-----BEGIN [A-Z ]*(?:PRIVATE KEY|CERTIFICATE)-----"
+AUTH = r"(?i)(?<![A-Za-z0-9_])(?:Bearer|Basic)\s+[^\s,;]+"
+WEB_TOKEN = r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
+LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+MAIL = rf"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@{LABEL}(?:\.{LABEL})+"
+USER_INFO = r"^((?:[Jj][Dd][Bb][Cc]:)?[A-Za-z][A-Za-z0-9+.-]*://)[^/?#\s]*[^:/?#\s][^/?#\s]*@(\S+)$"
+_BARE = "[^,'\"`}\\s]+"
+ASSIGNED_VALUE = rf"(?i)({SECRET_WORDS})\s*[:=]\s*(?:'{_BARE}'|\"{_BARE}\"|`{_BARE}`|{_BARE})"
+
+
 def redact_assignments(value: Column) -> Column:
-    """password=x, token: 'x' and the like, to 'word: [REDACTED]'."""
-    return F.regexp_replace(value, r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*(['\"]?)[^\s'\",;]+\2", "$1: [REDACTED]")
+    """password=x, monkey: 'x' and the like to 'word: [REDACTED]'; a quote that is not closed leaves the text as it is."""
+    return F.regexp_replace(value, ASSIGNED_VALUE, "$1: [REDACTED]")
+
+
+def redact_secrets(value: Column) -> Column:
+    """A text without secrets: keys and certificates, and texts that assign a secret, go as a whole.
+
+    Of urls (of jdbc: too) the user's name and password go; in other texts the words after
+    Bearer or Basic, web tokens and mail addresses. Hosts are not rewritten. Null stays null.
+    """
+    whole = F.lit("[REDACTED]")
+    url = F.regexp_replace(value, USER_INFO, "$1redacted:redacted@$2")
+    rest = F.regexp_replace(F.regexp_replace(value, AUTH, "[REDACTED]"), WEB_TOKEN, "[REDACTED]")
+    rest = F.regexp_replace(rest, rf"(?<![A-Za-z0-9_]){MAIL}(?![A-Za-z0-9_])", "[REDACTED]")
+    jdbc = F.startswith(F.lower(value), F.lit("jdbc:"))
+    assigns = value.rlike(rf"(?i)(?:^|[^a-z0-9])(?:{SECRET_ASSIGNED})\s*[=:]")
+    return F.when(value.rlike(PEM), whole).when(jdbc & (url != value), url).when(assigns, whole).when(url != value, url).otherwise(rest)
+
+
+def redact_json(value: Column) -> Column:
+    """JSON texts with the values of secret keys at any depth, and secrets in texts, replaced; null where it is no JSON."""
+    secret, assigned = re.compile(SECRET_WORDS, re.I), re.compile(ASSIGNED_VALUE)
+
+    def walk(x):
+        if isinstance(x, dict):
+            return {k: "[REDACTED]" if secret.search(k) else walk(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [walk(v) for v in x]
+        return assigned.sub(r"\1: [REDACTED]", x) if isinstance(x, str) else x
+
+    def one(raw):
+        try:
+            return None if raw is None else json.dumps(walk(json.loads(raw)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(value)
+
+
+def byte_prefix(value: Column, most: int) -> tuple[Column, Column]:
+    """(text, truncated): the longest prefix of whole characters in at most so many UTF-8 bytes; all of it if `most` is not above 0."""
+    raw = F.encode(value, "UTF-8")
+    if most <= 0:
+        return value, F.lit(False)
+    within = lambda k: F.hex(F.substring(raw, most + 1 - k, 1)).between("80", "BF")
+    cut = F.lit(most - 3)
+    for k in (2, 1, 0):
+        cut = F.when(~within(k), most - k).otherwise(cut)
+    longer = F.octet_length(value) > most
+    return F.when(longer, F.decode(F.substring(raw, F.lit(1), cut), "UTF-8")).otherwise(value), longer
+
+
+def substituted(template: Column, values: Column) -> list[Column]:
+    """effective, placeholders, supplied, missing and changed of a template whose `${key}` are looked up in a map; what is missing stays."""
+    key = r"\$\{([^{}]+)\}"
+    found = F.transform(F.regexp_extract_all(template, F.lit(key), F.lit(1)), lambda k: F.trim(k))
+    put = F.transform(found, lambda k: F.coalesce(F.element_at(values, k), F.when(F.map_contains_key(values, k), "").otherwise(F.concat(F.lit("${"), k, F.lit("}")))))
+    effective = F.array_join(F.zip_with(F.split(template, key, -1), put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    keys = F.array_distinct(found)
+    has = lambda k: F.map_contains_key(values, k)
+    return [
+        effective.alias("effective"), keys.alias("placeholders"), F.filter(keys, has).alias("supplied"),
+        F.filter(keys, lambda k: ~has(k)).alias("missing"), (effective != template).alias("changed"),
+    ]
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """The longest text that both begin with."""
+    upto = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    return F.substring(a, F.lit(1), F.array_max(F.filter(upto, lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))))
 
 
 def redact_mail(value: Column) -> Column:

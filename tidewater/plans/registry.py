@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tidewater.plans import graph_queries, log_queries, rank_queries, service_queries, table_queries, timeline_queries  # noqa: E402, F401
+from tidewater.plans import graph_queries, log_queries, rank_queries, service_queries, table_queries, timeline_queries, value_queries  # noqa: E402, F401
