@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text
 from tidewater.operators import linking
+from tidewater.operators.ranking import first_few, sole_least
 
 
 def texts(spark, values):
@@ -95,3 +96,10 @@ def test_work_tree_states(spark):
     assert found == {
         "a": ("last", "diverged", False, True, True, 2, 1), "b": ("HEAD", "no_remote", True, False, False, 0, 0),
         "c": ("HEAD", "no_remote", False, False, False, 0, 0), "d": ("HEAD", "in_sync", False, False, False, 0, 0)}
+
+
+def test_first_few_and_sole_least(spark):
+    rows = spark.createDataFrame([("a", 3, 1), ("a", 1, 2), ("a", 2, 2), ("a", 1, 5), ("b", None, None), (None, 7, 1), (None, 6, 1)], "g string, x int, y int")
+    assert {tuple(r) for r in first_few(rows, "g", "x", 3, "n", "few").collect()} == {("a", 4, "1,1,2"), ("b", 1, ""), (None, 2, "6,7")}
+    assert {tuple(r) for r in sole_least(rows, "g", "y", "x", "who", "many").collect()} == {("a", 3, False), (None, None, True)}
+    assert first_few(rows.limit(0), "g", "x", 3, "n", "few").count() == 0

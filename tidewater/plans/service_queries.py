@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import text
+from tidewater.operators.ranking import first_few, sole_least
 from tidewater.plans.log_queries import LOG, log_rows
 from tidewater.plans.registry import query
 from tidewater.session import table
@@ -182,10 +183,7 @@ def a_tree_rollup(spark, sf_dir):
 
 @query("w_owner_select", "with r as (select l_orderkey, l_linenumber, rank() over (partition by l_orderkey order by l_quantity) k from lineitem), b as (select l_orderkey, count(*) n, min(l_linenumber) line from r where k = 1 group by 1) select l_orderkey, case when n = 1 then line end as owner, n > 1 ambiguous from b")
 def w_owner_select(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem")
-    best = l.groupBy("l_orderkey").agg(F.min(F.struct("l_quantity")).alias("b"), F.collect_list(F.struct("l_quantity", "l_linenumber")).alias("all"))
-    top = best.select("l_orderkey", F.filter("all", lambda x: x["l_quantity"] == F.col("b.l_quantity")).alias("top"))
-    return top.select("l_orderkey", F.when(F.size("top") == 1, F.get("top", F.lit(0))["l_linenumber"]).alias("owner"), (F.size("top") > 1).alias("ambiguous"))
+    return sole_least(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber", "owner", "ambiguous")
 
 
 @query("w_first_last", LOG + "select app, arg_min(message, (ts, id)) first_message, arg_max(message, (ts, id)) last_message from log group by app")
@@ -276,4 +274,4 @@ def gq_json(spark, sf_dir):
 def gq_no_impl(spark, sf_dir):
     s, c = t(spark, sf_dir, "supplier", "customer")
     rows = s.join(c.where("c_acctbal > 9000"), s.s_nationkey == c.c_nationkey, "left_anti")
-    return rows.groupBy("s_nationkey").agg(F.count("*").alias("calls"), F.array_join(F.slice(F.sort_array(F.collect_list("s_suppkey")), 1, 3).cast("array<string>"), ",").alias("examples"))
+    return first_few(rows, "s_nationkey", "s_suppkey", 3, "calls", "examples")

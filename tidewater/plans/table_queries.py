@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import text
+from tidewater.operators.ranking import first_few
 from tidewater.plans.registry import query
 from tidewater.session import table
 
@@ -205,8 +206,8 @@ def a_merge_candidates(spark, sf_dir):
 
 @query("a_provenance_group", "select o_custkey, count(*) total, greatest(count(*) - 5, 0) omitted, array_to_string(list_sort(list(o_orderkey))[1:5], ',') shown from orders group by 1")
 def a_provenance_group(spark, sf_dir):
-    first = F.slice(F.sort_array(F.collect_list("o_orderkey")), 1, 5)
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.greatest(F.count("*") - 5, F.lit(0)).alias("omitted"), F.array_join(first.cast("array<string>"), ",").alias("shown"))
+    few = first_few(t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 5, "total", "shown")
+    return few.select("o_custkey", "total", F.greatest(F.col("total") - 5, F.lit(0)).alias("omitted"), "shown")
 
 
 @query("a_collision", "select props, count(distinct user_id) users from events group by 1 having count(distinct user_id) > 1")
