@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import bpe, decontaminate, license_scan, near_duplicates, quality, sharding, token_files, toxicity, url_filters, vector_search
+from tidewater.llm import bpe, decontaminate, filter_audit, license_scan, near_duplicates, quality, quality_rules, sharding, spelling, token_files, toxicity, url_filters, vector_search
 from tidewater.llm.labelled import fold
 from tidewater.llm.vocabulary import VOCABULARY
 from tidewater.session import Scratch, table
@@ -78,6 +78,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark, "op10"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"), Scratch(spark, "op11"))[0]
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"), Scratch(spark, "op12"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -173,13 +185,77 @@ r as (select *, cast(row_number() over (partition by rid order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+#: The path of cutoffs as a case chain, the binomial tails as sums of terms.
+OP11_SQL = r"""
+with d as (select row_number() over () rid, doc_id, coalesce(lang, '') stratum, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+g as (select rid, u.i, ws[u.i] || chr(10) || ws[u.i + 1] || chr(10) || ws[u.i + 2] g from w, unnest(range(1, len(ws) - 1)) u(i)),
+again as (select rid, i from g join (select rid, g from g group by all having count(*) > 1) using (rid, g)),
+rep as (select rid, count(distinct i + k) n from again, range(3) x(k) group by 1),
+m as (select rid, doc_id, stratum, t, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols,
+  len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(n, 0) n_repeat_words from w left join rep using (rid)),
+f as (select *, n_words < @@MIN@@ or n_repeat_words * 100 > n_words * @@MOST@@ base_failed, case when n_words < @@MIN@@ or n_repeat_words * 100 > n_words * @@MOST@@ then null @@PATH@@ end as level from m),
+k as (select doc_id, min(quality) label from labels where doc_id is not null and quality in (0, 1) group by 1 having min(quality) = max(quality)),
+tr as (select stratum, t, label, min(level) as level from f join k using (doc_id) where not base_failed group by all),
+sizes as (select stratum, count(*) filter (label = 1) n, count(*) filter (label = 1) > 0 met from tr group by 1),
+lv as (select stratum, j, any_value(n) n, count(*) filter (label = 1 and level <= j) good, count(*) filter (label = 0 and level <= j) bad from tr join sizes using (stratum), range(1, @@STEPS@@ + 1) x(j) group by all),
+tail as (select *, case when good >= n then 1.0 else list_sum(list_transform(range(0, good + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(@@ALPHA@@) + (n - i) * ln(1 - @@ALPHA@@)))) end p from lv),
+ok as (select *, bool_and(n > 0 and p <= @@DELTA@@ / (select greatest(count(*), 1) from sizes where met)) over (partition by stratum order by j) passed from tail),
+cut as (select stratum, arg_max(j, (bad - good, -j)) cut from (select stratum, j, good, bad from ok where passed union all select stratum, 0, 0, 0 from sizes) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(level > coalesce(cut, 0), true) kept, n_lines, stratum, level, coalesce(cut, 0) cut
+from f left join cut using (stratum)
+"""
+_FIRES = {"symbols": "n_symbols * 1000 > word_chars * {}", "lines": "n_dup_lines * 100 > n_lines * {}", "words": "n_repeat_words * 100 > n_words * {}", "long": "word_chars * 10 > n_words * {}", "short": "word_chars * 10 < n_words * {}"}
+for _name, _value in {
+    "MIN": quality_rules.MIN_WORDS, "MOST": quality_rules.MAX_REPEATED, "STEPS": len(quality_rules.PATH), "ALPHA": quality_rules.ALPHA, "DELTA": quality_rules.DELTA,
+    "PATH": " ".join(f"when {_FIRES[r].format(c)} then {j}" for j, (r, c) in enumerate(quality_rules.PATH, 1)),
+}.items():
+    OP11_SQL = OP11_SQL.replace(f"@@{_name}@@", str(_value))
+
+OP12_SQL = r"""
+with d as (select row_number() over () rid, doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from d),
+least_id as (select t, min(doc_id) least from d group by 1),
+lab as (select doc_id, max(coalesce(quality = 1, false)) good, max(coalesce(toxic = 1, false)) toxic from labels where doc_id is not null group by 1),
+f as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic, (case when len(ws) < 100 then 1 else 0 end) + (case when len(list_distinct(ws)) * 100 < len(ws) * 80 then 2 else 0 end)
+  + (case when length(regexp_replace(t, '[^A-Z]', '', 'g')) * 100 > length(t) * 10 then 4 else 0 end) + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+  + (case when coalesce(w.doc_id > least, false) then 16 else 0 end) fails from w join least_id using (t) left join lab on lab.doc_id = w.doc_id),
+c as (select part, fails, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from f group by all),
+l(x, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (select p.x || q.x || r.x || s.x || t.x filter_order from l p, l q, l r, l s, l t where p.b + q.b + r.b + s.b + t.b = 31 and p.b | q.b | r.b | s.b | t.b = 31),
+st as (select filter_order, step, (select sum(b) from l where strpos(filter_order, x) < step) earlier, (select b from l where strpos(filter_order, x) = step) own from o, range(1, 6) y(step)),
+z as (select part, filter_order, step, own, coalesce(sum(n) filter (fails & own = 0 and fails & coalesce(earlier, 0) = 0), 0) kept, coalesce(sum(n) filter (fails & own <> 0 and fails & coalesce(earlier, 0) = 0), 0) removed,
+  coalesce(sum(n) filter (fails & own <> 0 and fails & coalesce(earlier, 0) <> 0), 0) redundant, coalesce(sum(n) filter (fails = own), 0) unique_fails,
+  coalesce(sum(good) filter (fails & own <> 0 and fails & coalesce(earlier, 0) = 0), 0) good_lost, coalesce(sum(toxic) filter (fails & own <> 0 and fails & coalesce(earlier, 0) = 0), 0) toxic_lost from c, st group by all)
+select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint shapley from z
+"""
+
+#: The crc32 by its table, and all pairs of words of about equal length by edit distance; letters above ASCII stand as single bytes for it.
+OP13_SQL = r"""
+with recursive tab as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) tab from range(256) r(i)),
+d as (select row_number() over () rid, coalesce(doc_id::varchar, '') id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+') rs from documents),
+r as (select rid, id, r, count(*) c from (select rid, id, unnest(rs) r from d) where length(r) >= 6 group by all),
+hx as (select *, hex(encode(id || ':' || r)) x from r),
+h as (select r, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) h from hx, tab),
+e as (select case when h % 199 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end word, c from h),
+v as (select word, sum(c)::bigint n, translate(word, '@@FROM@@', '@@TO@@') x from e where length(word) >= 6 group by word having sum(c) >= 5),
+p as (select a.word, b.word other, b.n other_n from v a join v b on a.word <> b.word and abs(length(a.x) - length(b.x)) <= 1 and levenshtein(a.x, b.x) = 1),
+best as (select word, count(*) n_near, max(other_n) top, min_by(other, (-other_n, other)) other from p group by 1),
+k as (select word, n, coalesce(n_near, 0) n_near, case when top >= 5 * n then other end form, case when top >= 5 * n then top end form_n from v left join best using (word)),
+chain(word, far, depth) as (select word, word, 0 from k union all select chain.word, k.form, depth + 1 from chain join k on chain.far = k.word where k.form is not null),
+ends as (select word, arg_max(far, depth) root from chain group by 1)
+select word, form, root, n, n_near, form_n from k join ends using (word)
+""".replace("@@FROM@@", spelling.ALPHABET[26:]).replace("@@TO@@", "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[:64])
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op5_quality_classifier, op4_benchmark_decontamination, op6_sharding,
-        op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k, pipeline,
+        op7_url_filters, op8_token_files, op9_bpe, op10_exact_top_k, op11_quality_rules, op12_filter_audit, op13_spelling_variants, pipeline,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_sharding": OP6_SQL, "op7_url_filters": OP7_SQL, "op10_exact_top_k": OP10_SQL,
+    "op11_quality_rules": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL,
 }
