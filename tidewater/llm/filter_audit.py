@@ -72,7 +72,8 @@ def failures(docs: DataFrame, labels: DataFrame, part: Column, scratch: Scratch)
         *KEY, "doc_id", "part", F.unhex(F.md5(text.cast("binary"))).alias("digest"), (capitals * 100 > F.length(text) * CAPITAL_SHARE).alias("C"), text.rlike(r"[#$%&*|]").alias("D"),
     )
     flags = scratch.keep(flags, "flags")
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
+    said = lambda c: F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False))
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast(flags.schema["doc_id"].dataType).alias("doc_id")).agg(said("quality").alias("good"), said("toxic").alias("toxic"))
     rows = copies(flags, flags.count()).join(known, "doc_id", "left").join(word_totals(docs), KEY, "left")
     words, distinct = F.coalesce("words", F.lit(0)), F.coalesce("distinct", F.lit(0))
     failing = [words < FEW_WORDS, distinct * 100 < words * DISTINCT_SHARE, F.col("C"), F.col("D"), F.col("copy")]

@@ -163,7 +163,7 @@ def judge(
         wide = plain.mapInArrow(_measured, f"doc_id {kind}, stratum string, {', '.join(f'{m} long' for m in MEASURES)}, digest binary")
         failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
         found = scratch.keep(wide.withColumn("base_failed", failed).withColumn("level", F.when(~failed, first_level(path))), "measured")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").drop("top")
     trials = found.where(~F.col("base_failed")).select("doc_id", "stratum", "digest", "level").join(known, "doc_id").groupBy("stratum", "digest", "label").agg(F.min("level").alias("level"))
     cuts = scratch.keep(_cuts(trials.groupBy("stratum", "label", "level").agg(F.count("*").alias("n")), len(path), alpha, delta), "cuts")
