@@ -16,19 +16,25 @@ SYSTEM_PREFIXES = ("Retrieving logs for app", "Failed to retrieve logs from Log
 SECRET_KEYS = ("accesstoken", "apikey", "auth", "authorization", "clientsecret", "oauthcode", "passwd", "password", "refreshtoken", "sig", "signature", "token")
 REQUEST = r"\"([A-Z]+)\s+(\S+)\s+HTTP/[\d.]+\"\s+(\d{3}|-)"
 ROUTER = r"(?i)^rtr\b"
+#: White space that is trimmed from lines.
+WHITE = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(WHITE))
 
 
 def parse_line(line: Column) -> list[Column]:
     """timestamp_raw, source, stream, body of a header line; empty texts for any other line."""
     part = lambda i: F.regexp_extract(line, LINE, i)
-    return [part(1).alias("timestamp_raw"), part(2).alias("source"), part(3).alias("stream"), F.trim(part(4)).alias("body")]
+    return [part(1).alias("timestamp_raw"), part(2).alias("source"), part(3).alias("stream"), trimmed(part(4)).alias("body")]
 
 
 def is_system(line: Column) -> Column:
     """Blank lines and lines of the client itself."""
-    found = F.trim(line) == ""
+    found = trimmed(line) == ""
     for p in SYSTEM_PREFIXES:
-        found = found | F.startswith(F.trim(line), F.lit(p))
+        found = found | F.startswith(trimmed(line), F.lit(p))
     return found
 
 
@@ -39,7 +45,7 @@ def json_body(body: Column) -> Column:
 
 def is_header(line: Column) -> Column:
     """Whether a line begins an entry; one whose body looks like JSON and is none does not."""
-    body = F.trim(F.regexp_extract(line, LINE, 4))
+    body = trimmed(F.regexp_extract(line, LINE, 4))
     broken = body.startswith("{") & body.endswith("}") & F.try_parse_json(body).isNull()
     return line.rlike(LINE) & ~broken
 
@@ -55,16 +61,18 @@ def numbered(lines: DataFrame, group: str, scratch: Scratch) -> DataFrame:
     at = F.when(F.col("header"), F.col("pos"))
     within = Window.partitionBy("p", group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    carried = ranged.groupBy("p", group).agg(F.max(at).alias("last")).select("p", group, F.max("last").over(before).alias("carried"))
+    carried = ranged.groupBy("p", group).agg(F.max(at).alias("last")).select(F.col("p").alias("in"), F.col(group).alias("of"), F.max("last").over(before).alias("carried"))
     local = ranged.withColumn("local", F.last(at, ignorenulls=True).over(within))
-    return local.join(carried, ["p", group]).withColumn("entry", F.coalesce("local", "carried")).drop("p", "local", "carried")
+    found = local.join(carried, (F.col("p") == F.col("in")) & F.col(group).eqNullSafe(F.col("of")))
+    return found.withColumn("entry", F.coalesce("local", "carried")).drop("p", "in", "of", "local", "carried")
 
 
 def join_continuations(lines: DataFrame, group: str, scratch: Scratch) -> DataFrame:
     """lines(group, pos, line): a line without a header belongs to the last header before it in its group.
 
-    Gives (group, entry, text, n_lines) with entries counted by the headers up to them; lines
-    before a group's first header are entry 0. Each entry's lines are joined with line feeds in order.
+    Gives (group, at, text, n_lines) where `at` is the place of the entry's header, null for the
+    lines before a group's first. Each entry's lines are joined with line feeds in order. Lines
+    of a null group are a group like any other.
     """
     runs = numbered(lines, group, scratch)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
@@ -76,17 +84,27 @@ def entries(lines: DataFrame, group: str, scratch: Scratch) -> DataFrame:
 
     Blank lines and lines of the client itself are dropped. Lines before a group's first
     header make one entry of source SYSTEM. The level is that of the whole joined message.
+    Lines of a null group are a group like any other.
     """
-    runs = numbered(lines.where(~is_system(F.col("line"))).withColumn("line", F.trim("line")), group, scratch)
+    runs = numbered(lines.where(~is_system(F.col("line"))).withColumn("line", trimmed(F.col("line"))), group, scratch)
     rest = F.transform(F.array_sort(F.collect_list(F.when(~F.col("header"), F.struct("pos", "line")))), lambda x: x["line"])
     first = F.max_by("line", F.when(F.col("header"), F.col("pos")))
     found = runs.groupBy(group, "entry").agg(F.min("pos").alias("pos"), first.alias("head"), rest.alias("rest"), F.count("*").alias("n_lines"))
-    stamp, source, stream, body = (F.when(F.col("head").isNotNull(), c) for c in parse_line(F.col("head")))
+    return found.select(group, "pos", *entry_fields(F.col("head"), F.col("rest")), "n_lines")
+
+
+def entry_fields(head: Column, rest: Column) -> list[Column]:
+    """timestamp_raw, source, stream, level and message of an entry, from its header line (null if it has none) and its other lines."""
+    stamp, source, stream, body = (F.when(head.isNotNull(), c) for c in parse_line(head))
     body = F.when(body == "", "(empty)").otherwise(body)
+    source, stream = F.coalesce(source, F.lit("SYSTEM")), F.coalesce(stream, F.lit("OUT"))
     said = F.try_variant_get(json_body(body), "$.level", "string")
-    found = found.select(group, "pos", F.coalesce(stamp, F.lit("N/A")).alias("timestamp_raw"), F.coalesce(source, F.lit("SYSTEM")).alias("source"), F.coalesce(stream, F.lit("OUT")).alias("stream"), said.alias("said"), F.array_join(F.concat(F.when(body.isNotNull(), F.array(body)).otherwise(F.array().cast("array<string>")), "rest"), "\n").alias("message"), "n_lines")
-    status = F.try_to_number(F.nullif(F.regexp_extract("message", REQUEST, 3), F.lit("-")), F.lit("999")).cast("int")
-    return found.select(group, "pos", "timestamp_raw", "source", "stream", level(F.col("said"), status, F.col("message"), F.col("stream"), F.col("source")).alias("level"), "message", "n_lines")
+    message = F.array_join(F.concat(F.when(body.isNotNull(), F.array(body)).otherwise(F.array().cast("array<string>")), rest), "\n")
+    status = F.try_to_number(F.nullif(F.regexp_extract(message, REQUEST, 3), F.lit("-")), F.lit("999")).cast("int")
+    return [
+        F.coalesce(stamp, F.lit("N/A")).alias("timestamp_raw"), source.alias("source"), stream.alias("stream"),
+        level(said, status, message, stream, source).alias("level"), message.alias("message"),
+    ]
 
 
 def router_level(status: Column) -> Column:
