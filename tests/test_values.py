@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewater.plans import registry
 from tidewater.functions import text
 from tidewater.operators import linking
 from tidewater.operators.ranking import first_few, sole_least
@@ -103,3 +105,32 @@ def test_first_few_and_sole_least(spark):
     assert {tuple(r) for r in first_few(rows, "g", "x", 3, "n", "few").collect()} == {("a", 4, "1,1,2"), ("b", 1, ""), (None, 2, "6,7")}
     assert {tuple(r) for r in sole_least(rows, "g", "y", "x", "who", "many").collect()} == {("a", 3, False), (None, None, True)}
     assert first_few(rows.limit(0), "g", "x", 3, "n", "few").count() == 0
+
+
+def test_long_hostile_texts(spark):
+    """Patterns over whole texts neither recurse nor multiply with the text's length."""
+    long = ["a@" + "b." * 100_000 + "-", "key:!" * 20_000, "Bearer " * 20_000, "eyJ" + "a." * 50_000, "x://" + "u:" * 20_000 + "@h", "-----BEGIN " * 5_000, "a@b.c_ a@b.c.d_ x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string")
+    found = rows.select("i", text.redact_secrets(F.col("t")).alias("s"), text.redact_assignments(F.col("t")).alias("a"), text.redact_mail(F.col("t")).alias("m")).collect()
+    assert len(found) == len(long)
+    by = {r["i"]: r["s"] for r in found}
+    assert by[0] == "[REDACTED].-" and by[6] == "a@b.c_ [REDACTED].d_ x"
+
+
+def test_hash_color(spark):
+    names = ["", "a", "checkout-service-eu10", "ÄÖÜ", "😀 app", "ARGENTINA", "x" * 300]
+
+    def want(name):
+        h = 0
+        raw = name.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h * 31 + int.from_bytes(raw[i : i + 2], "big")) & 0xFFFFFFFF
+        return abs(h - (1 << 32) if h >> 31 else h) % 10
+
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.hash_color(F.col("n")).alias("c"))
+    assert {r["n"]: r["c"] for r in rows.collect()} == {n: want(n) for n in names}
+
+
+def test_names_are_registered_once():
+    with pytest.raises(ValueError, match="two queries"):
+        registry.query("f_level")(lambda spark, sf_dir: None)

@@ -27,9 +27,9 @@ def test_whole_graph(spark, tables):
     for d in range(1, 26):
         front = {n for f in front for n in edges.get(f, ())} - set(want)
         want |= dict.fromkeys(front, d)
-    got = {r["node"]: r["depth"] for r in registry.QUERIES["g_traverse_all"](spark, sf).collect()}
+    got = {r["node"]: r["depth"] for r in registry.QUERIES["g_traverse"](spark, sf).collect()}
     assert got == want and max(got) > 1000
-    known = {r["node"]: r["known"] for r in registry.QUERIES["g_nodes_close_all"](spark, sf).collect()}
+    known = {r["node"]: r["known"] for r in registry.QUERIES["g_nodes_close"](spark, sf).collect()}
     assert known == {0: False} | dict.fromkeys(keys, True)
 
 
@@ -37,21 +37,21 @@ def test_every_line_is_looked_up(spark, tables):
     tables("supplier", [(1, "S1", 5.0), (2, "S2", -1.0)], "s_suppkey long, s_name string, s_acctbal double")
     tables("part", [(1, "P1")], "p_partkey long, p_name string")
     sf = tables("lineitem", [(1, 1, 1, 1, 3.0), (1, 2, 2, 1, 46.0), (2, 1, 3, 9, 50.0)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double")
-    assert {tuple(r) for r in registry.QUERIES["j_refmap_all"](spark, sf).collect()} == {(1, 1, "S1"), (1, 2, "S2"), (2, 1, None)}
-    assert {tuple(r) for r in registry.QUERIES["g_ownership_all"](spark, sf).collect()} == {(1, 1, "S1"), (1, 2, "P1"), (2, 1, "none")}
+    assert {tuple(r) for r in registry.QUERIES["j_refmap"](spark, sf).collect()} == {(1, 1, "S1"), (1, 2, "S2"), (2, 1, None)}
+    assert {tuple(r) for r in registry.QUERIES["g_ownership"](spark, sf).collect()} == {(1, 1, "S1"), (1, 2, "P1"), (2, 1, "none")}
 
 
 def test_months_of_every_customer(spark, tables):
     days = [(k, datetime.datetime(2020, 12, 31)) for k in range(1, 60)] + [(7, datetime.datetime(2021, 2, 1))]
     sf = tables("orders", days, "o_custkey long, o_orderdate timestamp")
-    got = {tuple(r) for r in registry.QUERIES["fn_month_range_all"](spark, sf).collect()}
+    got = {tuple(r) for r in registry.QUERIES["fn_month_range"](spark, sf).collect()}
     assert got == {(k, "202012") for k in range(1, 60)} | {(7, "202101"), (7, "202102")}
 
 
 def test_whole_cells_and_messages(spark, tables):
     page = "x" * 50 + 'a "b", c'
     sf = tables("pages", [(1, page), (2, "y" * 90), (3, None)], "page_id long, html string")
-    got = dict(tuple(r) for r in registry.QUERIES["fn_csv_escape_all"](spark, sf).collect())
+    got = dict(tuple(r) for r in registry.QUERIES["fn_csv_escape"](spark, sf).collect())
     assert got == {1: '"' + page.replace('"', '""') + '"', 2: "y" * 90, 3: ""}
     texts = [" a \n b ", "z" * 500, "z" * 501]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(logs.compacted(F.col("t")))

@@ -42,8 +42,9 @@ SECRET_ASSIGNED = "access token|apikey|api key|clientsecret|client secret|passwo
 PEM = "-----BEGIN [A-Z ]*(?:PRIVATE KEY|CERTIFICATE)-----"
 AUTH = r"(?i)(?<![A-Za-z0-9_])(?:Bearer|Basic)\s+[^\s,;]+"
 WEB_TOKEN = r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
-LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-MAIL = rf"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@{LABEL}(?:\.{LABEL})+"
+#: Fixed value: a mail address as a word. Its labels are taken possessively, so no text makes the matching recurse; of a name
+#: before the @ of more than 255 characters only the end counts, so that long runs without an @ are not read anew from each place.
+MAIL = r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9._%+-]{0,254}+(?<=[A-Za-z0-9])@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?![A-Za-z0-9_]))++"
 USER_INFO = r"^((?:[Jj][Dd][Bb][Cc]:)?[A-Za-z][A-Za-z0-9+.-]*://)[^/?#\s]*[^:/?#\s][^/?#\s]*@(\S+)$"
 _BARE = "[^,'\"`}\\s]+"
 ASSIGNED_VALUE = rf"(?i)({SECRET_WORDS})\s*[:=]\s*(?:'{_BARE}'|\"{_BARE}\"|`{_BARE}`|{_BARE})"
@@ -63,7 +64,7 @@ def redact_secrets(value: Column) -> Column:
     whole = F.lit("[REDACTED]")
     url = F.regexp_replace(value, USER_INFO, "$1redacted:redacted@$2")
     rest = F.regexp_replace(F.regexp_replace(value, AUTH, "[REDACTED]"), WEB_TOKEN, "[REDACTED]")
-    rest = F.regexp_replace(rest, rf"(?<![A-Za-z0-9_]){MAIL}(?![A-Za-z0-9_])", "[REDACTED]")
+    rest = F.regexp_replace(rest, MAIL, "[REDACTED]")
     jdbc = F.startswith(F.lower(value), F.lit("jdbc:"))
     assigns = value.rlike(rf"(?i)(?:^|[^a-z0-9])(?:{SECRET_ASSIGNED})\s*[=:]")
     return F.when(value.rlike(PEM), whole).when(jdbc & (url != value), url).when(assigns, whole).when(url != value, url).otherwise(rest)
@@ -127,7 +128,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def redact_mail(value: Column) -> Column:
-    return F.regexp_replace(value, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
+    return F.regexp_replace(value, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
 
 
 def slug_hash(value: Column) -> Column:
@@ -137,9 +138,11 @@ def slug_hash(value: Column) -> Column:
 
 
 def hash_color(value: Column, colors: int = 10) -> Column:
-    """h = h * 31 + code modulo 2**32 over the characters, modulo the number of colours."""
-    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    return (F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32)) % colors).cast("int")
+    """h = h * 31 + unit over the UTF-16 units, kept to a signed 32-bit number; its absolute value modulo the number of colours."""
+    raw = F.hex(F.encode(value, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(4)), lambda i: F.conv(F.substring(raw, i, F.lit(4)), 16, 10).cast("long"))
+    h = F.aggregate(F.when(raw == "", F.array().cast("array<bigint>")).otherwise(units), F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32))
+    return (F.least(h, F.lit(1 << 32) - h) % colors).cast("int")
 
 
 def a1_column(letters: Column) -> Column:

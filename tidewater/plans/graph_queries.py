@@ -8,45 +8,25 @@ from tidewater.operators import graph
 from tidewater.plans.registry import query
 from tidewater.session import Scratch, table
 
-EDGES = "edges as (select distinct o_custkey src, (o_custkey * 7 + o_orderkey % 3) % 1000 dst from orders where o_custkey < 1000)"
+EDGES = "edges as (select distinct o_custkey src, (o_custkey * 7 + o_orderkey % 3) % (select count(*) from customer) dst from orders)"
 
 
 def edges(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey < 1000")
-    return o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 1000).alias("dst")).distinct()
-
-
-@query("g_traverse", f"with recursive {EDGES}, r(node, depth) as (select 1::bigint, 0 union select dst, depth + 1 from r join edges on src = node where depth < 6) select node, min(depth) depth from r group by 1")
-def g_traverse(spark, sf_dir):
-    starts = spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.traverse(edges(spark, sf_dir), starts, Scratch(spark, "traverse"), 6)
-
-
-@query("g_nodes_close", f"with {EDGES} select node, bool_or(known) known from (select c_custkey node, true known from customer where c_custkey < 500 union all select src, false from edges union all select dst, false from edges) group by 1")
-def g_nodes_close(spark, sf_dir):
-    nodes = table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("node"))
-    return graph.close_nodes(nodes, edges(spark, sf_dir))
-
-
-ALL_EDGES = "edges as (select distinct o_custkey src, (o_custkey * 7 + o_orderkey % 3) % (select count(*) from customer) dst from orders)"
-
-
-def all_edges(spark, sf_dir):
     n = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
     o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n))
     return o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % F.col("n")).alias("dst")).distinct()
 
 
-@query("g_traverse_all", f"with recursive {ALL_EDGES}, r(node, depth) as (select 1::bigint, 0 union select dst, depth + 1 from r join edges on src = node where depth < 25) select node, min(depth) depth from r group by 1")
-def g_traverse_all(spark, sf_dir):
+@query("g_traverse", f"with recursive {EDGES}, r(node, depth) as (select 1::bigint, 0 union select dst, depth + 1 from r join edges on src = node where depth < 25) select node, min(depth) depth from r group by 1")
+def g_traverse(spark, sf_dir):
     starts = spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.traverse(all_edges(spark, sf_dir), starts, Scratch(spark, "traverse"))
+    return graph.traverse(edges(spark, sf_dir), starts, Scratch(spark, "traverse"))
 
 
-@query("g_nodes_close_all", f"with {ALL_EDGES} select node, bool_or(known) known from (select c_custkey node, true known from customer union all select src, false from edges union all select dst, false from edges) group by 1")
-def g_nodes_close_all(spark, sf_dir):
+@query("g_nodes_close", f"with {EDGES} select node, bool_or(known) known from (select c_custkey node, true known from customer union all select src, false from edges union all select dst, false from edges) group by 1")
+def g_nodes_close(spark, sf_dir):
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
-    return graph.close_nodes(nodes, all_edges(spark, sf_dir))
+    return graph.close_nodes(nodes, edges(spark, sf_dir))
 
 
 @query("g_event_env", "select user_id, case when count(distinct props) = 1 then 'resolved' else 'ambiguous' end status from events where event_type = 'signup' group by 1")
@@ -55,27 +35,9 @@ def g_event_env(spark, sf_dir):
     return rows.agg(F.when(F.count_distinct("props") == 1, "resolved").otherwise("ambiguous").alias("status"))
 
 
-@query("g_dep_edge", """with x as (select c_custkey, c_nationkey from customer), e as (select s_nationkey, count(*) n from supplier group by 1)
-select c_custkey, case when n is null then 'unresolved' when n = 1 then 'resolved' else 'ambiguous' end status, case when n is null then 0.0 when n = 1 then 1.0 else 0.5 end::double confidence from x left join e on c_nationkey = s_nationkey""")
-def g_dep_edge(spark, sf_dir):
-    e = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"))
-    n = F.col("n")
-    return table(spark, sf_dir, "customer").join(e, "c_nationkey", "left").select(
-        "c_custkey", F.when(n.isNull(), "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"),
-        F.when(n.isNull(), 0.0).when(n == 1, 1.0).otherwise(0.5).alias("confidence"))
-
-
 @query("g_ownership", """select l.l_orderkey, l.l_linenumber, coalesce(case when s.s_acctbal > 0 then s.s_name end, p.p_name, 'none') as owner
-from lineitem l left join supplier s on l.l_suppkey = s.s_suppkey left join part p on l.l_partkey = p.p_partkey where l.l_quantity >= 49""")
-def g_ownership(spark, sf_dir):
-    l, s, p = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "part"))
-    found = l.where("l_quantity >= 49").join(s, l.l_suppkey == s.s_suppkey, "left").join(p, l.l_partkey == p.p_partkey, "left")
-    return found.select("l_orderkey", "l_linenumber", F.coalesce(F.when(F.col("s_acctbal") > 0, F.col("s_name")), "p_name", F.lit("none")).alias("owner"))
-
-
-@query("g_ownership_all", """select l.l_orderkey, l.l_linenumber, coalesce(case when s.s_acctbal > 0 then s.s_name end, p.p_name, 'none') as owner
 from lineitem l left join supplier s on l.l_suppkey = s.s_suppkey left join part p on l.l_partkey = p.p_partkey""")
-def g_ownership_all(spark, sf_dir):
+def g_ownership(spark, sf_dir):
     l, s, p = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "part"))
     found = l.join(s, l.l_suppkey == s.s_suppkey, "left").join(p, l.l_partkey == p.p_partkey, "left")
     return found.select("l_orderkey", "l_linenumber", F.coalesce(F.when(F.col("s_acctbal") > 0, F.col("s_name")), "p_name", F.lit("none")).alias("owner"))

@@ -141,16 +141,6 @@ def duration_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select(i.alias("id"), logs.duration_ms(text).alias("ms"), logs.since_ms(text).alias("strict_ms"))
 
 
-@query("f_level", LOG + "select id, level from log where level = 'warn'")
-def f_level(spark, sf_dir):
-    return log_rows(spark, sf_dir).where(F.col("level") == "warn").select("id", "level")
-
-
-@query("f_stream", LOG + "select id, stream from log where stream = 'ERR'")
-def f_stream(spark, sf_dir):
-    return log_rows(spark, sf_dir).where(F.col("stream") == "ERR").select("id", "stream")
-
-
 @query("s_newest_first", LOG + "select id, ts from log order by ts desc, app desc, id desc limit 300")
 def s_newest_first(spark, sf_dir):
     return log_rows(spark, sf_dir).orderBy(F.desc("ts"), F.desc("app"), F.desc("id")).limit(300).select("id", "ts")
@@ -176,9 +166,9 @@ def a_summary_app(spark, sf_dir):
     return out
 
 
-@query("url_query_redact_keys", """with u as (select page_id, url || case when contains(url, '?') then '&' else '?' end k from pages)
+@query("url_query_redact", """with u as (select page_id, url || case when contains(url, '?') then '&' else '?' end k from pages)
 select page_id, case page_id % 5 when 0 then k || 'to%6Ben=redacted&x=1' when 1 then k || 'API-key=redacted#f?token=2' when 2 then k || 'monkey=3' when 3 then k || 'sig=redacted' else k || 'p=%zz&Client_Secret=redacted' end url from u""")
-def url_query_redact_keys(spark, sf_dir):
+def url_query_redact(spark, sf_dir):
     i = F.col("page_id")
     more = F.when(i % 5 == 0, "to%6Ben=a&x=1").when(i % 5 == 1, "API-key=b=c#f?token=2").when(i % 5 == 2, "monkey=3").when(i % 5 == 3, "sig").otherwise("p=%zz&Client_Secret=")
     sep = F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
@@ -209,13 +199,8 @@ def source_family(spark, sf_dir):
     return log_rows(spark, sf_dir).groupBy(logs.source_family(F.col("source")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("compact_row", LOG + "select id, substr(trim(regexp_replace(message, '\\s+', ' ', 'g')), 1, 24) message from log")
+@query("compact_row", LOG + ", m as (select id, trim(regexp_replace(message, '\\s+', ' ', 'g')) message from log) select id, case when length(message) <= 500 then message else left(message, 497) || '...' end message from m")
 def compact_row(spark, sf_dir):
-    return log_rows(spark, sf_dir).select("id", logs.squeezed(F.col("message"), 24).alias("message"))
-
-
-@query("compact_row_all", LOG + ", m as (select id, trim(regexp_replace(message, '\\s+', ' ', 'g')) message from log) select id, case when length(message) <= 500 then message else left(message, 497) || '...' end message from m")
-def compact_row_all(spark, sf_dir):
     return log_rows(spark, sf_dir).select("id", logs.compacted(F.col("message")).alias("message"))
 
 
@@ -369,11 +354,6 @@ def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^[^:]+://[^/?#]*([^#]*).*$", "$1").alias("target"))
 
 
-@query("url_query_redact", "select page_id, regexp_replace(url, '([?&](utm_source|ref)=)[^&#]*', '\\1***', 'g') url from pages")
-def url_query_redact(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"([?&](utm_source|ref)=)[^&#]*", "$1***").alias("url"))
-
-
 @query("latency_fmt", "select event_id id, case when event_id % 2500 = 0 then '0 ms' when event_id % 2500 < 1000 then (event_id % 2500) || ' ms' else regexp_replace(printf('%.3f', (event_id % 2500) / 1000.0), '\\.?0+$', '') || ' s' end latency from events")
 def latency_fmt(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), logs.latency_text(((F.col("event_id") % 2500) / 1000.0).cast("double")).alias("latency"))

@@ -12,9 +12,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under a name, with SQL for the same rows where SQL can say it."""
+    """Registers a query under a name that is not taken, with SQL for the same rows where SQL can say it."""
 
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries of the name {name}")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -24,3 +26,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from tidewater.plans import graph_queries, log_queries, rank_queries, service_queries, table_queries, timeline_queries, value_queries  # noqa: E402, F401
+
+#: Earlier names of whole queries.
+for _new, _old in {
+    "g_traverse": "g_traverse_all", "g_nodes_close": "g_nodes_close_all", "g_ownership": "g_ownership_all", "g_dep_edge": "g_dep_edge_tiers", "j_refmap": "j_refmap_all",
+    "fn_month_range": "fn_month_range_all", "fn_csv_escape": "fn_csv_escape_all", "compact_row": "compact_row_all", "url_query_redact": "url_query_redact_keys",
+}.items():
+    query(_old, ORACLES[_new])(QUERIES[_new])

@@ -16,6 +16,9 @@ def _sql(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+SQL_MAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b"
+
+
 @query("f_level", LOG + "select id, app from log where level = 'warn'")
 def f_level(spark, sf_dir):
     return log_rows(spark, sf_dir).where("level = 'warn'").select("id", "app")
@@ -35,7 +38,7 @@ SECRETS = "made as (select doc_id, case doc_id % 7 when 0 then 'jdbc:sap://bob:p
 
 
 @query("fn_redact_secret", f"""with {SECRETS}, u as (select *, regexp_replace(text, {_sql(text.USER_INFO)}, '\\1redacted:redacted@\\2') url,
-  regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\b(?:Bearer|Basic)\\s+[^\\s,;]+', '[REDACTED]', 'g'), '\\beyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\b', '[REDACTED]', 'g'), {_sql('(^|[^A-Za-z0-9_])' + text.MAIL + r'\b')}, '\\1[REDACTED]', 'g') rest from made)
+  regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\b(?:Bearer|Basic)\\s+[^\\s,;]+', '[REDACTED]', 'g'), '\\beyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\b', '[REDACTED]', 'g'), {_sql('(^|[^A-Za-z0-9_])' + SQL_MAIL)}, '\\1[REDACTED]', 'g') rest from made)
 select doc_id, case when regexp_matches(text, '{text.PEM}') then '[REDACTED]' when starts_with(lower(text), 'jdbc:') and url <> text then url
   when regexp_matches(text, '(?i)(?:^|[^a-z0-9])(?:{text.SECRET_ASSIGNED})\\s*[=:]') then '[REDACTED]' when url <> text then url else rest end as text from u""")
 def fn_redact_secret(spark, sf_dir):
@@ -149,8 +152,8 @@ def j_dependency(spark, sf_dir):
     return linking.dependency_edges(*_repos(spark, sf_dir)).select("id", "dependency", "match", "candidates")
 
 
-@query("g_dep_edge_tiers", DEP_EDGES + "select id, dependency, match, n candidates, case when n = 1 then 'resolved' else 'ambiguous' end status, case when n = 1 then to_id end to_id, case when n = 1 then 1.0::double else 0.5::double end confidence from found")
-def g_dep_edge_tiers(spark, sf_dir):
+@query("g_dep_edge", DEP_EDGES + "select id, dependency, match, n candidates, case when n = 1 then 'resolved' else 'ambiguous' end status, case when n = 1 then to_id end to_id, case when n = 1 then 1.0::double else 0.5::double end confidence from found")
+def g_dep_edge(spark, sf_dir):
     return linking.dependency_edges(*_repos(spark, sf_dir))
 
 
