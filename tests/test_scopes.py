@@ -81,3 +81,10 @@ def test_operation_hops(spark):
     handlers = spark.createDataFrame([("m1", "h1"), ("m9", "h9"), ("m2", "h2"), ("m4", "h4")], "method string, scope string")
     got = {r["id"]: (r["method"], r["dst"], r["how"]) for r in scopes.operation_hops(calls, impl, hints, handlers).collect()}
     assert got == {1: ("m1", "h1", "resolved"), 2: ("m9", "h9", "hinted"), 3: (None, None, "unresolved"), 4: ("m3", None, "missing_handler"), 5: (None, None, "unresolved"), 6: ("m1", "h1", "hinted")}
+
+
+def test_cycles_of_the_own_way_only(spark):
+    edges = [(1, "a", "b", None), (2, "a", "c", None), (3, "b", "c", None), (4, "c", "b", None), (5, "b", "a", "x")]
+    rows = spark.createDataFrame(edges, "id long, src string, dst string, binds string")
+    found = scopes.traverse(rows, spark.createDataFrame([(0, "a", None)], "id long, scope string, context string"), Scratch(spark, "t"), over_branches=False)
+    assert {r["edge"]: r["kind"] for r in found.collect()} == {1: "scheduled", 2: "scheduled", 3: "converged", 4: "converged", 5: "cycle"}

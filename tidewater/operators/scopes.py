@@ -10,7 +10,7 @@ from tidewater.session import Scratch
 STATE = ["scope", "context"]
 
 
-def traverse(edges: DataFrame, starts: DataFrame, scratch: Scratch, depth: int = 25) -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame, scratch: Scratch, depth: int = 25, over_branches: bool = True) -> DataFrame:
     """edges(id, src, dst, binds), starts(id, scope, context) -> every hop, as (depth, src, src_context, edge, dst, context, kind).
 
     A state is a scope with a context; a hop to `dst` has the context that the edge binds, or
@@ -18,8 +18,9 @@ def traverse(edges: DataFrame, starts: DataFrame, scratch: Scratch, depth: int =
     their depth and then of the edges' ids along the way that first led to them, up to
     `depth` (states of that depth are not expanded). Kinds of hops:
 
-    * cycle: the scope is one of those on the way to the state that the hop leaves, or that
-      state's scope can be reached again from the hop's target over hops recorded before;
+    * cycle: the scope is one of those on the way to the state that the hop leaves, or (with
+      `over_branches`) that state's scope can be reached again from the hop's target over hops
+      recorded before, which other branches may have made;
     * converged: the state was met before, or earlier in this order;
     * scheduled: the state is new and will be expanded.
 
@@ -27,6 +28,8 @@ def traverse(edges: DataFrame, starts: DataFrame, scratch: Scratch, depth: int =
     context is ''. Each state keeps the scopes and edge ids on its way, `depth` + 1 at most.
     States are appended to one table; a round joins the frontier with the edges and its targets
     with that table, so nothing passes through the driver but whether a round found anything.
+    `over_branches` follows each converged hop through what was recorded before it: its work is
+    that of traces, converged hops times what they lead to. Leave it off for whole dense graphs.
     """
     spark = starts.sparkSession
     steps = edges.where("src is not null and dst is not null").select(F.col("id").cast("long").alias("edge"), "src", "dst", "binds")
@@ -58,7 +61,8 @@ def traverse(edges: DataFrame, starts: DataFrame, scratch: Scratch, depth: int =
     if found_schema is None:
         empty = front.join(steps, F.lit(False))
         return empty.select("depth", "src", F.col("context").alias("src_context"), "edge", "dst", "context", F.lit("").alias("kind"))
-    return _closed(spark.read.schema(found_schema).parquet(hops), scratch).drop("way")
+    found = spark.read.schema(found_schema).parquet(hops)
+    return (_closed(found, scratch) if over_branches else found).drop("way")
 
 
 def _closed(hops: DataFrame, scratch: Scratch) -> DataFrame:
