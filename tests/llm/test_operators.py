@@ -393,6 +393,7 @@ def test_quality(spark, labelled):
     assert len(got) == 406 and all(0 <= r["score"] <= 1 for r in got)
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 3 != 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 400]) > 0.97
     assert quality.score(rows.where("false"), quality.train(rows.where("false"), labels, F.lit(True))).count() == 0
+    assert quality.score(rows, quality.train(rows, labels.limit(0), F.lit(True))).where("score = 0.5").count() == 406
 
 
 def test_pipeline_stages_act(spark, labelled, tmp_path):

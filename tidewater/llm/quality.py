@@ -136,12 +136,12 @@ class Model:
 
 
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.02, ridge: float = 1e-4) -> Model:
-    """Both classes weigh the same; the start is fixed, so equal samples give equal models."""
+    """Both classes weigh the same; the start is fixed, so equal samples give equal models. Without a sample every score is 0.5, which keeps."""
     rng = np.random.default_rng(5)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     parts = {"E": draw(WIDTH, HIDDEN), "e": np.zeros(HIDDEN), "V": draw(HIDDEN, HIDDEN), "U": draw(HIDDEN, HIDDEN), "w": draw(HIDDEN), "c": draw(HIDDEN), "b": np.zeros(1)}
     if not len(y):
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), parts)
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), parts | {"c": np.zeros(HIDDEN)})
     model = Model(x.mean(axis=0), x.std(axis=0) + 1e-3, parts)
     weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
     m = {k: np.zeros_like(v) for k, v in parts.items()}
@@ -166,7 +166,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: tuple[int, int] = (1_000, 1_000)) -> Model:
     """Fits on so many bad and good labelled documents at most (`labelled.sample`); their passages' features are what is gathered."""
     bounded_batches(docs.sparkSession)
-    rows = sample(docs, labels, "quality", may_use, most).select("label", "text").mapInArrow(_extract, "label int, bag binary").collect()
+    rows = sample(docs, labels, "quality", may_use, most).mapInArrow(_extract, "label int, bag binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"]).reshape(-1, WIDTH) for r in rows]
     return fit(np.concatenate([np.zeros((0, WIDTH)), *bags]), np.cumsum([0, *map(len, bags)]), np.array([r["label"] for r in rows], dtype=float))

@@ -18,3 +18,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast where the counted rows, of a few numbers each, allow it; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def long_ids(df: DataFrame, column: str) -> Column:
+    """The column as long; a clear error where it is no whole number, which packed ids and their order ask for."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must be a whole number of 64 bits at most, not {kind}: map other ids to numbers first")
+    return F.col(column).cast("long").alias(column)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.chunked import ChunkCache, portions
 from tidewater.llm.rans import Table, decode_block, encode_block, scaled
+from tidewater.llm.rows import long_ids
 from tidewater.session import Scratch, bounded_batches
 
 _caches: dict[tuple[str, str], ChunkCache] = {}
@@ -158,11 +159,12 @@ def write(docs: DataFrame, path: str, out: str, scratch: Scratch, end_id: int =
 
     Null texts count as empty and have the end id alone. Null doc_ids come first; rows with
     one doc_id are in order of a hash of their texts. Other columns are ignored. No rows: no blocks.
+    doc_ids are whole numbers; any other type is a TypeError.
     """
     bounded_batches(docs.sparkSession)
     size = max(vocab_size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    ranged = docs.select(long_ids(docs, "doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     staged = ranged.select("doc_id", "text").mapInArrow(_tokenise(path, end_id, size, dtype), "part int, at long, doc_id long, ids binary, counts binary")
     staged = scratch.keep(staged, "staged")
     counts = staged.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

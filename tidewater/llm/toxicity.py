@@ -191,7 +191,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, may_use: Column, most: tuple[int, int] = (2_100, 700)) -> Model:
     """Fits on so many clean and toxic labelled documents at most (`labelled.sample`); their features are what is gathered."""
     bounded_batches(docs.sparkSession)
-    rows = sample(docs, labels, "toxic", may_use, most).select("label", "text").mapInArrow(_extract, "label int, feats binary, begins binary").collect()
+    rows = sample(docs, labels, "toxic", may_use, most).mapInArrow(_extract, "label int, feats binary, begins binary").collect()
     rows = sorted({(r["label"], bytes(r["feats"]), bytes(r["begins"])) for r in rows})  # copies count once
     rows = [dict(zip(("label", "feats", "begins"), r)) for r in rows]
     feats = np.concatenate([np.zeros((0, KINDS), np.uint32), *(np.frombuffer(r["feats"], np.uint32).reshape(-1, KINDS) for r in rows)])

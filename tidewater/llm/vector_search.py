@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.rows import long_ids
 from tidewater.session import Scratch, bounded_batches
 
 CHUNK = 4_096
@@ -300,14 +301,14 @@ def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, s
     query's own row is none of its candidates. Ties go to the smaller vec_id; with fewer
     others, all are given. Vectors that are null or empty, or hold a null or non-finite
     component take no part, nor do null vec_ids. Only vectors of one length are compared.
-    A score to be given that is no long ends the job with an error. Other columns are
-    ignored. No queries: no rows.
+    A score to be given that is no long ends the job with an error. vec_ids are whole
+    numbers; any other type is a TypeError. Other columns are ignored. No queries: no rows.
     """
     spark = vectors.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = F.transform("embedding", lambda y: y.cast("double"))
     good = vectors.where("vec_id is not null").where(usable(F.col("embedding")))
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), F.size("embedding").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    good = good.select(long_ids(good, "vec_id"), x.alias("x"), F.size("embedding").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     largest = F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))
     good = good.withColumn("wide", largest >= (F.floor(F.sqrt(F.lit(EXACT) / F.col("dims"))) - 1) / 1024.0).withColumn("rid", F.monotonically_increasing_id())
     good = scratch.keep(good, "vectors")
