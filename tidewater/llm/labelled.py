@@ -12,22 +12,22 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 #: Most bytes of text of each class that a sample holds.
-MOST_BYTES = (8 << 20, 4 << 20)
+MOST_BYTES = (5 << 20, 2 << 20)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: tuple[int, int], most_bytes: tuple[int, int] = MOST_BYTES) -> DataFrame:
     """(label, text) of `most` different labelled texts of the classes 0 and 1 at most, and of `most_bytes` in all.
 
     A document is used if its labels agree; `train` says, from doc_id, which may be used. Of
-    each class twice as many ids are looked at, in order of a hash; their texts are taken in
-    order of a hash of id and text, each once however many rows have it, and one that would
-    exceed the bytes is passed over. Null texts are not used. The bounds hold for any rows:
+    each class `most` ids are looked at, in order of a hash; their texts are taken in order of
+    a hash of id and text, each once however many rows have it, and one that would exceed the
+    bytes is passed over. Null texts are not used. The bounds hold for any rows:
     what goes through the driver are the sizes of `most` texts, and the sample's features.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").drop("top")
-    some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most[c]) for c in (0, 1)]
+    some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[c]) for c in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").where("text is not null")
     keyed = rows.select("label", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.xxhash64("doc_id", "text").alias("at"), F.octet_length("text").alias("bytes"))
     texts = keyed.groupBy("label", "k1", "k2").agg(F.min("at").alias("at"), F.max("bytes").alias("bytes"))
