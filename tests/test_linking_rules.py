@@ -3,7 +3,10 @@
 import random
 import re
 
-from tidewater.operators import resolving, templates
+import pytest
+
+from tidewater.operators import resolving, spans, templates
+from tidewater.session import Scratch
 
 HOLE = re.compile(r"\$\{([^{}]+)\}")
 
@@ -123,3 +126,29 @@ def test_resolve_operations(spark):
     assert {i: (got[i], want[i], calls[i]) for i in want if got.get(i) != want[i]} == {} and len(got) == len(want)
     assert {"resolved", "ambiguous", "unresolved", "dynamic"} == {v[0] for v in want.values()}
     assert {"implementation_context_caller_ownership", "same_repo_unique_operation_path_with_lookup_mismatch", "suffix_local_service_path"} <= {r for v in want.values() for r in v[4]}
+
+
+@pytest.mark.parametrize("block", [100_000, 5])
+def test_owners(spark, block):
+    rng = random.Random(6)
+    held = []
+    for i in range(150):
+        a = rng.randrange(200)
+        held.append((i, rng.choice(["f", "f", "g", None]), a, a + rng.choice([-1, 0, 1, 5, 40, 300]), rng.randrange(2), rng.choice("xy")))
+    held += [(800, "g", 500, 510, 0, "x"), (801, "g", 500, 510, 0, "x"), (802, "g", 400, 900, 0, "x")]
+    held += [(900, "f", 0, (1 << 39) - 1, 0, "all"), (901, "g", 7, None, 0, "x")]
+    sites = [(i, rng.choice(["f", "g", "h", None]), a := rng.randrange(220), a + rng.randrange(4)) for i in range(300)] + [(999, "f", 3, None), (998, "f", 1 << 38, 1 << 38), (997, "g", 505, 510), (996, "g", 505, 511)]
+    s = spark.createDataFrame(sites, "id int, file string, start long, end long")
+    h = spark.createDataFrame(held, "span_id int, file string, start long, end long, kind_rank int, name string")
+    got = {r["id"]: (r["span_id"], r["enclosing"], r["status"]) for r in spans.owners(s, h, Scratch(spark, "t"), block).collect()}
+    want = {}
+    for i, f, a, b in sites:
+        inside = sorted((y - x, k, x, y, n, j) for j, g, x, y, k, n in held if None not in (f, g, b, y) and f == g and x <= a and y >= b)
+        if not inside:
+            want[i] = (None, 0, "none")
+        else:
+            sole = len(inside) == 1 or inside[0][:5] != inside[1][:5]
+            want[i] = (inside[0][5] if sole else None, len(inside), "owned" if sole else "ambiguous")
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert {v[2] for v in want.values()} == {"none", "owned", "ambiguous"}
+    assert spans.owners(s, h.limit(0), Scratch(spark, "t")).where("status = 'none'").count() == len(sites)
