@@ -31,12 +31,12 @@ def suggest_score(name: Column, asked: Column) -> Column:
     return F.when(score >= 45, score)
 
 
-@query("fn_suggest_score", """with n as (select n_name, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') a, 'UNITEDSTATE' b from nation),
+@query("fn_suggest_score", """with n as (select n_name, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') a, 'NATION1S' b from nation),
 s as (select n_name, case when a = b then 100 when regexp_replace(a, 'S$', '') = regexp_replace(b, 'S$', '') then 92 when starts_with(a, b) or starts_with(b, a) then 80 - abs(length(a) - length(b)) when ends_with(a, b) or ends_with(b, a) then 70 - abs(length(a) - length(b))
  when levenshtein(a, b) <= greatest(3, floor(greatest(length(a), length(b)) * 0.35)) then round(75 * (1 - levenshtein(a, b) / greatest(length(a), length(b)))) end::bigint score from n)
 select n_name, score from s where score >= 45""")
 def fn_suggest_score(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_name", suggest_score(F.col("n_name"), F.lit("United-State")).alias("score")).where("score is not null")
+    return t(spark, sf_dir, "nation").select("n_name", suggest_score(F.col("n_name"), F.lit("Nation-1s")).alias("score")).where("score is not null")
 
 
 @query("w_infer_margin", """with r as (select o_custkey, o_orderkey, o_totalprice / max(o_totalprice) over (partition by o_custkey) - 0.1 * (o_orderkey % 2) score from orders),
@@ -104,9 +104,9 @@ def g_shape_candidate(spark, sf_dir):
     return counts.where("pubs > 0 and subs > 0").select("sig", (F.col("pubs") * F.col("subs")).alias("pairs"), F.when(F.col("subs") > 100, "refused").otherwise("candidate").alias("verdict"), F.lit(0.3).alias("confidence"))
 
 
-@query("g_selector", "select 'nation' kind, n_nationkey::bigint id from nation where n_name = 'BRAZIL' union all select 'supplier', s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_name = 'BRAZIL'")
+@query("g_selector", "select 'nation' kind, n_nationkey::bigint id from nation where n_name = 'NATION_7' union all select 'supplier', s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_name = 'NATION_7'")
 def g_selector(spark, sf_dir):
     n, s = t(spark, sf_dir, "nation", "supplier")
-    found = n.where("n_name = 'BRAZIL'")
+    found = n.where("n_name = 'NATION_7'")
     a = found.select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("id"))
     return a.union(s.join(found, s.s_nationkey == found.n_nationkey).select(F.lit("supplier"), "s_suppkey"))

@@ -27,9 +27,9 @@ def f_tenant(spark, sf_dir):
     return log_rows(spark, sf_dir).where("tenant = 'tenant-3' and stream = 'ERR'").select("id")
 
 
-@query("f_apps_in", LOG + "select app, count(*) n from log where app in (select 'app-' || n_regionkey from nation where n_name like 'A%') group by 1")
+@query("f_apps_in", LOG + "select app, count(*) n from log where app in (select 'app-' || n_regionkey from nation where n_name like '%2') group by 1")
 def f_apps_in(spark, sf_dir):
-    apps = t(spark, sf_dir, "nation").where("n_name like 'A%'").select(F.concat(F.lit("app-"), "n_regionkey").alias("app")).distinct()
+    apps = t(spark, sf_dir, "nation").where("n_name like '%2'").select(F.concat(F.lit("app-"), "n_regionkey").alias("app")).distinct()
     return log_rows(spark, sf_dir).join(F.broadcast(apps), "app", "left_semi").groupBy("app").agg(F.count("*").alias("n"))
 
 
@@ -270,8 +270,8 @@ def gq_json(spark, sf_dir):
         F.count_if(p.isNull()).alias("missing"), F.count_if(p.isNotNull() & v.isNull()).alias("invalid"), F.count_if(v.isNotNull() & ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))).alias("not_object"))
 
 
-@query("gq_no_impl", "select s_nationkey, count(*) calls, array_to_string(list_sort(list(s_suppkey))[1:3], ',') examples from supplier where not exists (select 1 from customer where c_nationkey = s_nationkey and c_acctbal > 9000) group by 1")
+@query("gq_no_impl", "select s_nationkey, count(*) calls, array_to_string(list_sort(list(s_suppkey))[1:3], ',') examples from supplier where not exists (select 1 from customer where c_nationkey = s_nationkey and c_mktsegment = 'BUILDING' and c_acctbal > 9000) group by 1")
 def gq_no_impl(spark, sf_dir):
     s, c = t(spark, sf_dir, "supplier", "customer")
-    rows = s.join(c.where("c_acctbal > 9000"), s.s_nationkey == c.c_nationkey, "left_anti")
+    rows = s.join(c.where("c_mktsegment = 'BUILDING' and c_acctbal > 9000"), s.s_nationkey == c.c_nationkey, "left_anti")
     return first_few(rows, "s_nationkey", "s_suppkey", 3, "calls", "examples")

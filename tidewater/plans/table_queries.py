@@ -97,16 +97,16 @@ def j_semi(spark, sf_dir):
     return c.join(o.where("o_orderpriority = '1-URGENT'"), c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("j_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("j_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority like '1%')")
 def j_anti(spark, sf_dir):
     c, o = t(spark, sf_dir, "customer", "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return c.join(o.where("o_orderpriority like '1%'"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
-@query("j_anti_left_null", "select n_name from nation left join supplier on n_nationkey = s_nationkey where s_suppkey is null")
+@query("j_anti_left_null", "select n_name from nation left join supplier on n_nationkey = s_nationkey and s_acctbal > 9000 where s_suppkey is null")
 def j_anti_left_null(spark, sf_dir):
     n, s = t(spark, sf_dir, "nation", "supplier")
-    return n.join(s, n.n_nationkey == s.s_nationkey, "left_anti").select("n_name")
+    return n.join(s.where("s_acctbal > 9000"), n.n_nationkey == s.s_nationkey, "left_anti").select("n_name")
 
 
 @query("j_self_siblings", "select n_name, (select count(*) from nation m where m.n_regionkey = n.n_regionkey and m.n_nationkey <> n.n_nationkey) siblings from nation n")
@@ -303,9 +303,9 @@ def fn_levenshtein(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", F.levenshtein("n_name", F.lit("GERMANY")).cast("long").alias("d"))
 
 
-@query("fn_fuzzy_score", "with s as (select n_name, case when lower(n_name) = 'iran' then -2000 when contains(lower(n_name), 'iran') then -1001 + instr(lower(n_name), 'iran') else levenshtein(lower(n_name), 'iran') end score from nation) select n_name, score::bigint score from s where score <= 2")
+@query("fn_fuzzy_score", "with s as (select n_name, case when lower(n_name) = 'nation_1' then -2000 when contains(lower(n_name), 'nation_1') then -1001 + instr(lower(n_name), 'nation_1') else levenshtein(lower(n_name), 'nation_1') end score from nation) select n_name, score::bigint score from s where score <= 3")
 def fn_fuzzy_score(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_name", text.fuzzy_score(F.col("n_name"), F.lit("iran")).cast("long").alias("score")).where("score is not null")
+    return t(spark, sf_dir, "nation").select("n_name", text.fuzzy_score(F.col("n_name"), F.lit("nation_1")).cast("long").alias("score")).where("score is not null")
 
 
 @query("fn_month_key", "select o_orderkey, strftime(o_orderdate, '%Y%m') as month, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
