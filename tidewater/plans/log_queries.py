@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.operators import logs
+from tidewater.operators import logs, traces
 from tidewater.plans.registry import query
 from tidewater.session import Scratch, table
 
@@ -339,14 +339,19 @@ def u_merge_apps(spark, sf_dir):
     return part("a", "app-1").unionByName(part("b", "app-2"))
 
 
-@query("a_url_summary", """with u as (select page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) path, case when page_id % 3 = 0 then 'GET' when page_id % 3 = 1 then 'POST' else 'PUT' end as method, cast(200 + 100 * (page_id % 4) as int) status from pages)
-select path, count(*) total, string_agg(distinct method, ',' order by method) methods, count(*) filter (status between 200 and 299) n_2xx, count(*) filter (status between 500 and 599) n_5xx, arg_max(status, page_id) last_status from u group by path""")
+@query("a_url_summary", r"""with u as (select page_id pos, page_id // 3 as moment, case page_id % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method, (case page_id % 6 when 0 then 200 when 1 then 302 when 2 then 404 when 3 then 503 when 4 then 99 end)::int status, page_id / 2.0::double duration_ms,
+  coalesce(url, '') url, regexp_extract(trim(coalesce(url, '')), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^#]*)', 1) rest from pages),
+s as (select *, case when trim(url) = '' then url when starts_with(rest, '/') then rest else '/' || rest end shown_url from u)
+select shown_url, string_agg(distinct method, ',' order by method) methods, count(*) total, count(*) filter (status between 200 and 299) n_2xx, count(*) filter (status between 300 and 399) n_3xx, count(*) filter (status between 400 and 499) n_4xx,
+  count(*) filter (status between 500 and 599) n_5xx, count(*) filter (status is null or status not between 200 and 599) n_unknown, arg_max_null(status, pos) last_status, arg_max(duration_ms, pos) last_duration_ms, max(moment) last_at from s group by 1""")
 def a_url_summary(spark, sf_dir):
     i = F.col("page_id")
-    rows = table(spark, sf_dir, "pages").select(i, F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1).alias("path"), F.when(i % 3 == 0, "GET").when(i % 3 == 1, "POST").otherwise("PUT").alias("method"), (200 + 100 * (i % 4)).cast("int").alias("status"))
-    return rows.groupBy("path").agg(
-        F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"), F.count_if(F.col("status").between(200, 299)).alias("n_2xx"),
-        F.count_if(F.col("status").between(500, 599)).alias("n_5xx"), F.max_by("status", "page_id").alias("last_status"))
+    status = F.when(i % 6 == 0, 200).when(i % 6 == 1, 302).when(i % 6 == 2, 404).when(i % 6 == 3, 503).when(i % 6 == 4, 99)
+    events = table(spark, sf_dir, "pages").select(
+        traces.shown_url(F.lit(None).cast("string"), F.col("url"), F.lit("")).alias("shown_url"), F.when(i % 3 == 0, "GET").when(i % 3 == 1, "POST").otherwise("PUT").alias("method"),
+        status.alias("status"), (i / 2).alias("duration_ms"), F.floor(i / 3).alias("at"), i.alias("pos"),
+    )
+    return traces.url_summaries(events)
 
 
 @query("url_normalize", "select page_id, regexp_replace(url, '^[^:]+://[^/?#]*([^#]*).*$', '\\1') target from pages")
