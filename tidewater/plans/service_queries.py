@@ -119,20 +119,6 @@ def j_signature(spark, sf_dir):
     return s.groupBy("b", "sig").agg(F.count("*").alias("n")).groupBy("b").agg(F.sum((n * (n - 1) / 2).cast("long")).alias("pairs")).where("pairs > 0")
 
 
-@query("j_suffix", "select n_nationkey, s_suppkey from nation join supplier on ends_with('x.' || s_name, '.' || s_name) and n_nationkey = s_nationkey")
-def j_suffix(spark, sf_dir):
-    n, s = t(spark, sf_dir, "nation", "supplier")
-    named = s.withColumn("full", F.concat(F.lit("x."), "s_name")).where(F.endswith("full", F.concat(F.lit("."), "s_name")))
-    return n.join(named, n.n_nationkey == named.s_nationkey).select("n_nationkey", "s_suppkey")
-
-
-@query("j_fallback_unique", "select c_custkey, case when n is null then 'missing' when n = 1 then 'unique' else 'ambiguous' end verdict from customer left join (select s_nationkey, count(*) n from supplier where s_acctbal > 0 group by 1) on c_nationkey = s_nationkey")
-def j_fallback_unique(spark, sf_dir):
-    c, s = t(spark, sf_dir, "customer", "supplier")
-    counts = s.where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"))
-    return c.join(counts, "c_nationkey", "left").select("c_custkey", F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("verdict"))
-
-
 @query("j_event_artifact", "select coalesce(a.o_orderkey, b.l_orderkey) k, case when a.o_orderkey is null then 'no event' when b.l_orderkey is null then 'no artifact' else 'both' end status from (select o_orderkey from orders where o_orderkey % 3 <> 0) a full join (select distinct l_orderkey from lineitem where l_orderkey % 5 <> 0) b on a.o_orderkey = b.l_orderkey")
 def j_event_artifact(spark, sf_dir):
     o, l = t(spark, sf_dir, "orders", "lineitem")
@@ -243,13 +229,6 @@ def g_invalidate(spark, sf_dir):
     return l.join(changed, "l_partkey", "left_semi").select("l_orderkey").distinct()
 
 
-@query("g_incoming_refs", "select r_name as target, n_name as source, 'association' kind from nation join region on n_regionkey = r_regionkey union all select n_name, s_name, 'source' from supplier join nation on s_nationkey = n_nationkey")
-def g_incoming_refs(spark, sf_dir):
-    n, r, s = t(spark, sf_dir, "nation", "region", "supplier")
-    a = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("target"), F.col("n_name").alias("source"), F.lit("association").alias("kind"))
-    return a.union(s.join(n, s.s_nationkey == n.n_nationkey).select("n_name", "s_name", F.lit("source")))
-
-
 @query("g_hint", "select c_custkey, case when n is null then 'automatic' when n = 1 then 'hinted' else 'tied' end verdict from customer left join (select o_custkey, count(*) n from orders where o_orderpriority = '1-URGENT' group by 1) on c_custkey = o_custkey")
 def g_hint(spark, sf_dir):
     c, o = t(spark, sf_dir, "customer", "orders")

@@ -284,13 +284,6 @@ def u_reconcile(spark, sf_dir):
     return a.join(b, "k", "full").select("k", act.alias("act"))
 
 
-@query("u_inherit", "select k, v from (select n_nationkey k, 'own' v from nation where n_nationkey % 2 = 0 union all select n_nationkey, 'base' from nation where n_nationkey % 2 <> 0)")
-def u_inherit(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    own = n.where("k % 2 = 0").withColumn("v", F.lit("own"))
-    return own.union(n.join(own, "k", "left_anti").withColumn("v", F.lit("base")))
-
-
 @query("u_pending", "select s_nationkey, array_to_string(list_sort(list(s_suppkey) filter (s_acctbal >= 0)), ',') pending from supplier group by 1")
 def u_pending(spark, sf_dir):
     done = F.coalesce(F.collect_list(F.when(F.col("s_acctbal") < 0, F.col("s_suppkey"))), F.array())
