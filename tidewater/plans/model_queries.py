@@ -1,15 +1,15 @@
-"""Queries over models of services: shortened names, references to entities, extended services.
+"""Queries over models of services: shortened names, references to entities, extended services, compact graphs.
 
-Parts stand in for definitions, line items for references, customers for services.
+Parts stand in for definitions, line items for references and observations, customers for services.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import extensions, names
+from tidewater.operators import compact, extensions, names
 from tidewater.plans.registry import query
-from tidewater.session import table
+from tidewater.session import Scratch, table
 
 
 def _text(*parts):
@@ -122,3 +122,60 @@ def u_inherit(spark, sf_dir):
     every = services.select(k, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
     stored = of(each.where("is_extend"), k * 10 + 5 + j, k - 4, F.when(F.col("repo_id") % 3 == 0, 9).otherwise(j), "inherited", (k - 4) * 10 + j)
     return extensions.inherited(extensions.bases(services), of(every, k * 10 + j, k, j, "direct", F.lit(None).cast("long")).unionByName(stored))
+
+
+GRAPH = """with o as (select l_orderkey * 8 + l_linenumber ordinal, l_linenumber % 3 step, case when l_partkey % 2 = 0 then 'calls' else 'emits' end as type, case l_linenumber when 1 then 'dynamic' when 2 then null else 'resolved' end status,
+  case when l_linenumber % 2 = 0 then 0.5::double else 0 end confidence, 'd' || l_linenumber % 2 decision,
+  'n' || l_suppkey % 90 sk, 'svc' sp, 'S' || l_linenumber % 3 sl, case when l_suppkey % 5 > 0 then 'repo-' || l_suppkey % 7 end sr, 'a/f' || l_suppkey % 9 sf, case when l_linenumber % 4 > 0 then l_linenumber end sn,
+  'n' || l_partkey % 60 tk, 'part' tp, 'P' || l_linenumber % 2 tl, 'repo-' || l_partkey % 11 tr, null::varchar tf, l_linenumber tn,
+  case when l_orderkey % 3 > 0 then 'x' || l_partkey % 4 end xf, l_orderkey % 50 xs, l_partkey, l_suppkey from lineitem),
+v as (select sk as key, sp kind, sl as label, sr repo, sf file, sn as line from o union all select tk, tp, tl, tr, tf, tn from o),
+b as (select distinct *, '["' || kind || '","' || label || '",' || coalesce('"' || repo || '"', 'null') || ',' || coalesce('"' || file || '"', 'null') || ',' || coalesce(line::varchar, 'null') body from v),
+w as (select * from b qualify row_number() over (partition by key order by body) = 1),
+n as (select row_number() over (order by key) - 1 n, * from w),
+rd as (select repo, row_number() over (order by repo) - 1 n from (select distinct repo from n where repo is not null)),
+fd as (select file, row_number() over (order by file) - 1 n from (select distinct file from n where file is not null)),
+g as (select step, type, sk, tk, status, confidence, decision, count(*) count, min(ordinal) first_ordinal, min((coalesce(xf, ''), xs)) site from o group by all),
+e as (select row_number() over (order by step, a.n, b.n, type, status nulls first, site, first_ordinal) - 1 n, g.*, a.n f, b.n t from g join n a on sk = a.key join n b on tk = b.key)
+"""
+
+
+def _observations(spark, sf_dir):
+    k, j, p, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    none = F.lit(None).cast("string")
+    source = F.struct(_text("n", s % 90).alias("key"), F.lit("svc").alias("kind"), _text("S", j % 3).alias("label"), F.when(s % 5 > 0, _text("repo-", s % 7)).alias("repo"), _text("a/f", s % 9).alias("file"), F.when(j % 4 > 0, j).cast("int").alias("line"))
+    target = F.struct(_text("n", p % 60).alias("key"), F.lit("part").alias("kind"), _text("P", j % 2).alias("label"), _text("repo-", p % 11).alias("repo"), none.alias("file"), j.cast("int").alias("line"))
+    site = F.struct(none.alias("repo"), F.when(k % 3 > 0, _text("x", p % 4)).alias("file"), (k % 50).alias("start"), (k % 50).alias("end"), F.lit(None).cast("int").alias("line"))
+    ref = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    refs = F.array(ref("operation", p.cast("string")), ref("operation", F.when(j > 2, s.cast("string"))), ref("symbol", _text("s", p % 13)))
+    return table(spark, sf_dir, "lineitem").select(
+        (k * 8 + j).alias("ordinal"), (j % 3).alias("step"), F.when(p % 2 == 0, "calls").otherwise("emits").alias("type"), F.when(j == 1, "dynamic").when(j != 2, "resolved").alias("status"),
+        F.when(j % 2 == 0, F.lit(0.5)).when(j == 1, F.lit(-2.0)).alias("confidence"), _text("d", j % 2).alias("decision"), source.alias("source"), target.alias("target"), site.alias("site"), refs.alias("refs"),
+    )
+
+
+@query("g_compact_nodes", GRAPH + "select key, n.n, kind, label, rd.n repo, fd.n file, line from n left join rd using (repo) left join fd using (file)")
+def g_compact_nodes(spark, sf_dir):
+    return compact.nodes(_observations(spark, sf_dir), Scratch(spark, "compact"))[0]
+
+
+def _edges(spark, sf_dir):
+    observed, scratch = _observations(spark, sf_dir), Scratch(spark, "compact")
+    return observed, compact.edges(observed, compact.nodes(observed, scratch)[0], scratch)
+
+
+@query("g_compact_edges", GRAPH + """select n, step, type, sk source_key, tk target_key, status, confidence, decision, f "from", t "to", count, first_ordinal from e""")
+def g_compact_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)[1]
+
+
+@query("g_compact_refs", GRAPH + """, m as (select e.n edge, o.* from o join e on o.step = e.step and o.type = e.type and o.sk = e.sk and o.tk = e.tk and o.status is not distinct from e.status and o.confidence is not distinct from e.confidence and o.decision = e.decision),
+r as (select edge, 'operation' kind, l_partkey::varchar as value from m union select edge, 'operation', l_suppkey::varchar from m where ordinal % 8 > 2 union select edge, 'symbol', 's' || l_partkey % 13 from m)
+select edge, kind, list(value order by try_cast(value as bigint) nulls last, value)[:5] "values", count(*) total, least(count(*), 5) shown, greatest(count(*) - 5, 0) omitted from r group by 1, 2""")
+def g_compact_refs(spark, sf_dir):
+    return compact.references(compact.members(*_edges(spark, sf_dir)))
+
+
+@query("g_compact_status", GRAPH + "select status, sum(count)::bigint observations, count(*) edges, (sum(count) - count(*))::bigint collapsed from e group by 1")
+def g_compact_status(spark, sf_dir):
+    return compact.statuses(_edges(spark, sf_dir)[1])

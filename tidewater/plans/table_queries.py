@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import text
+from tidewater.operators.numbering import number
 from tidewater.operators.ranking import first_few
 from tidewater.plans.registry import query
-from tidewater.session import table
+from tidewater.session import Scratch, table
 
 PRIORITY = "strftime(o_orderdate, '%Y-%m-%d')"
 
@@ -372,8 +373,8 @@ def bool_norm(spark, sf_dir):
 
 @query("src_worksheet", "select n_nationkey, n_name from (select *, row_number() over (order by n_nationkey) r from nation) where r between 3 and 10")
 def src_worksheet(spark, sf_dir):
-    numbered = t(spark, sf_dir, "nation").withColumn("r", F.row_number().over(Window.orderBy("n_nationkey")))
-    return numbered.where("r between 3 and 10").select("n_nationkey", "n_name")
+    numbered = number(t(spark, sf_dir, "nation"), ["n_nationkey"], Scratch(spark, "worksheet"), "rows")
+    return numbered.where("n between 2 and 9").select("n_nationkey", "n_name")
 
 
 @query("sink_json", "select n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as row_json from nation")
