@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators import paging
 from tidewater.plans.log_queries import LOG, log_rows
 from tidewater.plans.registry import query
-from tidewater.session import table
+from tidewater.session import Scratch, table
 
 
 def t(spark, sf_dir, *names):
@@ -61,11 +62,25 @@ def l_probe(spark, sf_dir):
     return t(spark, sf_dir, "events").where("event_type = 'error'").limit(51).agg((F.count("*") > 50).alias("more"))
 
 
-@query("l_page_budget", LOG + "select app, id from log where id > 40 qualify sum(length(message)) over (partition by app order by id) <= 2000")
+@query("l_page_budget", """with recursive e as (select 'run-' || user_id % 7 run, event_id * 2 seq, event_id % 11 = 0 wide, case when user_id % 7 = 6 then 90 when user_id % 7 = 3 and event_id % 97 = 5 then 3000 else 80 + event_id * 7919 % 60 end compact,
+  case when user_id % 7 = 6 then 0 else event_id % 5 * 20 end more from events),
+p as (select *, row_number() over w - 1 i, count(*) over (partition by run) c, lag(seq) over w last, sum(compact) over w pc, sum(compact + more) over w pp, sum(compact + more + case when wide then 400 else 0 end) over w pf from e window w as (partition by run order by seq)),
+k as (select a.run, a.i, a.c, coalesce(a.last + 1, 0) from_seq, a.c - a.i left_, b.i - a.i + 1 k, b.seq + 1 as following, b.pc - a.pc + a.compact sc, b.pp - a.pp + a.compact + a.more sp, b.pf - a.pf + a.compact + a.more + case when a.wide then 400 else 0 end sf
+  from p a join p b on a.run = b.run and b.i between a.i and a.i + 19
+  union all select run, i, c, coalesce(last + 1, 0), c - i, 0, null, 0, 0, 0 from p),
+z as (select *, length('{"runId":"' || run || '","total":' || c || ',"matching":' || left_ || ',"shown":' || k || ',"returned":' || k || ',"from":' || from_seq || ',"hasMore":' || (k < left_) || case when k > 0 and k < left_ then ',"nextSeq":' || following else '' end || ',"events":[]}') + 1 + greatest(k - 1, 0) env, k = least(left_, 20) whole from k),
+f as (select run, i, c, from_seq, left_, k, following, unnest(case when whole then [{'r': 1, 'form': 'full', 'b': sf + env}, {'r': 2, 'form': 'capped', 'b': sp + env}, {'r': 3, 'form': 'compact', 'b': sc + env}] when k > 0 then [{'r': 4, 'form': 'shrunk', 'b': sc + env}] else [{'r': 5, 'form': case when env <= 2400 then 'summary' else 'too_small' end, 'b': env}] end) t from z),
+b as (select * from f where t.b <= 2400 or k = 0 qualify row_number() over (partition by run, i order by t.r, k desc) = 1),
+r as (select b.* from b where i = 0 union all select b.* from r join b on b.run = r.run and b.i = r.i + r.k where r.k > 0)
+select run, from_seq, c total, left_ matching, k shown, t.form form, t.b::bigint bytes, k < left_ has_more, case when k > 0 and k < left_ then following end next_seq from r""")
 def l_page_budget(spark, sf_dir):
-    w = Window.partitionBy("app").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log_rows(spark, sf_dir).where("id > 40").withColumn("used", F.sum(F.length("message")).over(w))
-    return rows.where("used <= 2000").select("app", "id")
+    """All pages of runs of events of 20 events and 2,400 bytes at most."""
+    i, u = F.col("event_id"), F.col("user_id") % 7
+    compact = F.when(u == 6, F.lit(90)).when((u == 3) & (i % 97 == 5), F.lit(3000)).otherwise(i * 7919 % 60 + 80)
+    capped = F.col("compact") + F.when(F.col("u") == 6, 0).otherwise(i % 5 * 20)
+    rows = t(spark, sf_dir, "events").select(i, u.alias("u"), compact.alias("compact")).withColumn("capped", capped)
+    rows = rows.select(F.concat(F.lit("run-"), "u").alias("run"), (i * 2).alias("seq"), (F.col("capped") + F.when(i % 11 == 0, 400).otherwise(0)).alias("full"), "capped", "compact")
+    return paging.pages(rows, Scratch(spark, "paging"), limit=20, budget=2400)
 
 
 @query("fn_offset_fix", LOG + "select id, '10:00+0' || (id % 10) || ':30' fixed from log")
