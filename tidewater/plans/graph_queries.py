@@ -29,8 +29,8 @@ def g_nodes_close(spark, sf_dir):
     return graph.close_nodes(nodes, edges(spark, sf_dir))
 
 
-@query("g_event_env", "select user_id, case when count(distinct props) = 1 then 'resolved' else 'ambiguous' end status from events where event_type = 'signup' group by 1")
-def g_event_env(spark, sf_dir):
+@query("g_event_env_values", "select user_id, case when count(distinct props) = 1 then 'resolved' else 'ambiguous' end status from events where event_type = 'signup' group by 1")
+def g_event_env_values(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id")
     return rows.agg(F.when(F.count_distinct("props") == 1, "resolved").otherwise("ambiguous").alias("status"))
 

@@ -101,9 +101,9 @@ def g_expand(spark, sf_dir):
     return found.select("r_name", "n_name", "s_name", F.when(F.col("s_name").isNull(), "missing").otherwise("ok").alias("label"))
 
 
-@query("g_sub_handler", """select c_custkey, case when c_custkey % 7 = 0 then 'no handler name' when n is null then 'no symbol' when n > 1 then 'several symbols' else 'resolved' end verdict
+@query("g_sub_handler_names", """select c_custkey, case when c_custkey % 7 = 0 then 'no handler name' when n is null then 'no symbol' when n > 1 then 'several symbols' else 'resolved' end verdict
 from customer left join (select s_nationkey, count(*) n from supplier group by 1) on s_nationkey = c_nationkey""")
-def g_sub_handler(spark, sf_dir):
+def g_sub_handler_names(spark, sf_dir):
     c, s = t(spark, sf_dir, "customer", "supplier")
     symbols = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"))
     n = F.col("n")
