@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tidewater.plans import event_queries, graph_queries, link_queries, log_queries, model_queries, rank_queries, service_queries, table_queries, timeline_queries, value_queries  # noqa: E402, F401
+from tidewater.plans import check_queries, event_queries, graph_queries, link_queries, log_queries, model_queries, rank_queries, service_queries, table_queries, timeline_queries, value_queries  # noqa: E402, F401
 
 #: Earlier names of whole queries.
 for _new, _old in {

@@ -236,14 +236,14 @@ def g_hint(spark, sf_dir):
     return c.join(hints, "c_custkey", "left").select("c_custkey", F.when(F.col("n").isNull(), "automatic").when(F.col("n") == 1, "hinted").otherwise("tied").alias("verdict"))
 
 
-@query("gq_local_calls", "select count(*) filter (event_type = 'view') resolved, count(*) filter (event_type = 'click' and user_id % 2 = 0) unowned, count(*) filter (event_type = 'error') unresolved from events")
-def gq_local_calls(spark, sf_dir):
+@query("gq_local_calls_types", "select count(*) filter (event_type = 'view') resolved, count(*) filter (event_type = 'click' and user_id % 2 = 0) unowned, count(*) filter (event_type = 'error') unresolved from events")
+def gq_local_calls_types(spark, sf_dir):
     kind = F.col("event_type")
     return t(spark, sf_dir, "events").agg(F.count_if(kind == "view").alias("resolved"), F.count_if((kind == "click") & (F.col("user_id") % 2 == 0)).alias("unowned"), F.count_if(kind == "error").alias("unresolved"))
 
 
-@query("gq_json", "select event_type, count(*) filter (props is null) missing, count(*) filter (not json_valid(props)) invalid, count(*) filter (json_type(props) <> 'OBJECT') not_object from events group by 1")
-def gq_json(spark, sf_dir):
+@query("gq_json_types", "select event_type, count(*) filter (props is null) missing, count(*) filter (not json_valid(props)) invalid, count(*) filter (json_type(props) <> 'OBJECT') not_object from events group by 1")
+def gq_json_types(spark, sf_dir):
     p, v = F.col("props"), F.try_parse_json("props")
     return t(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count_if(p.isNull()).alias("missing"), F.count_if(p.isNotNull() & v.isNull()).alias("invalid"), F.count_if(v.isNotNull() & ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))).alias("not_object"))
