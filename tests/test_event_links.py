@@ -69,7 +69,7 @@ def test_handlers(spark):
 def test_handled(spark):
     known = _known(spark)
     told = spark.createDataFrame([(i, "resolved", "symbol", "7", None, "call") for i in (1, 3, 9, 10, 13, 14)], "id long, status string, to_kind string, to_id string, reason string, call_reason string")
-    got = {r["id"]: (r["from_kind"], r["status"], r["association"], r["reason"]) for r in ev.handled(ev.edges(_calls(spark), known), known, told).collect()}
+    got = {r["id"]: (r["from_kind"], r["status"], r["association"], r["reason"]) for r in ev.handled(ev.edges(_calls(spark), known), told).collect()}
     assert got == {
         1: ("event", "resolved", "resolved", "call"), 3: ("event_candidate", "unresolved", "resolved", "event_environment_declarations_incomplete"), 9: ("event_candidate", "unresolved", "resolved", "event_name_call"),
         10: ("event_candidate", "unresolved", "resolved", "event_receiver_unproven_binding"), 13: ("event_candidate", "unresolved", "resolved", "r"), 14: ("event", "ambiguous", "resolved", "event_environment_declaration_ambiguous")}

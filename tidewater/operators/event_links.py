@@ -66,7 +66,7 @@ def environments(calls: DataFrame, bindings: DataFrame, declarations: DataFrame,
 
 
 def edges(calls: DataFrame, environments: DataFrame) -> DataFrame:
-    """An edge for each emit and subscription: (id, edge_type, status, target_kind, target, is_dynamic, certainty, reason, name_reason, template, missing, placeholders).
+    """An edge for each emit and subscription: (id, edge_type, status, target_kind, target, is_dynamic, certainty, reason, name_reason, environment, env_reason, template, missing, placeholders).
 
     calls(id, emits, template, parse_reason, receiver, receiver_reason) and their environments. A
     name with placeholders left, or one that was not understood and has none, is a candidate. So
@@ -89,7 +89,7 @@ def edges(calls: DataFrame, environments: DataFrame) -> DataFrame:
         "id", F.when(dynamic, "DYNAMIC_EDGE_CANDIDATE").when(F.col("emits"), "HANDLER_EMITS_EVENT").otherwise("EVENT_CONSUMED_BY_HANDLER").alias("edge_type"),
         F.when(dynamic, "dynamic").otherwise("terminal").alias("status"), F.when(dynamic, "event_candidate").otherwise("event").alias("target_kind"),
         F.when(dynamic, F.concat(F.lit("Event: "), F.col("effective"))).otherwise(F.col("effective")).alias("target"), dynamic.alias("is_dynamic"), certainty.alias("certainty"),
-        F.coalesce("env_reason", why, "unproven").alias("reason"), F.coalesce(why, "unproven").alias("name_reason"), "template", "missing", "placeholders")
+        F.coalesce("env_reason", why, "unproven").alias("reason"), F.coalesce(why, "unproven").alias("name_reason"), "environment", "env_reason", "template", "missing", "placeholders")
 
 
 def _agreed(low: str, high: str) -> Column:
@@ -136,13 +136,13 @@ def handlers(subscriptions: DataFrame, sites: DataFrame) -> DataFrame:
         F.when(many | (single & ~broken), _agreed("o1", "o2")).alias("origin"), F.when(many | (single & ~broken), _agreed("s1", "s2")).alias("call_status"), F.when(single & ~broken, F.col("one.reason")).alias("call_reason"))
 
 
-def handled(edges: DataFrame, environments: DataFrame, handlers: DataFrame) -> DataFrame:
+def handled(edges: DataFrame, handlers: DataFrame) -> DataFrame:
     """An edge from an event to what handles it, for each subscription: (id, from_kind, event, status, to_kind, to_id, association, reason, template, placeholders, is_dynamic).
 
     A name that is a candidate is unresolved whatever its handler is; an ambiguous environment
     makes the edge ambiguous.
     """
-    rows = edges.select("id", "target_kind", "target", "is_dynamic", "template", "missing", "placeholders", "name_reason").join(environments.select("id", "environment", F.col("reason").alias("env_reason")), "id")
+    rows = edges.select("id", "target_kind", "target", "is_dynamic", "environment", "env_reason", "template", "missing", "placeholders", "name_reason")
     rows = rows.join(handlers.select("id", "to_kind", "to_id", "call_reason", F.col("status").alias("association"), F.col("reason").alias("handler_reason")), "id")
     dynamic, unclear = F.col("is_dynamic"), F.col("environment") == "ambiguous"
     named = F.when((F.col("environment") == "unresolved") & F.col("env_reason").isNotNull(), F.col("env_reason")).when(F.size("missing") > 0, "event_template_variables_missing")

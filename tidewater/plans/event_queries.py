@@ -68,13 +68,12 @@ def g_event_env(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     facts = _facts(spark, sf_dir)
-    known = event_links.environments(*facts)
-    return facts[0], known, event_links.edges(facts[0], known)
+    return facts[0], event_links.edges(facts[0], event_links.environments(*facts))
 
 
 @query("g_event_edge", EDGES + "select id, edge_type, status, target_kind, target, is_dynamic, certainty, reason from edge")
 def g_event_edge(spark, sf_dir):
-    return _edges(spark, sf_dir)[2].drop("name_reason", "template", "missing", "placeholders")
+    return _edges(spark, sf_dir)[1].select("id", "edge_type", "status", "target_kind", "target", "is_dynamic", "certainty", "reason")
 
 
 HANDLERS = """sub as (select o_orderkey id, o_orderkey % 3 workspace, o_orderkey % 40 repo, o_orderkey % 7 file, case when o_custkey % 21 <> 1 then o_orderkey end a, case when o_custkey % 23 = 1 then o_orderkey else o_orderkey + 3 end b, o_orderkey % 1000 line,
@@ -118,8 +117,8 @@ def j_role_site(spark, sf_dir):
 
 
 def _handled(spark, sf_dir):
-    calls, known, edges = _edges(spark, sf_dir)
-    found = event_links.handled(edges, known, _handlers(spark, sf_dir))
+    calls, edges = _edges(spark, sf_dir)
+    found = event_links.handled(edges, _handlers(spark, sf_dir))
     return calls, edges, found.join(calls.select("id", "workspace", "sources", "canonicals", "cust"), "id").withColumn("edge", F.col("id"))
 
 
@@ -176,7 +175,7 @@ def gq_sub_unmatched(spark, sf_dir):
 @query("gq_event_dynamic", EDGES + """select workspace, count(distinct target) filter (target_kind = 'event_candidate') candidates, count(*) total, count(*) filter (holes) recoverable, count(*) filter (not holes) others from edge
 where target_kind = 'event_candidate' or edge_type = 'DYNAMIC_EDGE_CANDIDATE' group by 1""")
 def gq_event_dynamic(spark, sf_dir):
-    calls, _, edges = _edges(spark, sf_dir)
+    calls, edges = _edges(spark, sf_dir)
     rows = edges.where("target_kind = 'event_candidate' or edge_type = 'DYNAMIC_EDGE_CANDIDATE'").join(calls.select("id", "workspace"), "id")
     holes = F.size("placeholders") > 0
     return rows.groupBy("workspace").agg(
@@ -187,7 +186,7 @@ def gq_event_dynamic(spark, sf_dir):
 count(*) filter (emits and certainty = 'receiver_unproven') emits_unproven, count(*) filter (emits and certainty = 'environment_declaration_exact') emits_declared,
 count(*) filter (emits and certainty = 'runtime_variables_required') emits_open, count(*) filter (emits and certainty = 'static_name_only') emits_static from edge group by 1""")
 def gq_receiver(spark, sf_dir):
-    calls, _, edges = _edges(spark, sf_dir)
+    calls, edges = _edges(spark, sf_dir)
     rows = calls.select("id", "workspace", "receiver", "emits").join(edges.select("id", "certainty"), "id")
     of, sure = F.col("receiver"), lambda c: F.count_if(F.col("emits") & (F.col("certainty") == c))
     return rows.groupBy("workspace").agg(
