@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,13 @@ def test_whole_cells_and_messages(spark, tables):
     texts = [" a \n b ", "z" * 500, "z" * 501]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(logs.compacted(F.col("t")))
     assert [r[0] for r in rows.collect()] == ["a b", "z" * 500, "z" * 497 + "..."]
+
+
+def test_orders_of_any_priority_count(spark, tables):
+    tables("customer", [(k,) for k in (1, 2, 3, 4, None)], "c_custkey long")
+    sf = tables("orders", [(1, "1-URGENT"), (2, "5-LOW"), (2, "3-MEDIUM"), (3, None), (None, "1-URGENT")], "o_custkey long, o_orderpriority string")
+    got = sorted(repr(tuple(r)) for r in registry.QUERIES["j_anti"](spark, sf).collect())
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"create view {name} as select * from read_parquet('{sf}/{name}.parquet/*.parquet')")
+    assert got == ["(4,)", "(None,)"] == sorted(map(repr, con.sql(registry.ORACLES["j_anti"]).fetchall()))
