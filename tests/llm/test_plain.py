@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidewater.llm import bytestext, decontaminate, license_scan, near_duplicates, quality, rans, sharding, toxicity
+from tidewater.llm import bytestext, decontaminate, license_scan, near_duplicates, quality, rans, sharding, token_files, toxicity
 from tidewater.llm.bpe import TrieEncoder
 from tidewater.llm.chunked import ChunkCache
 from tidewater.llm.vocabulary import VOCABULARY
@@ -129,3 +129,32 @@ def test_anchors_lose_no_line():
     templates = [("A", "alpha the licence", ()), ("B", "the beta", ())]
     idf = {"alpha": 3.0, "the": 1.0, "licence": 2.0, "beta": 2.5}
     assert license_scan.anchors(templates, idf, 0.7) >= {"alpha", "beta"}
+
+
+def test_token_ids_of_plain_and_other_chunks_equal_the_library():
+    plain = Tokenizer.from_file(VOCABULARY)
+    draw = random.Random(8)
+    letters = "abzßöøÿ÷×éÉÀ.,!?'<|>_-*$ \t\n0٣̧́Σσςıİﬁ\x01"
+    texts = ["", None, "ab <|endoftext|> cd.", "it's, don't 'S x'll", "é.,, ß** a÷ µ º", *("".join(draw.choices(letters, k=draw.randint(1, 40))) for _ in range(2000))]
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert token_files._library(VOCABULARY, "<u2").encode(texts) == want
+
+
+def test_a_chunk_is_looked_up_once_however_often_it_occurs():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    cache = ChunkCache(lambda chunks: ([len(c) for c in chunks], [1] * len(chunks)))
+    cache.known = Counted(cache.known)
+    texts = ["bb a ccc\n" * 100, "A\tbb"] * 20
+    want = [np.array([n for _ in range(100) for n in (2, 1, 3)], dtype="<u4").tobytes(), np.array([1, 2], dtype="<u4").tobytes()] * 20
+    assert cache.encode(texts) == want
+    assert cache.encode(texts) == want and Counted.asked <= 16

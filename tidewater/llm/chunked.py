@@ -12,6 +12,8 @@ import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def folded(text: str) -> str:
@@ -25,9 +27,14 @@ def folded(text: str) -> str:
     return low if same else text
 
 
-def chunks_of(text: str) -> list[str]:
-    text = folded(text)
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def spaced(text: str) -> str:
+    return folded(text).replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+
+def _strings(chunks: pa.Array) -> list[str]:
+    """Strings without blanks as a list; one string that is split comes much faster than one after another."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+    return pc.binary_join(whole, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(chunks) else []
 
 
 class ChunkCache:
@@ -38,20 +45,25 @@ class ChunkCache:
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [chunks_of(t or "") for t in texts]
-        new = set().union(*cut).difference(self.known)
+        """Arrow cuts the texts and tells chunks apart, so that each distinct one is looked up once."""
+        cut = pc.split_pattern(pa.array([spaced(t or "") for t in texts], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        ids = list(map(self.known.get, distinct))
+        new = [c for c, i in zip(distinct, ids) if i is None]
         if new:
             if len(self.known) + len(new) > self.most:
                 self.known = {"": b""}
-                new = set().union(*cut)
-                new.discard("")
+                new = [c for c in distinct if c]
             listed = sorted(new)
             flat, sizes = self.encode_new(listed)
             raw = np.asarray(flat, dtype=self.dtype).tobytes()
             ends = np.cumsum(np.asarray(sizes, dtype=np.int64) * np.dtype(self.dtype).itemsize).tolist()
             self.known.update(zip(listed, (raw[a:b] for a, b in zip([0, *ends], ends))))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            ids = [self.known[c] if i is None else i for c, i in zip(distinct, ids)]
+        each = list(map(ids.__getitem__, coded.indices.to_numpy().tolist()))
+        ends = cut.offsets.to_numpy().tolist()
+        return [b"".join(each[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def portions(texts: list[str | None], most: int = 1 << 20) -> Iterable[tuple[int, int]]:

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ _caches: dict[tuple[str, str], ChunkCache] = {}
 
 BLOCK_IDS = 1 << 18
 GROUP = 10_000
+PLAIN = re.compile(r"""[a-zß-öø-ÿ]+[!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*""")  # neither apostrophes (endings) nor < (special tokens)
 STAGED = ["part", "at", "doc_id", "ids", "counts"]
 BLOCK = "part int, base long, doc_ids array<long>, lengths array<int>, body binary"
 
@@ -50,22 +52,44 @@ def _library(path: str, dtype: str) -> ChunkCache:
         marked = tokenizer.encode(f"a {mark} a", add_special_tokens=False).ids
         alone = len(marked) == 3 and marked[0] == marked[2] != marked[1]
 
+        closes = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
+        tried = tokenizer.encode_batch_fast(["a", "b.", "é.,", "ab!? ß*"], add_special_tokens=False)
+        pieces = [int(closes[e.ids].sum()) for e in tried]
+        plain = PLAIN if pieces == [1, 2, 2, 4] else re.compile("(?!)")  # letters and a run of marks are a piece each, and its last id closes it
+
+        def encode_plain(group: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+            """Words of letters, with marks at their ends or none, as one text; each ends where its pieces' last id closes one."""
+            (found,) = tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=np.int64)
+            ends = np.flatnonzero(closes[ids]) + 1
+            last = np.cumsum([1 + (not c.isalpha()) for c in group]) - 1
+            return (ids, np.diff(ends[last], prepend=0)) if len(ends) == last[-1] + 1 else None
+
+        def encode_marked(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Any chunks as one text, with a mark between them that no other chunk has."""
+            if not alone or any(mark in c for c in group):
+                found = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                return np.array([i for f in found for i in f], dtype=np.int64), np.array([len(f) for f in found])
+            (found,) = tokenizer.encode_batch_fast([f" {mark} ".join(group)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=np.int64)
+            cuts = np.flatnonzero(ids == marked[1])
+            return np.delete(ids, cuts), np.diff(np.r_[-1, cuts, len(ids)]) - 1
+
         def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Many chunks as one text, with a mark between them that no other chunk has."""
+            is_plain = np.array([plain.fullmatch(c) is not None for c in chunks])
+            order = np.argsort(~is_plain, kind="stable")
             flat, sizes = [], []
-            for a in range(0, len(chunks), GROUP):
-                group = chunks[a : a + GROUP]
-                if not alone or any(mark in c for c in group):
-                    found = [e.ids for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
-                    flat += [np.array(f, dtype=np.int64) for f in found]
-                    sizes += [len(f) for f in found]
-                else:
-                    (found,) = tokenizer.encode_batch_fast([f" {mark} ".join(group)], add_special_tokens=False)
-                    ids = np.array(found.ids, dtype=np.int64)
-                    cuts = np.flatnonzero(ids == marked[1])
-                    flat.append(np.delete(ids, cuts))
-                    sizes += (np.diff(np.r_[-1, cuts, len(ids)]) - 1).tolist()
-            return np.concatenate(flat), np.array(sizes)
+            for places, encode in ((order[: is_plain.sum()], encode_plain), (order[is_plain.sum() :], encode_marked)):
+                for a in range(0, len(places), GROUP):
+                    group = [chunks[i] for i in places[a : a + GROUP].tolist()]
+                    ids, size = encode(group) or encode_marked(group)
+                    flat.append(ids)
+                    sizes.append(size)
+            size = np.concatenate(sizes)
+            begin, back = np.cumsum(size) - size, np.argsort(order)
+            begin, size = begin[back], size[back]  # as the chunks were given
+            at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            return np.concatenate(flat)[at], size
 
         _caches[path, dtype] = ChunkCache(encode_new, dtype, most=900_000)
     return _caches[path, dtype]
