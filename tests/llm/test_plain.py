@@ -1,13 +1,16 @@
 """What needs no Spark: coding, hashing, models, tables."""
 
+import gc
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidewater.llm import bytestext, decontaminate, license_scan, near_duplicates, quality, rans, sharding, token_files, toxicity
+from tidewater.llm import bpe, bytestext, decontaminate, license_scan, near_duplicates, quality, rans, sharding, token_files, toxicity
 from tidewater.llm.bpe import TrieEncoder
 from tidewater.llm.chunked import ChunkCache
 from tidewater.llm.vocabulary import VOCABULARY
@@ -158,3 +161,34 @@ def test_a_chunk_is_looked_up_once_however_often_it_occurs():
     want = [np.array([n for _ in range(100) for n in (2, 1, 3)], dtype="<u4").tobytes(), np.array([1, 2], dtype="<u4").tobytes()] * 20
     assert cache.encode(texts) == want
     assert cache.encode(texts) == want and Counted.asked <= 16
+
+
+def test_what_a_task_holds_of_long_batches_is_small():
+    texts = [("der Hase läuft. " * 2000)[: 30_000 + k] for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    rng = np.random.default_rng(1)
+    good = quality.fit(rng.normal(size=(40, quality.WIDTH)), np.arange(0, 41, 2), (np.arange(20) % 2).astype(float), rounds=2)
+    tags = toxicity.Model(np.zeros(1 << toxicity.SPACE_BITS, np.float32), -1.0, np.zeros((2, 2)), np.array([-3.0, 0.1, 2.0]))
+    for keep in (quality.keeper(good), toxicity.keeper(tags)):
+        list(keep(iter([batch.slice(0, 1)])))
+        tracemalloc.start()
+        rows = sum(len(b) for b in keep(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows <= 60 and peak < 30e6
+
+
+def test_words_of_a_task_are_let_go_at_its_end(monkeypatch):
+    made = []
+
+    class Seen(ChunkCache):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(bpe, "ChunkCache", Seen)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["ab cd", None])], names=["doc_id", "text"])
+    for _ in range(2):
+        assert sum(len(b) for b in bpe._encode(VOCABULARY)(iter([batch]))) == 2
+    gc.collect()
+    assert len(made) == 2 and all(m() is None for m in made)

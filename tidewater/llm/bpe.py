@@ -8,6 +8,7 @@ Nothing is shuffled and no task depends on another. What a task keeps of words i
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ from tidewater.llm.word_trie import PIECE, SPACES, WordTrie, token_texts
 from tidewater.session import bounded_batches
 
 _tries: dict[str, WordTrie] = {}
-_caches: dict[str, ChunkCache] = {}
 _texts: dict[str, dict[int, str]] = {}
 ROWS = 256
+WIDTH = array("I").itemsize
 MARKS = frozenset(".,;:!?|")
 
 
@@ -58,9 +59,9 @@ class TrieEncoder:
 
     def __init__(self, trie: WordTrie, most: int = 200_000):
         self.trie, self.most = trie, most
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def __call__(self, chunks: list[str]) -> tuple[list[int], list[int]]:
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, list[int]]:
         cut: list[list[str | int]] = []
         for chunk in chunks:
             if "<|" in chunk and self.trie.special_re:
@@ -77,28 +78,21 @@ class TrieEncoder:
         letters = self.trie.letters
         spelt = {"".join([letters[b] for b in p.encode()]): p for p in new}
         for word, ids in self.trie.encode_words(list(spelt)).items():
-            self.pieces[spelt[word]] = ids
-        flat: list[int] = []
-        sizes: list[int] = []
-        for parts in cut:
-            before = len(flat)
-            for p in parts:
-                flat.extend((p,) if isinstance(p, int) else self.pieces[p])
-            sizes.append(len(flat) - before)
-        return flat, sizes
+            self.pieces[spelt[word]] = array("I", ids).tobytes()
+        raw = [b"".join([array("I", (p,)).tobytes() if isinstance(p, int) else self.pieces[p] for p in parts]) for parts in cut]
+        return np.frombuffer(b"".join(raw), dtype=np.uintc), [len(x) // WIDTH for x in raw]
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _caches:
-            _caches[path] = ChunkCache(TrieEncoder(_trie(path)))
+        cache = ChunkCache(TrieEncoder(_trie(path)))  # a task's own: workers live on and would keep it
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
                 texts = part.column("text").to_pylist()
                 keep = [x for x in part.schema.names if x != "text"]
                 for a, b in portions(texts):
-                    ids = pa.array(_caches[path].encode(texts[a:b]), type=pa.binary())
+                    ids = pa.array(cache.encode(texts[a:b]), type=pa.binary())
                     yield pa.RecordBatch.from_arrays([*(part.column(x).slice(a, b - a) for x in keep), ids], names=[*keep, "ids"])
 
     return run
@@ -107,7 +101,7 @@ def _encode(path: str):
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _texts:
-            _texts[path] = token_texts(path)
+            _texts[path] = _tries[path].text if path in _tries else token_texts(path)
         text = _texts[path]
         for batch in batches:
             for a in range(0, len(batch), ROWS):

@@ -11,7 +11,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def _power(base: int, n: int) -> np.ndarray:
