@@ -126,6 +126,16 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_leaks_of_a_long_document(spark):
+    """Of 12,000 words that are all benchmark: what a row takes grows with its length, not with its square."""
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choice(VOCAB) for _ in range(40))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, " ".join(items[i % 30][1] for i in range(300))), (2, items[3][1] + " end"), (3, "no passage of it at all here")]
+    found = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontaminate.leaks(docs(spark, rows), bench, Scratch(spark, "t")).collect()}
+    assert found == {(1, i): (40 * i, 1.0) for i in range(30)} | {(2, 3): (0, 1.0)}
+
+
 def test_simhash_of_long_items(spark):
     one, other = (1 << 40) + 5, (1 << 41) + (1 << 33)
     frame = spark.sql(f"select concat(array_repeat({one}L, 40000), array_repeat({other}L, 30000)) long, concat(array_repeat({one}L, 4), array_repeat({other}L, 3)) short")

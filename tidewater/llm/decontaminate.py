@@ -38,6 +38,8 @@ SIZE = 5
 BITS = 64
 #: Most numbers, in arrays, that are broadcast.
 MAX_BROADCAST_NUMBERS = 2_000_000
+#: Hits of a document whose windows are made from one row.
+STARTS = 64
 
 
 def plan_radius(threshold: float, miss: float) -> int:
@@ -131,6 +133,36 @@ def _anchored(items: DataFrame, threshold: float) -> DataFrame:
     return marks.groupBy("h").agg(F.collect_set("len").alias("lens"), F.collect_set(F.when(F.col("anchor"), F.col("len"))).alias("anchors"))
 
 
+def _windows(found: DataFrame, longest: int, threshold: float) -> DataFrame:
+    """found(key, doc_id, hits, hs) -> (key, doc_id, start, len, anchors, window) of windows that can reach the threshold.
+
+    A row goes on as runs of STARTS hits, each with just the hits and shingles that windows of
+    `longest` at most reach from there, so what a document takes grows with its length alone.
+    """
+    n = F.size("hits")
+
+    def run(j: Column) -> Column:
+        first, last = F.get("hits", j * STARTS)["pos"], F.get("hits", F.least((j + 1) * STARTS, n) - 1)["pos"]
+        return F.struct(first.alias("base"), F.slice("hs", first + 1, last - first + longest).alias("hs"), F.slice("hits", j * STARTS + 1, F.lit(STARTS + longest)).alias("hits"))
+
+    runs = found.select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STARTS).cast("int")), run)).alias("run")).select("key", "doc_id", "run.*")
+
+    def begun(hit: Column, i: Column) -> Column:
+        def enough(size: Column) -> Column:
+            least = F.ceil(F.lit(threshold) * size - 1e-9).cast("int")
+            return F.get("hits", i + least - 1)["pos"] <= hit["pos"] + size - 1
+
+        def window(size: Column) -> Column:
+            inside = F.filter(F.slice("hits", i + 1, size), lambda x: (x["pos"] < hit["pos"] + size) & F.array_contains(x["anchors"], size))
+            anchors = F.array_distinct(F.transform(inside, lambda x: x["h"]))
+            return F.struct(hit["pos"].alias("start"), size.alias("len"), anchors.alias("anchors"), F.slice("hs", hit["pos"] - F.col("base") + 1, size).alias("window"))
+
+        return F.transform(F.filter(hit["lens"], enough), window)
+
+    each = F.filter(F.flatten(F.transform(F.slice("hits", 1, STARTS), begun)), lambda w: F.size(w["anchors"]) > 0)
+    return runs.select("key", "doc_id", F.explode(each).alias("w")).select("key", "doc_id", "w.*")
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: float, miss: float) -> DataFrame:
     """(key, doc_id, item_id, start, similarity) of contaminated pairs of a document row and an item."""
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,17 +178,10 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, threshold: f
     hits = scratch.keep(hits.groupBy("key").agg(F.array_sort(F.collect_set("hit")).alias("hits")), "hits")
     found = (
         keyed.join(small(hits.select("key")), "key", "left_semi").dropDuplicates(["key"])
-        .join(_few(hits, F.size("hits") * 4), "key").select("key", "doc_id", "hits", shingles(F.col("text")).alias("hs"))
-    )
-    starts = found.select("key", "doc_id", "hs", "hits", F.posexplode("hits").alias("i", "hit"))
-    starts = starts.select("key", "doc_id", "hs", "hits", "i", F.col("hit.pos").alias("start"), F.explode("hit.lens").alias("len"))
-    least = F.ceil(F.lit(threshold) * F.col("len") - 1e-9).cast("int")
-    inside = F.filter(F.slice("hits", F.col("i") + 1, F.col("len")), lambda x: (x["pos"] < F.col("start") + F.col("len")) & F.array_contains(x["anchors"], F.col("len")))
-    windows = (
-        starts.where(F.get("hits", F.col("i") + least - 1)["pos"] <= F.col("start") + F.col("len") - 1)
-        .select("key", "doc_id", "start", "len", F.array_distinct(F.transform(inside, lambda x: x["h"])).alias("anchors"), F.slice("hs", F.col("start") + 1, F.col("len")).alias("window"))
-        .where("size(anchors) > 0")
+        .join(_few(hits, F.aggregate("hits", F.lit(0), lambda n, x: n + 10 + F.size(x["lens"]) + F.size(x["anchors"]))), "key")  # a struct of arrays has ten words of its own
+        .select("key", "doc_id", "hits", shingles(F.col("text")).alias("hs"))
     )
+    windows = _windows(found, items.agg(F.max("len")).first()[0] or 0, threshold)
     windows = scratch.keep(windows.repartition(spread, "key", "start"), "windows")  # few bytes, much work for each
     radius = plan_radius(threshold, miss)
     masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
