@@ -43,6 +43,36 @@ def test_missing_variables(spark):
     assert {r["nid"]: r["missing"] for r in templates.missing_variables(t, n).collect()} == {1: ["env", "what"], 2: ["env"]}
 
 
+def _shuffled(plan):
+    """Rows that each exchange of an executed plan has written."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _shuffled(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return _shuffled(plan.plan())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if plan.nodeName() == "Exchange" else []
+    return own + [n for i in range(plan.children().size()) for n in _shuffled(plan.children().apply(i))]
+
+
+@pytest.fixture
+def shuffling(spark):
+    """No table counts as small."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield spark
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_missing_variables_of_many_ids(shuffling):
+    spark = shuffling
+    t = spark.range(3000).selectExpr("id tid", "concat('$', '{x}/', '$', '{y}') template", "if(id % 2 = 0, map('x', 'q'), map()) vars")
+    n = spark.range(600).selectExpr("id nid", "if(id < 400, 'q/a', if(id < 500, 'r/a', 'none')) name")
+    found = templates.missing_variables(t, n)
+    assert {r["nid"]: r["missing"] for r in found.collect()} == {i: ["x", "y"] for i in range(500)}
+    assert max(_shuffled(found._jdf.queryExecution().executedPlan())) <= 3000
+
+
 def _resolve(call, operations, owners):
     path, spath, sname, alias, dest, repo, dynamic, override = call
     missing = list(dict.fromkeys(k.strip() for s in (spath, alias, dest, path) for k in HOLE.findall(s or "")))
