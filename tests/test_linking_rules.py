@@ -64,6 +64,19 @@ def shuffling(spark):
         spark.conf.unset(k)
 
 
+def test_templates_of_many_ids(shuffling):
+    """The ids of equal texts meet last: what is shuffled grows with the ids, not with the pairs."""
+    spark = shuffling
+    t = spark.range(700).selectExpr("id tid", "concat('$', if(id < 690, '{x}/a', '{y}/b')) template")
+    n = spark.range(500).selectExpr("id nid", "if(id < 450, concat('q', id % 50, '/a'), concat('r', id, '/b')) name")
+    found = templates.matches(t, n)
+    rows = found.collect()
+    want = {(i, j) for i in range(690) for j in range(450)} | {(i, j) for i in range(690, 700) for j in range(450, 500)}
+    assert len(rows) == len(want) and {(r["tid"], r["nid"]) for r in rows} == want
+    assert {(r["keys"][0], r["values"][0]) for r in rows if r["nid"] in (0, 460)} == {("x", "q0"), ("y", "r460")}
+    assert max(_shuffled(found._jdf.queryExecution().executedPlan())) <= 1200
+
+
 def test_missing_variables_of_many_ids(shuffling):
     spark = shuffling
     t = spark.range(3000).selectExpr("id tid", "concat('$', '{x}/', '$', '{y}') template", "if(id % 2 = 0, map('x', 'q'), map()) vars")
