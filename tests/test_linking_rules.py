@@ -195,3 +195,16 @@ def test_owners(spark, block):
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
     assert {v[2] for v in want.values()} == {"none", "owned", "ambiguous"}
     assert spans.owners(s, h.limit(0), Scratch(spark, "t")).where("status = 'none'").count() == len(sites)
+
+
+def test_owners_of_many_sites(shuffling):
+    """Sites and spans of a cell are never paired: what is written and shuffled grows with their number."""
+    spark = shuffling
+    h = spark.range(2000).selectExpr("id span_id", "'f' file", "0L start", "4095L + id end", "0 kind_rank", "'x' name").union(spark.sql("select 5000L, 'f', 0L, 9000L, 0, 'x'"))
+    s = spark.range(2000).selectExpr("id", "'f' file", "id start", "4094L + id end")
+    found = spans.owners(s, h, Scratch(spark, "t"))
+    got = {r["id"]: (r["span_id"], r["enclosing"], r["status"]) for r in found.collect()}
+    assert got == {i: (max(i - 1, 0), 2001 - max(i - 1, 0), "owned") for i in range(2000)}
+    assert max(_shuffled(found._jdf.queryExecution().executedPlan())) <= 60_000
+    many = spans.owners(s, h.union(h.selectExpr("span_id + 9000", "file", "start", "end", "kind_rank", "name")), Scratch(spark, "t"))
+    assert {(r["span_id"], r["status"]) for r in many.select("span_id", "status").distinct().collect()} == {(None, "ambiguous")}
