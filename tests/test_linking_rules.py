@@ -171,6 +171,19 @@ def test_resolve_operations(spark):
     assert {"implementation_context_caller_ownership", "same_repo_unique_operation_path_with_lookup_mismatch", "suffix_local_service_path"} <= {r for v in want.values() for r in v[4]}
 
 
+def test_resolve_among_many_operations(shuffling):
+    """Calls and candidates are never paired: what is shuffled grows with their number."""
+    spark = shuffling
+    o = spark.range(2000).selectExpr("id operation_id", "'/read' operation_path", "'read' operation_name", "concat('/at', id) service_path", "concat('svc', id) service_name", "concat('org.svc', id) qualified_name", "id % 2 repo_id", "'r' repo_name")
+    none = "cast(null as string)"
+    c = spark.range(1500).selectExpr("id", "'read' operation_path", f"{none} service_path", "concat('svc', id) service_name", f"{none} alias", f"{none} destination", "if(id < 500, 0L, null) repo_id", "false is_dynamic", "false has_override")
+    w = spark.createDataFrame([], "operation_id long, repo_id long, direct boolean")
+    found = resolving.resolve_operations(c, o, w)
+    got = {r["id"]: (r["status"], r["operation_id"], r["candidates"], r["score"], r["lead"]) for r in found.collect()}
+    assert got == {i: ("ambiguous", None, 1000, 0.2, 0.0) if i < 500 and i % 2 else ("resolved", i, 1000 if i < 500 else 2000, 0.95, 0.75) for i in range(1500)}
+    assert max(_shuffled(found._jdf.queryExecution().executedPlan())) <= 30_000
+
+
 @pytest.mark.parametrize("block", [100_000, 5])
 def test_owners(spark, block):
     rng = random.Random(6)

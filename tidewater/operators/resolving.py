@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.operators.templates import HOLE
 
@@ -22,6 +21,10 @@ def _last(name: Column) -> Column:
     return F.element_at(F.split(name, r"\.", -1), -1)
 
 
+def _keys(text: Column, name: Column) -> Column:
+    return F.array_distinct(F.array(F.concat(F.lit("p"), text), F.concat(F.lit("p/"), _last(name)), F.concat(F.lit("n"), name), F.concat(F.lit("n"), _last(name))))
+
+
 def resolve_operations(calls: DataFrame, operations: DataFrame, owners: DataFrame) -> DataFrame:
     """calls(id, *SIGNALS) -> (id, status, operation_id, candidates, score, lead, reasons), one row a call.
 
@@ -36,8 +39,10 @@ def resolve_operations(calls: DataFrame, operations: DataFrame, owners: DataFram
     service is the one asked for), else ambiguous with several candidates and unresolved with
     one or none. `lead` is null without a second candidate. Null and empty signals say nothing.
 
-    Calls of the same signals are resolved once. Candidates meet by equal keys only, and of
-    each call's candidates no more than counts and the two best go on.
+    Calls of the same signals are resolved once. Operations meet distinct paths of calls; they
+    are counted by the words (names, paths and their tails) that any call asks for, and a call
+    meets only counts with a word of its own. The rest of its candidates score least and are a
+    difference of counts, so calls and candidates are never paired.
     """
     named = calls.select("id", F.md5(F.to_json(F.struct(*SIGNALS), {"ignoreNullFields": "false"})).alias("sid"), *SIGNALS)
     asked = named.drop("id").dropDuplicates(["sid"])
@@ -45,58 +50,97 @@ def resolve_operations(calls: DataFrame, operations: DataFrame, owners: DataFram
     asked = asked.withColumn("missing", F.array_distinct(F.concat(*(holes(c) for c in ("service_path", "alias", "destination", "operation_path")))))
     asked = asked.withColumn("override", F.coalesce("has_override", F.lit(False)))
     name = F.regexp_replace("operation_path", "^/", "")
-    keys = F.array_distinct(F.array(F.concat(F.lit("p"), F.col("operation_path")), F.concat(F.lit("p/"), _last(name)), F.concat(F.lit("n"), name), F.concat(F.lit("n"), _last(name))))
     path_is_open = F.col("operation_path").rlike(HOLE)
-    wanted = asked.where(_said("operation_path") & ~path_is_open).select("sid", F.explode(keys).alias("key"))
+    texts = asked.where(_said("operation_path") & ~path_is_open).select(F.col("operation_path").alias("text"), name.alias("name")).distinct()
+    wanted = texts.select("text", F.explode(_keys(F.col("text"), F.col("name"))).alias("key"))
     offered = operations.select("operation_id", F.explode(F.array(F.concat(F.lit("p"), "operation_path"), F.concat(F.lit("n"), "operation_name"))).alias("key"))
-    met = wanted.join(offered.where("key is not null"), "key").select("sid", "operation_id").distinct()
+    met = wanted.join(offered.where("key is not null"), "key").select("text", "operation_id").distinct()
 
-    theirs = operations.select("operation_id", "repo_name", "operation_name", F.col("repo_id").alias("its_repo"), F.col("service_path").alias("its_path"), F.col("service_name").alias("its_name"), "qualified_name")
-    rows = met.join(theirs, "operation_id").join(asked.drop("operation_path"), "sid").join(owners.select("operation_id", "repo_id", "direct").groupBy("operation_id", "repo_id").agg(F.max("direct").alias("direct")), ["operation_id", "repo_id"], "left")
-    no = F.lit(False)
-    same = lambda a, b: F.coalesce(F.col(a) == b, no)
+    # what calls name of an operation, and which of it any call names; operations that differ in nothing else are counted together
     simple = _last(F.col("service_name"))
-    suffix = F.coalesce(F.endswith("its_path", F.concat(F.lit("/"), simple)), no) & _said("service_name")
+    slash = F.concat(F.lit("/"), simple)
+    asks = F.when(_said("service_name"), F.array(
+        F.concat(F.lit("q"), "service_name"), F.concat(F.lit("n"), "service_name"), F.concat(F.lit("n"), simple),
+        F.concat(F.lit("p"), "service_name"), F.concat(F.lit("p/"), "service_name"), F.concat(F.lit("p"), slash), F.concat(F.lit("s"), simple),
+    )).otherwise(F.array().cast("array<string>"))
+    asks = F.array_distinct(F.concat(asks, F.when(_said("service_path"), F.array(F.concat(F.lit("p"), "service_path"))).otherwise(F.array().cast("array<string>"))))
+    asked = asked.withColumn("asks", asks)
+    tails = F.transform(F.sequence(F.lit(1), F.size(F.split("service_path", "/")) - 1), lambda i: F.concat(F.lit("s"), F.call_function("substring_index", F.col("service_path"), F.lit("/"), -i)))
+    tails = F.when(F.contains("service_path", F.lit("/")), tails).otherwise(F.array().cast("array<string>"))
+    says = F.array_compact(F.concat(F.array(F.concat(F.lit("q"), "qualified_name"), F.concat(F.lit("n"), "service_name"), F.concat(F.lit("p"), "service_path")), F.coalesce(tails, F.array().cast("array<string>"))))
+    said = operations.select("operation_id", F.explode(F.array_distinct(says)).alias("word")).distinct()
+    said = said.join(asked.select(F.explode("asks").alias("word")).distinct(), "word").groupBy("operation_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
+    rows = met.join(operations.select("operation_id", F.col("repo_id").alias("its_repo"), F.struct("repo_name", F.col("service_path").alias("its_path"), "operation_name", "operation_id").alias("first")), "operation_id").join(said, "operation_id", "left")
+    rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+    # scopes: a call takes candidates of any repository, of its own, or those that its own owns
+    each = rows.select("text", F.explode(F.array(F.struct(F.lit("any").alias("scope"), F.lit(None).cast(rows.schema["its_repo"].dataType).alias("of")), F.struct(F.lit("own").alias("scope"), F.col("its_repo").alias("of")))).alias("s"), "words", "first", F.lit(False).alias("direct"))
+    tied = owners.select("operation_id", F.col("repo_id").alias("of"), "direct").groupBy("operation_id", "of").agg(F.max("direct").alias("direct")).where("direct is not null and of is not null")
+    tied = rows.where("size(words) > 0").join(tied, "operation_id").select("text", F.lit("owned").alias("scope"), "of", "words", "first", "direct")
+    each = each.select("text", "s.*", "words", "first", "direct").where("scope = 'any' or of is not null").union(tied)
+    each = each.groupBy("text", "scope", "of", "words").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.count_if("direct").alias("n_direct"), F.min(F.when(F.col("direct"), F.col("first"))).alias("first_direct"))
+    totals = each.where("scope <> 'owned'").groupBy("text", "scope", "of").agg(F.sum("n").alias("total"), F.min("first").alias("sole"))
+    in_all = totals.where("scope = 'any'").select("text", F.col("total").alias("met"), F.col("sole").alias("sole_of_all"))
+    in_own = totals.where("scope = 'own'").select("text", F.col("of").alias("repo_id"), F.col("total").alias("locals"), F.col("sole").alias("sole_local"))
+    calls_ = asked.withColumn("text", F.when(_said("operation_path") & ~path_is_open, F.col("operation_path"))).join(in_all, "text", "left").join(in_own, ["text", "repo_id"], "left")
+    whole, own = F.col("repo_id").isNull(), F.col("locals").isNotNull()
+    by_owner = ~whole & ~own & _said("service_name") & F.col("met").isNotNull()
+    calls_ = calls_.withColumn("by_owner", by_owner).withColumn("total", F.when(whole, F.col("met")).when(own, F.col("locals"))).withColumn("sole", F.when(whole, F.col("sole_of_all")).when(own, F.col("sole_local")))
+    scopes = F.when(whole, F.array(F.lit("any"))).when(own, F.array(F.lit("own"))).when(by_owner, F.array(F.lit("owned"), F.lit("any"))).otherwise(F.array().cast("array<string>"))
+    calls_ = calls_.drop("sole_of_all", "sole_local")
+    looks = calls_.where("met is not null").select("sid", "text", "repo_id", "service_path", "service_name", "asks", F.explode(scopes).alias("scope")).select("*", F.explode("asks").alias("word"))
+    looks = looks.withColumn("of", F.when(F.col("scope") != "any", F.col("repo_id")))
+    has = each.where("size(words) > 0").select("*", F.explode("words").alias("word"))
+    # null-safe on `of`; a call and a kind of operations that have several words in common meet by the first of them
+    found = looks.join(has.withColumnRenamed("text", "t").withColumnRenamed("scope", "sc").withColumnRenamed("of", "its").withColumnRenamed("word", "w"), F.expr("text = t and scope = sc and word = w and of <=> its")).where("word = array_intersect(asks, words)[0]")
+    one_of = lambda *words: F.arrays_overlap("words", F.array(*words))
+    word = lambda mark, c: F.concat(F.lit(mark), c)
     kind = (
-        F.when(~_said("service_name"), F.lit(None)).when(same("qualified_name", F.col("service_name")), "exact_local_qualified_service_name")
-        .when(same("its_name", F.col("service_name")) | same("its_name", simple), "exact_local_simple_service_name")
-        .when(same("its_path", F.col("service_name")) | same("its_path", F.concat(F.lit("/"), "service_name")) | same("its_path", F.concat(F.lit("/"), simple)), "exact_local_service_path")
-        .when(suffix, "suffix_local_service_path").otherwise("local_service_name_mismatch")
+        F.when(~_said("service_name"), F.lit(None)).when(one_of(word("q", "service_name")), "exact_local_qualified_service_name")
+        .when(one_of(word("n", "service_name"), word("n", simple)), "exact_local_simple_service_name")
+        .when(one_of(word("p", "service_name"), word("p/", "service_name"), word("p", slash)), "exact_local_service_path")
+        .when(one_of(word("s", simple)), "suffix_local_service_path").otherwise("local_service_name_mismatch")
     )
-    rows = rows.withColumn("kind", kind).withColumn("suffix", suffix).withColumn("matching", F.coalesce(F.col("kind") != "local_service_name_mismatch", no))
-    rows = rows.withColumn("local", F.col("repo_id").isNull() | same("its_repo", F.col("repo_id")))
-    rows = rows.withColumn("owned", F.when(F.col("matching") & F.col("repo_id").isNotNull(), F.col("direct")))
-    tally = rows.groupBy("sid").agg(
-        F.count("*").alias("met"), F.count_if("local").alias("locals"), F.count_if("matching").alias("matches"), F.count_if(F.col("owned")).alias("direct_owned"), F.count("owned").alias("any_owned"),
-        F.count_if(F.col("suffix") & F.col("local")).alias("local_suffixes"), F.count_if(F.col("suffix") & F.col("owned")).alias("direct_suffixes"), F.count_if(F.col("suffix") & F.col("owned").isNotNull()).alias("owned_suffixes"),
+    no = F.lit(False)
+    exact = F.coalesce(_said("service_path") & one_of(word("p", "service_path")), no)
+    found = found.select("sid", "scope", kind.alias("kind"), exact.alias("exact"), (_said("service_name") & F.coalesce(one_of(word("s", simple)), no)).alias("suffix"), "n", "first", "n_direct", "first_direct")
+    found = found.groupBy("sid", "scope", "kind", "exact", "suffix").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("n_direct").alias("n_direct"), F.min("first_direct").alias("first_direct"))
+    matching = F.coalesce(F.col("kind") != "local_service_name_mismatch", no)
+    classes = F.struct("kind", "exact", "suffix", "n", "first", "n_direct", "first_direct")
+    found = found.groupBy("sid").agg(
+        F.collect_list(F.when((F.col("scope") == "own") | (F.col("scope") == "any"), classes)).alias("of_scope"), F.collect_list(F.when((F.col("scope") == "owned") & matching, classes)).alias("of_owner"),
+        F.sum(F.when((F.col("scope") == "any") & matching, F.col("n"))).alias("matches"),
     )
-    by_owner = (F.col("locals") == 0) & F.col("repo_id").isNotNull() & _said("service_name")
-    use = F.when(F.col("locals") > 0, F.col("local")).when(~by_owner, no).when(F.col("direct_owned") > 0, F.coalesce("owned", no)).otherwise(F.col("owned").isNotNull() & (F.col("any_owned") == 1))
-    n_suffix = F.when(F.col("locals") > 0, F.col("local_suffixes")).when(F.col("direct_owned") > 0, F.col("direct_suffixes")).otherwise(F.col("owned_suffixes"))
-    n_used = F.when(F.col("locals") > 0, F.col("locals")).when(F.col("direct_owned") > 0, F.col("direct_owned")).otherwise(F.lit(1))
-    used = rows.join(tally, "sid").where(use).withColumn("by_owner", by_owner)
-
-    path_exact = same("its_path", F.col("service_path"))
-    name_score = F.when(F.col("kind").isNull(), 0.0)
-    for k, v in (("exact_local_qualified_service_name", QUALIFIED), ("exact_local_simple_service_name", SIMPLE), ("exact_local_service_path", BY_PATH)):
-        name_score = name_score.when(F.col("kind") == k, v)
-    name_score = name_score.when(F.col("kind") == "suffix_local_service_path", F.when(n_suffix == 1, SUFFIX_ONE).otherwise(SUFFIX_MANY)).otherwise(0.0)
-    score = F.when(F.col("by_owner"), OWNED_BASE).otherwise(BASE) + F.when(_said("service_path"), F.when(path_exact, PATH_EXACT).otherwise(PATH_OTHER)).otherwise(0.0)
-    score = score + name_score + F.when(F.col("override"), OVERRIDE).otherwise(0.0)
-    recovered = F.col("repo_id").isNotNull() & (n_used == 1) & F.coalesce(F.col("kind") == "local_service_name_mismatch", no)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(recovered, F.greatest(score, F.lit(RECOVERED))).otherwise(score)))
+    used = calls_.join(found, "sid", "left")
+    none = F.array().cast(found.schema["of_scope"].dataType)
+    total_of = lambda xs, c: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x[c])
+    used = used.withColumn("of_scope", F.coalesce("of_scope", none)).withColumn("of_owner", F.coalesce("of_owner", none))
+    used = used.withColumn("directs", total_of(F.col("of_owner"), "n_direct")).withColumn("owned", total_of(F.col("of_owner"), "n")).withColumn("inside", total_of(F.col("of_scope"), "n"))
+    taken = lambda x, n, first: F.struct(x["kind"].alias("kind"), x["exact"].alias("exact"), x["suffix"].alias("suffix"), x[n].alias("n"), x[first].alias("first"))
+    rest = F.struct(F.when(_said("service_name"), "local_service_name_mismatch").alias("kind"), no.alias("exact"), no.alias("suffix"), (F.col("total") - F.col("inside")).alias("n"), F.col("sole").alias("first"))
+    plain_ = F.concat(F.transform("of_scope", lambda x: taken(x, "n", "first")), F.array(rest))
+    owned_ = F.when(F.col("directs") > 0, F.transform("of_owner", lambda x: taken(x, "n_direct", "first_direct"))).when(F.col("owned") == 1, F.transform("of_owner", lambda x: taken(x, "n", "first")))
+    used = used.withColumn("classes", F.filter(F.when(F.col("by_owner"), owned_).when(F.col("total").isNotNull(), plain_), lambda x: x["n"] > 0))
+    used = used.withColumn("n", total_of(F.col("classes"), "n")).withColumn("n_suffix", F.aggregate("classes", F.lit(0).cast("long"), lambda n, x: F.when(x["suffix"], n + x["n"]).otherwise(n)))
+
+    by_name = lambda k: F.when(k.isNull(), 0.0).when(k == "exact_local_qualified_service_name", QUALIFIED).when(k == "exact_local_simple_service_name", SIMPLE).when(k == "exact_local_service_path", BY_PATH).when(k == "suffix_local_service_path", F.when(F.col("n_suffix") == 1, SUFFIX_ONE).otherwise(SUFFIX_MANY)).otherwise(0.0)
+    recovered = lambda x: F.col("repo_id").isNotNull() & (F.col("n") == 1) & F.coalesce(x["kind"] == "local_service_name_mismatch", no)
+
+    def score(x: Column) -> Column:
+        s = F.when(F.col("by_owner"), OWNED_BASE).otherwise(BASE) + F.when(_said("service_path"), F.when(x["exact"], PATH_EXACT).otherwise(PATH_OTHER)).otherwise(0.0)
+        s = s + by_name(x["kind"]) + F.when(F.col("override"), OVERRIDE).otherwise(0.0)
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(recovered(x), F.greatest(s, F.lit(RECOVERED))).otherwise(s)))
+
+    # of equal scores the least operation; operations without a word in common with the call score less than all others
+    ranked = F.array_sort(F.transform("classes", lambda x: F.struct((-score(x)).alias("down"), x["first"].alias("first"), x["n"].alias("n"), x["kind"].alias("kind"), x["exact"].alias("exact"), recovered(x).alias("recovered"))))
+    used = used.withColumn("ranked", ranked).withColumn("b", F.get("ranked", F.lit(0)))
+    used = used.withColumn("score", -F.col("b.down")).withColumn("second", F.when(F.col("b.n") > 1, F.col("score")).otherwise(-F.get("ranked", F.lit(1))["down"])).withColumn("operation_id", F.col("b.first.operation_id"))
     reasons = F.array_compact(F.array(
-        F.lit("operation_path_match"), F.when(F.col("by_owner"), "implementation_context_caller_ownership"), F.when(_said("service_path"), F.when(path_exact, "exact_service_path").otherwise("service_path_mismatch")), F.col("kind"),
-        F.when(F.col("override"), F.when(F.col("repo_id").isNotNull(), "explicit_local_service_call").otherwise("explicit_dynamic_override")), F.when(recovered, "same_repo_unique_operation_path_with_lookup_mismatch"),
+        F.lit("operation_path_match"), F.when(F.col("by_owner"), "implementation_context_caller_ownership"), F.when(_said("service_path"), F.when(F.col("b.exact"), "exact_service_path").otherwise("service_path_mismatch")), F.col("b.kind"),
+        F.when(F.col("override"), F.when(F.col("repo_id").isNotNull(), "explicit_local_service_call").otherwise("explicit_dynamic_override")), F.when(F.col("b.recovered"), "same_repo_unique_operation_path_with_lookup_mismatch"),
     ))
-    fits = path_exact | (_said("service_name") & (F.col("matching") | recovered))
-    scored = used.select("sid", "operation_id", "repo_name", "its_path", "operation_name", score.alias("score"), reasons.alias("why"), F.coalesce(fits, no).alias("fits"))
-    order = Window.partitionBy("sid").orderBy(F.desc("score"), "repo_name", "its_path", "operation_name", "operation_id")
-    top = scored.withColumn("r", F.row_number().over(order)).where("r <= 2")
-    best = top.groupBy("sid").agg(*(F.max(F.when(F.col("r") == 1, F.col(c))).alias(c) for c in ("operation_id", "score", "why", "fits")), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
-    counts = scored.groupBy("sid").agg(F.count("*").alias("n"))
-
-    told = asked.join(tally.select("sid", "met", "matches"), "sid", "left").join(best, "sid", "left").join(counts, "sid", "left")
+    fits = F.col("b.exact") | (_said("service_name") & ((F.col("b.kind") != "local_service_name_mismatch") | F.col("b.recovered")))
+    told = used.withColumn("why", reasons).withColumn("fits", F.coalesce(fits, no))
     n, met_n, none_met = F.coalesce("n", F.lit(0)), F.coalesce("met", F.lit(0)), F.coalesce("matches", F.lit(0)) == 0
     early, open_ = F.size("missing") > 0, F.coalesce("is_dynamic", no) & ~F.col("override") & ~_said("service_path")
     strong = _said("service_path") | _said("service_name") | _said("alias") | _said("destination") | F.col("override")
