@@ -136,6 +136,14 @@ def test_leaks_of_a_long_document(spark):
     assert found == {(1, i): (40 * i, 1.0) for i in range(30)} | {(2, 3): (0, 1.0)}
 
 
+def test_stage_drops_a_long_leaking_document(spark, tmp_path):
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choice(VOCAB) for _ in range(40))) for i in range(20)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, " ".join(items[i % 20][1] for i in range(300))), (2, "no passage of it at all here")]
+    assert [r["doc_id"] for r in corpus_pipeline.no_leaks(spark, docs(spark, rows), str(tmp_path)).collect()] == [2]
+
+
 def test_simhash_of_long_items(spark):
     one, other = (1 << 40) + 5, (1 << 41) + (1 << 33)
     frame = spark.sql(f"select concat(array_repeat({one}L, 40000), array_repeat({other}L, 30000)) long, concat(array_repeat({one}L, 4), array_repeat({other}L, 3)) short")
